@@ -92,24 +92,10 @@ def _first_present(record: Column, keys: list[str]) -> Column:
     return F.coalesce(*[F.when(F.map_contains_key(record, k), F.lit(k)) for k in keys])
 
 
-def _variant_ts(value: Column, kind: Column, assume_year: int | None) -> Column:
-    seconds = F.try_variant_get(value, "$", "double")
-    # Seconds beyond the microsecond range cannot be a timestamp here.
-    in_range = F.abs(seconds) < 2.0**63 / 1e6
-    return F.when(kind == "STRING", parse_ts(F.try_variant_get(value, "$", "string"), assume_year)).when(
-        is_number_kind(kind) & in_range, F.timestamp_seconds(seconds.try_cast("long"))
-    )
-
-
 def _present_keys(record: Column) -> Column:
     return F.filter(F.array(*map(F.lit, TIMESTAMP_KEYS)), lambda k: F.map_contains_key(record, k))
 
 
-def _first_with_ts(parsed: Column) -> Column:
-    """``struct(key, ts)`` of the first key whose value parsed."""
-    return F.try_element_at(F.filter(parsed, lambda p: p.ts.isNotNull()), F.lit(1))
-
-
 def _without(record: Column, *keys: Column) -> Column:
     return F.map_filter(record, lambda k, _: ~F.coalesce(k.isin(*keys), F.lit(False)))
 
@@ -175,10 +161,9 @@ def parse_logs(
     step = _add_record_parts(step, assume_year)
 
     level_found = F.coalesce(F.col("_rec.level"), F.col("_text_level"))
-    parsed_ts = F.coalesce(F.col("_rec.ts"), F.when(F.col("_text_dated"), parse_ts(F.col("_text_ts"), assume_year)))
     own_env_ts = env_ts if keep_envelope else F.lit(None).cast("timestamp")
     failed = F.col("parse_error").isNotNull()
-    step = step.withColumn("_parsed_ts", parsed_ts)
+    step = step.withColumn("_parsed_ts", F.col("_won.ts"))
     kept_env = env_fields if keep_envelope else F.when(failed, env_fields)
     body_fields = F.coalesce(F.col("_rec.fields"), F.create_map().cast(FIELDS_TYPE))
     fields = F.when(
@@ -188,8 +173,7 @@ def parse_logs(
     )
     env_default = F.coalesce(env_level if keep_envelope else F.when(failed, env_level), F.lit("info"))
     fallback_ts = own_env_ts if keep_envelope else F.when(failed, env_ts)
-    return step.select(
-        *given,
+    record = F.struct(
         F.coalesce("_parsed_ts", fallback_ts, ingest_ts).alias("ts"),
         F.when(F.col("_parsed_ts").isNotNull(), F.lit("body"))
         .when(fallback_ts.isNotNull(), F.lit("envelope"))
@@ -199,10 +183,14 @@ def parse_logs(
         F.when(failed, F.col("raw"))
         .otherwise(F.coalesce(F.col("_rec.message"), F.col("_text_message"), F.lit("")))
         .alias("message"),
-        fields.alias("fields"),
-        "format",
-        "parse_error",
+        F.col("format"),
+        F.col("parse_error"),
     )
+    # The record passes through a generator: a filter on it must not be rewritten down through
+    # the steps above, which would repeat all of them in its condition. Filters on the other
+    # columns still reach the scan, and fields are not built where nobody reads them.
+    step = step.select(*given, fields.alias("fields"), F.inline(F.array(record)))
+    return step.select(*given, "ts", "ts_source", "level", "message", "fields", "format", "parse_error")
 
 
 def _add_text_parts(df: DataFrame) -> DataFrame:
@@ -248,17 +236,30 @@ def _add_record_parts(df: DataFrame, assume_year: int | None) -> DataFrame:
     def either(pick) -> Column:
         return F.when(is_json, pick(json)).when(is_pairs, pick(pairs))
 
-    stamps = F.transform(_present_keys(json), lambda k: F.struct(k.alias("key"), json[k].alias("value")))
-    kinds = F.transform(
-        stamps, lambda s: F.struct(s.key.alias("key"), s.value.alias("value"), F.schema_of_variant(s.value).alias("kind"))
+    def stamp(key, value=None, text=None) -> Column:
+        """A candidate timestamp: its text, or its number of seconds."""
+        if text is not None:
+            return F.struct(key.alias("key"), text.alias("text"), F.lit(None).cast("double").alias("seconds"))
+        kind = F.schema_of_variant(value)
+        return F.struct(
+            key.alias("key"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias("text"),
+            F.when(is_number_kind(kind), F.try_variant_get(value, "$", "double")).alias("seconds"),
+        )
+
+    no_key = F.lit(None).cast("string")
+    stamps = (
+        F.when(is_json, F.transform(_present_keys(json), lambda k: stamp(k, value=json[k])))
+        .when(is_pairs, F.transform(_present_keys(pairs), lambda k: stamp(k, text=pairs[k])))
+        .when(F.col("_text_dated"), F.array(stamp(no_key, text=F.col("_text_ts"))))
     )
-    json_ts = F.transform(
-        kinds, lambda s: F.struct(s.key.alias("key"), _variant_ts(s.value, s.kind, assume_year).alias("ts"))
+    # Seconds beyond the microsecond range cannot be a timestamp here.
+    in_range = lambda s: F.when(F.abs(s) < 2.0**63 / 1e6, F.timestamp_seconds(s.try_cast("long")))
+    parsed = F.transform(
+        "_stamps",
+        lambda s: F.struct(s.key.alias("key"), F.coalesce(parse_ts(s.text, assume_year), in_range(s.seconds)).alias("ts")),
     )
-    texts = F.transform(_present_keys(pairs), lambda k: F.struct(k.alias("key"), pairs[k].alias("value")))
-    pair_ts = F.transform(texts, lambda s: F.struct(s.key.alias("key"), parse_ts(s.value, assume_year).alias("ts")))
-    out = df.withColumns({
-        "_won": F.when(is_json, _first_with_ts(json_ts)).when(is_pairs, _first_with_ts(pair_ts)),
+    out = df.withColumn("_stamps", stamps).withColumns({
+        "_won": F.try_element_at(F.filter(parsed, lambda p: p.ts.isNotNull()), F.lit(1)),
         "_level_key": either(lambda record: _first_present(record, LEVEL_KEYS)),
         "_message_key": either(lambda record: _first_present(record, MESSAGE_KEYS)),
     })
@@ -275,8 +276,7 @@ def _add_record_parts(df: DataFrame, assume_year: int | None) -> DataFrame:
     rest = F.when(is_json, _without(json, *taken)).when(is_pairs, _without(pairs, *taken).cast(FIELDS_TYPE))
     return out.withColumn(
         "_rec", F.struct(
-            F.col("_won.ts").alias("ts"), F.col("_level_text").alias("level"),
-            F.col("_message_text").alias("message"), rest.alias("fields"),
+            F.col("_level_text").alias("level"), F.col("_message_text").alias("message"), rest.alias("fields"),
         )
     )
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from sawlog.schema import RULE_SCHEMA
+
 LEVEL_BY_TYPE = {"error": "error", "purchase": "warn", "signup": "info", "click": "info", "view": "debug"}
 
 
@@ -76,3 +78,98 @@ log_lines AS (
       ELSE 'info' END AS level,
     event_type AS message, 'svc-' || (user_id % 5) AS source
   FROM events)"""
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The alert rules used on the test tables."""
+    return spark.createDataFrame(RULES, RULE_SCHEMA)
+
+
+HOUR_US = 3_600_000_000
+# name, type, severity, pattern, level, source, threshold, window, cooldown
+RULES = [
+    ("bad-words", "pattern", "critical", "err|pur(ch)", None, None, None, None, HOUR_US),
+    ("svc-1-views", "pattern", "warning", "^view$", None, "svc-1", None, None, 0),
+    ("errors", "level", "warning", None, "error", None, None, None, HOUR_US),
+    ("warn-svc-2", "level", "critical", None, "WARN", "svc-2", None, None, 6 * HOUR_US),
+    ("rate", "error_rate", "critical", None, None, None, 20, 6 * HOUR_US, 24 * HOUR_US),
+    ("rate-svc-3", "error_rate", "warning", None, None, "svc-3", 3, 2 * HOUR_US, 0),
+    ("health", "health_change", "critical", None, None, None, None, None, 0),
+    ("health-svc-4", "health_change", "warning", None, None, "svc-4", None, None, 0),
+]
+
+
+def _sql_value(value) -> str:
+    return "NULL" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+RULES_SQL = """
+rules(no, name, type, severity, pattern, level, source, threshold, window_us, cooldown_us) AS (VALUES
+""" + ",\n".join(
+    f"  ({no}, {', '.join(_sql_value(v) for v in rule)})" for no, rule in enumerate(RULES)
+) + ")"
+
+
+def health_events(spark: SparkSession, sf_dir: str, source: Column | None = None) -> DataFrame:
+    """``events`` as health events: signup registers, the others set a status."""
+    service = F.concat(F.lit("svc-"), F.col("user_id") % 5) if source is None else source
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    status = (
+        F.when(kind == "error", "failed").when(kind == "view", "degraded").when(kind == "click", "healthy")
+        .when(kind == "purchase", "stopped")
+    )
+    error = F.when(kind == "error", F.concat(F.lit("boom "), F.col("event_id").cast("string"))).when(
+        (kind == "view") & (F.col("event_id") % 3 == 0), F.lit("slow")
+    )
+    return e.select(
+        service.alias("source"), "ts", F.col("event_id").alias("seq"),
+        F.when(kind == "signup", "register").otherwise("status").alias("kind"), status.alias("status"),
+        error.alias("error"),
+    )
+
+
+HEALTH_EVENTS_SQL = """
+health_events AS (
+  SELECT 'svc-' || (user_id % 5) AS source, ts, event_id AS seq,
+    CASE WHEN event_type = 'signup' THEN 'register' ELSE 'status' END AS kind,
+    CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'degraded' WHEN 'click' THEN 'healthy'
+      WHEN 'purchase' THEN 'stopped' END AS status,
+    CASE WHEN event_type = 'error' THEN 'boom ' || event_id
+      WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'slow' END AS error
+  FROM events)"""
+
+
+def alert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as stored alert events."""
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.sha2(F.col("event_id").cast("string"), 256).alias("id"),
+        F.concat(F.lit("rule-"), F.col("user_id") % 7).alias("rule_name"),
+        F.when(F.col("event_type") == "error", "critical").otherwise("warning").alias("severity"),
+        F.concat(F.lit("Pattern matched: "), "event_type").alias("message"),
+        F.concat(F.lit("svc-"), F.col("user_id") % 5).alias("source"),
+        (F.col("event_id") % 4).alias("count"), F.col("ts").alias("fired_at"),
+        F.when(F.col("event_id") % 3 == 0, F.timestamp_micros(F.unix_micros("ts") + HOUR_US)).alias("acknowledged_at"),
+    )
+
+
+ALERT_HISTORY_SQL = """
+alert_history AS (
+  SELECT sha256(event_id::VARCHAR) AS id, 'rule-' || (user_id % 7) AS rule_name,
+    CASE event_type WHEN 'error' THEN 'critical' ELSE 'warning' END AS severity,
+    'Pattern matched: ' || event_type AS message, 'svc-' || (user_id % 5) AS source,
+    event_id % 4 AS count, ts AS fired_at,
+    CASE WHEN event_id % 3 = 0 THEN ts + INTERVAL 1 HOUR END AS acknowledged_at
+  FROM events)"""
+
+SEARCHES = [
+    ("all", "{}"),
+    ("broken", '{"regex":"(","levels":["warn"]}'),
+    ("failures", '{"levels":["error","warn"],"regex":"PUR|ERR"}'),
+    ("two-services", '{"sources":["svc-1","svc-3"]}'),
+]
+
+
+def saved_searches(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SEARCHES, "name string, filters string")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -53,7 +53,7 @@ def write_rotated(
         writer = writer.option("compression", "gzip")
     writer.text(path)
     if max_age is not None:
-        drop_old_days(df.sparkSession, path, "day", now or datetime.now(), max_age)
+        drop_old_days(df.sparkSession, path, "day", now or datetime.now(timezone.utc), max_age)
 
 
 def drop_old_days(spark: SparkSession, path: str, column: str, now: datetime, keep: str | int) -> list[str]:
@@ -63,7 +63,8 @@ def drop_old_days(spark: SparkSession, path: str, column: str, now: datetime, ke
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    cutoff = now.timestamp() - duration_us(keep) / 1e6
+    utc = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    cutoff = utc.timestamp() - duration_us(keep) / 1e6
     dropped = []
     for status in fs.listStatus(root):
         name = status.getPath().getName()
@@ -71,7 +72,7 @@ def drop_old_days(spark: SparkSession, path: str, column: str, now: datetime, ke
             continue
         day = name.split("=", 1)[1]
         try:
-            ended = datetime.fromisoformat(day).timestamp() + 86_400
+            ended = datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp() + 86_400
         except ValueError:
             continue
         if ended <= cutoff:
