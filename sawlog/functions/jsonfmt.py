@@ -72,17 +72,20 @@ def float_text(value: Column, low: int = -4, high: int = 6, pad: int = 2) -> Col
     return F.when(value == 0, F.lit("0")).otherwise(F.concat(sign, body))
 
 
-def variant_text(value: Column, kind: Column) -> Column:
+def variant_text(value: Column, scalar: Column) -> Column:
     """A JSON value as text: strings as they are, numbers as doubles, the rest as compact JSON.
 
-    ``kind`` is ``schema_of_variant(value)``.
+    ``scalar`` is the value cast to a string, null for JSON null. The type is only looked up for
+    text that may not come from a string.
     """
-    return (
-        F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
+    maybe_other = scalar.rlike(r"^(-?\d[\d.eE+-]*\z|[\[{])")
+    kind = F.schema_of_variant(value)
+    other = (
+        F.when(kind == "STRING", scalar)
         .when(is_number_kind(kind), float_text(F.try_variant_get(value, "$", "double")))
-        .when(kind == "VOID", F.lit("null"))
-        .otherwise(escape_html(F.to_json(value)))
+        .otherwise(escape_html(scalar))
     )
+    return F.when(scalar.isNull(), F.to_json(value)).when(maybe_other, other).otherwise(scalar)
 
 
 def is_number_kind(kind: Column) -> Column:

@@ -32,30 +32,36 @@ def _month(name: Column) -> Column:
     return F.when(known, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
 
 
+def tidy_ts(text: Column) -> Column:
+    """Timestamp text as ``parse_tidy_ts`` takes it: trimmed, with a point before the fraction."""
+    return F.replace(trim_space(text), F.lit(","), F.lit("."))
+
+
+def parse_tidy_ts(s: Column, assume_year: int | None = None) -> Column:
+    """``parse_ts`` of text that ``tidy_ts`` has prepared."""
+    spaced = F.regexp_replace(s, " +", " ")
+    zoned = s.contains("T") & s.rlike(r"(Z|[+-]\d{2}:\d{2})\z")
+    iso = F.concat(spaced, F.when(zoned, F.lit("")).otherwise(F.lit("Z")))
+    access = F.concat(
+        F.substring(s, 8, 4), F.lit("-"), _month(F.substring(s, 4, 3)), F.lit("-"), F.substring(s, 1, 2),
+        F.lit("T"), F.regexp_replace(F.substr(s, F.lit(13)), r" +([+-]\d{2})(\d{2})\z", "$1:$2"),
+    )
+    chosen = F.when(s.rlike(ISO_LAYOUT), iso).when(s.rlike(ACCESS_LOG_LAYOUT), access)
+    if assume_year is not None:
+        syslog = F.concat(
+            F.lit(f"{assume_year:04d}-"), _month(F.substring(s, 1, 3)), F.lit("-"),
+            F.regexp_replace(F.substr(spaced, F.lit(5)), " ", "T"), F.lit("Z"),
+        )
+        chosen = chosen.when(s.rlike(SYSLOG_LAYOUT), syslog)
+    return chosen.try_cast("timestamp")
+
+
 def parse_ts(text: Column, assume_year: int | None = None) -> Column:
     """Timestamp in one of the accepted layouts, else null; zone-less text is UTC.
 
     The layout without a year needs ``assume_year``.
     """
-
-    def written(s: Column) -> Column:
-        spaced = F.regexp_replace(s, " +", " ")
-        zoned = s.contains("T") & s.rlike(r"(Z|[+-]\d{2}:\d{2})\z")
-        iso = F.concat(spaced, F.when(zoned, F.lit("")).otherwise(F.lit("Z")))
-        access = F.concat(
-            F.substring(s, 8, 4), F.lit("-"), _month(F.substring(s, 4, 3)), F.lit("-"), F.substring(s, 1, 2),
-            F.lit("T"), F.regexp_replace(F.substr(s, F.lit(13)), r" +([+-]\d{2})(\d{2})\z", "$1:$2"),
-        )
-        chosen = F.when(s.rlike(ISO_LAYOUT), iso).when(s.rlike(ACCESS_LOG_LAYOUT), access)
-        if assume_year is not None:
-            syslog = F.concat(
-                F.lit(f"{assume_year:04d}-"), _month(F.substring(s, 1, 3)), F.lit("-"),
-                F.regexp_replace(F.substr(spaced, F.lit(5)), " ", "T"), F.lit("Z"),
-            )
-            chosen = chosen.when(s.rlike(SYSLOG_LAYOUT), syslog)
-        return chosen
-
-    return let(F.replace(trim_space(text), F.lit(","), F.lit(".")), written).try_cast("timestamp")
+    return let(tidy_ts(text), lambda s: parse_tidy_ts(s, assume_year))
 
 
 def micros(ts: Column | str) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sawlog.functions.levels import level_rank, priority_number, rank_of
 from sawlog.functions.regexes import MAX_FILTER_PATTERN, RegexError, checked_regexes
 
+MAX_SEARCHES = 1000
 SEARCH_SCHEMA = "struct<levels:array<string>,sources:array<string>,regex:string>"
 
 
@@ -96,7 +97,9 @@ def run_saved_search(df: DataFrame, searches: DataFrame, name: str) -> DataFrame
 
 def run_saved_searches(df: DataFrame, searches: DataFrame) -> DataFrame:
     """Every line with each saved search it is in, as ``search``; all are tested in one pass over the lines."""
-    bound = searches.select("name", F.from_json("filters", SEARCH_SCHEMA).alias("f")).collect()
+    bound = searches.select("name", F.from_json("filters", SEARCH_SCHEMA).alias("f")).limit(MAX_SEARCHES + 1).collect()
+    if len(bound) > MAX_SEARCHES:
+        raise ValueError(f"more than {MAX_SEARCHES} saved searches: this is not a table of searches")
     shown = search_logs(df)
     hits = []
     for row in bound:

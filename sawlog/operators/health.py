@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sawlog.functions.times import micros
+
 STATUSES = ["healthy", "degraded", "failed", "stopped"]
 STARTING = "starting"
 _BUCKET_US = 3_600_000_000
@@ -17,13 +19,17 @@ def _status() -> Column:
     return F.when(F.col("kind") == "register", F.lit(STARTING)).otherwise(F.col("status"))
 
 
+def _hourly(df: DataFrame) -> DataFrame:
+    return df.withColumn("_hour", F.floor(micros("ts") / _BUCKET_US))
+
+
 def _with_previous(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add the value of the row before, per source in the order of (ts, seq).
 
     A source's events are ordered by hour; the first of an hour looks up the last of the hour
     before among one row per hour, so a busy source is spread over many tasks.
     """
-    timed = df.withColumn("_hour", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / _BUCKET_US))
+    timed = _hourly(df)
     lasts = timed.groupBy("source", "_hour").agg(F.max_by(value, F.struct("ts", "seq")).alias("_last"))
     carried = lasts.select(
         "source", "_hour", F.lag("_last").over(Window.partitionBy("source").orderBy("_hour")).alias("_carried")
@@ -51,19 +57,28 @@ def health_transitions(events: DataFrame) -> DataFrame:
 def health_current(events: DataFrame) -> DataFrame:
     """Latest state of each source; registering again starts it anew.
 
-    ``(source, status, last_error, last_update, error_count, start_time)``. All aggregates are
-    combined before the shuffle, so one busy source is no burden.
+    ``(source, status, last_error, last_update, error_count, start_time)``. Events are summed up
+    per source and hour, then the hours per source, so a busy source is spread over many tasks.
     """
     at = F.struct("ts", "seq")
-    starts = events.where(F.col("kind") == "register").groupBy("source").agg(F.max(at).alias("_epoch"))
-    alive = events.join(starts, "source", "left").where(F.col("_epoch").isNull() | (at >= F.col("_epoch")))
     error = F.when(F.col("kind") == "status", F.col("error"))
-    return alive.groupBy("source").agg(
+    hour = Window.partitionBy("source", "_hour")
+    timed = _hourly(events).withColumn("_epoch", F.max(F.when(F.col("kind") == "register", at)).over(hour))
+    alive = timed.where(F.col("_epoch").isNull() | (at >= F.col("_epoch")))
+    hours = alive.groupBy("source", "_hour").agg(
         F.max_by(_status(), at).alias("status"),
-        F.max_by(error, F.when(error.isNotNull(), at)).alias("last_error"),
-        F.max_by("ts", at).alias("last_update"),
-        F.count(error).alias("error_count"),
-        F.min_by("ts", at).alias("start_time"),
+        F.max(F.when(error.isNotNull(), F.struct("ts", "seq", error.alias("error")))).alias("_error"),
+        F.max(at).alias("_last"), F.min(at).alias("_first"), F.count(error).alias("_errors"),
+        F.max("_epoch").alias("_epoch"),
+    )
+    newest = F.max(F.when(F.col("_epoch").isNotNull(), F.col("_hour"))).over(Window.partitionBy("source"))
+    kept = hours.withColumn("_from", newest).where("_from IS NULL OR _hour >= _from")
+    return kept.groupBy("source").agg(
+        F.max_by("status", "_last").alias("status"),
+        F.max("_error").getField("error").alias("last_error"),
+        F.max("_last").getField("ts").alias("last_update"),
+        F.sum("_errors").alias("error_count"),
+        F.min("_first").getField("ts").alias("start_time"),
     )
 
 

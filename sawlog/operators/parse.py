@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sawlog.functions.binding import let
 from sawlog.functions.jsonfmt import is_number_kind, variant_text
 from sawlog.functions.levels import is_valid_level, normalize_level
 from sawlog.functions.text import trim_space
-from sawlog.functions.times import parse_ts
+from sawlog.functions.times import parse_tidy_ts, parse_ts, tidy_ts
 from sawlog.schema import FIELDS_TYPE, MAX_FIELDS, MAX_LINE_BYTES, column_or_null
 
 # The keys a record's timestamp, level and message are looked up under, in order.
@@ -92,12 +93,27 @@ def _first_present(record: Column, keys: list[str]) -> Column:
     return F.coalesce(*[F.when(F.map_contains_key(record, k), F.lit(k)) for k in keys])
 
 
-def _present_keys(record: Column) -> Column:
-    return F.filter(F.array(*map(F.lit, TIMESTAMP_KEYS)), lambda k: F.map_contains_key(record, k))
+def _from_seconds(seconds: Column) -> Column:
+    # Seconds beyond the microsecond range cannot be a timestamp here.
+    return F.when(F.abs(seconds) < 2.0**63 / 1e6, F.timestamp_seconds(seconds.try_cast("long")))
+
+
+def _variant_ts(value: Column, assume_year: int | None) -> Column:
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "STRING", parse_ts(F.try_variant_get(value, "$", "string"), assume_year)).when(
+        is_number_kind(kind), _from_seconds(F.try_variant_get(value, "$", "double"))
+    )
 
 
-def _without(record: Column, *keys: Column) -> Column:
-    return F.map_filter(record, lambda k, _: ~F.coalesce(k.isin(*keys), F.lit(False)))
+def _first_parsing(record: Column, parse) -> Column:
+    """``struct(key, ts)`` of the first timestamp key whose value parses; for when the first key's does not."""
+    present = F.filter(F.array(*map(F.lit, TIMESTAMP_KEYS)), lambda k: F.map_contains_key(record, k))
+    parsed = F.transform(present, lambda k: F.struct(k.alias("key"), parse(record[k]).alias("ts")))
+    return F.try_element_at(F.filter(parsed, lambda p: p.ts.isNotNull()), F.lit(1))
+
+
+def _without(record: Column) -> Column:
+    return F.map_filter(record, lambda k, _: ~F.array_contains(F.col("_taken"), k))
 
 
 def parse_logs(
@@ -236,44 +252,40 @@ def _add_record_parts(df: DataFrame, assume_year: int | None) -> DataFrame:
     def either(pick) -> Column:
         return F.when(is_json, pick(json)).when(is_pairs, pick(pairs))
 
-    def stamp(key, value=None, text=None) -> Column:
-        """A candidate timestamp: its text, or its number of seconds."""
-        if text is not None:
-            return F.struct(key.alias("key"), text.alias("text"), F.lit(None).cast("double").alias("seconds"))
-        kind = F.schema_of_variant(value)
-        return F.struct(
-            key.alias("key"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).alias("text"),
-            F.when(is_number_kind(kind), F.try_variant_get(value, "$", "double")).alias("seconds"),
-        )
-
-    no_key = F.lit(None).cast("string")
-    stamps = (
-        F.when(is_json, F.transform(_present_keys(json), lambda k: stamp(k, value=json[k])))
-        .when(is_pairs, F.transform(_present_keys(pairs), lambda k: stamp(k, text=pairs[k])))
-        .when(F.col("_text_dated"), F.array(stamp(no_key, text=F.col("_text_ts"))))
-    )
-    # Seconds beyond the microsecond range cannot be a timestamp here.
-    in_range = lambda s: F.when(F.abs(s) < 2.0**63 / 1e6, F.timestamp_seconds(s.try_cast("long")))
-    parsed = F.transform(
-        "_stamps",
-        lambda s: F.struct(s.key.alias("key"), F.coalesce(parse_ts(s.text, assume_year), in_range(s.seconds)).alias("ts")),
-    )
-    out = df.withColumn("_stamps", stamps).withColumns({
-        "_won": F.try_element_at(F.filter(parsed, lambda p: p.ts.isNotNull()), F.lit(1)),
+    out = df.withColumns({
+        "_ts_key": either(lambda record: _first_present(record, TIMESTAMP_KEYS)),
         "_level_key": either(lambda record: _first_present(record, LEVEL_KEYS)),
         "_message_key": either(lambda record: _first_present(record, MESSAGE_KEYS)),
     })
+    out = out.withColumn("_ts_value", F.when(is_json, json[F.col("_ts_key")]))
+    text = (
+        F.when(is_json, F.try_variant_get("_ts_value", "$", "string"))
+        .when(is_pairs, pairs[F.col("_ts_key")]).when(F.col("_text_dated"), F.col("_text_ts"))
+    )
+    out = out.withColumn("_ts_text", tidy_ts(text))
+    # No layout is all digits, so text that does not parse may still be a JSON number of seconds.
+    out = out.withColumn("_first_ts", parse_tidy_ts(F.col("_ts_text"), assume_year))
+    first = F.struct(F.col("_ts_key").alias("key"), F.col("_first_ts").alias("ts"))
+    out = out.withColumn(
+        "_won", F.when(F.col("_first_ts").isNotNull(), first).when(
+            F.col("_ts_key").isNotNull(), F.coalesce(
+                F.when(is_json, _first_parsing(json, lambda v: let(v, lambda x: _variant_ts(x, assume_year)))),
+                F.when(is_pairs, _first_parsing(pairs, lambda v: parse_ts(v, assume_year))),
+            )
+        )
+    )
     for name in ("level", "message"):
         out = out.withColumn(f"_{name}_value", F.when(is_json, json[F.col(f"_{name}_key")]))
-        out = out.withColumn(f"_{name}_kind", F.schema_of_variant(f"_{name}_value"))
+        out = out.withColumn(f"_{name}_scalar", F.try_variant_get(f"_{name}_value", "$", "string"))
         text = F.coalesce(
             F.when(is_pairs, pairs[F.col(f"_{name}_key")]),
-            variant_text(F.col(f"_{name}_value"), F.col(f"_{name}_kind")),
+            variant_text(F.col(f"_{name}_value"), F.col(f"_{name}_scalar")),
             F.lit("null"),
         )
         out = out.withColumn(f"_{name}_text", F.when(F.col(f"_{name}_key").isNotNull(), text))
-    taken = (F.col("_won.key"), F.col("_level_key"), F.col("_message_key"))
-    rest = F.when(is_json, _without(json, *taken)).when(is_pairs, _without(pairs, *taken).cast(FIELDS_TYPE))
+    taken = F.array_compact(F.array("_won.key", "_level_key", "_message_key"))
+    out = out.withColumn("_taken", taken)
+    rest = F.when(is_json, _without(json)).when(is_pairs, _without(pairs).cast(FIELDS_TYPE))
     return out.withColumn(
         "_rec", F.struct(
             F.col("_level_text").alias("level"), F.col("_message_text").alias("message"), rest.alias("fields"),

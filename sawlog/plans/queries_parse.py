@@ -251,8 +251,8 @@ def s4_upsert_bookmarks(spark, sf_dir):
     named = _reads(spark, sf_dir).withColumn(
         "name", F.concat(F.lit("mark-"), F.col("inode") * 7 + F.expr("`offset` div 100 % 7"))
     )
-    even = F.col("offset") % 200 == 0
-    return upsert_bookmarks(named.where(even), named.where(~even)).select("name", "file", "offset", "inode", "saved_at")
+    first = F.col("inode") == 0
+    return upsert_bookmarks(named.where(first), named.where(~first)).select("name", "file", "offset", "inode", "saved_at")
 
 
 @query("s5_decode_container_lines", """

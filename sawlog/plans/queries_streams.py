@@ -14,7 +14,7 @@ from sawlog.plans.queries_health import TRANSITIONS_SQL
 from sawlog.plans.queries_parse import AUTO_VIEWS
 from sawlog.plans.views import HEALTH_EVENTS_SQL, LOG_LINES_SQL, health_events, log_lines, raw_lines, rules_table
 from sawlog.session import ROCKSDB, checkpoint_dir
-from sawlog.streaming.pipeline import (
+from sawlog.streaming.streams import (
     stream_alerts, stream_collapse, stream_health_transitions, stream_metrics_by_interval, stream_parse,
 )
 

@@ -8,21 +8,23 @@ from sawlog.operators.tables import by_name, changed_since, dedupe_first, diff_s
 from sawlog.plans.catalog import query
 from sawlog.plans.views import table
 
-# Two versions of the order table: some orders gone, some new, some changed.
+# Two versions of the order table: early orders gone, late ones new, some changed.
 OLD_NEW_SQL = """
-old_orders AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders WHERE o_orderkey % 10 <> 1),
-new_orders AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 2 THEN o_totalprice + 1 ELSE o_totalprice END
-  AS o_totalprice, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 10 <> 4)"""
+old_orders AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_custkey FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+new_orders AS (SELECT o_orderkey, o_orderstatus,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderpriority = '2-HIGH' THEN NULL ELSE o_custkey END AS o_custkey
+  FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01')"""
 COLUMNS = ["o_orderstatus", "o_totalprice", "o_custkey"]
 
 
 def _old_new(spark, sf_dir):
-    orders, digit = table(spark, sf_dir, "orders"), F.col("o_orderkey") % 10
-    old = orders.where(digit != 1).select("o_orderkey", *COLUMNS)
-    new = orders.where(digit != 4).select(
+    orders, urgency = table(spark, sf_dir, "orders"), F.col("o_orderpriority")
+    old = orders.where(F.col("o_orderdate") < F.lit(datetime(2001, 1, 1))).select("o_orderkey", *COLUMNS)
+    new = orders.where(F.col("o_orderdate") >= F.lit(datetime(1996, 1, 1))).select(
         "o_orderkey", "o_orderstatus",
-        F.when(digit == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
-        F.when(digit != 3, F.col("o_custkey")).alias("o_custkey"),
+        F.when(urgency == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).alias("o_totalprice"),
+        F.when(urgency != "2-HIGH", F.col("o_custkey")).alias("o_custkey"),
     )
     return old, new
 

@@ -8,6 +8,7 @@ from sawlog.operators.alerts import evaluate_alerts
 from sawlog.operators.collapse import collapse_repeats
 from sawlog.operators.filters import filter_logs
 from sawlog.operators.parse import parse_logs
+from sawlog.session import stored
 
 
 def triage(
@@ -15,9 +16,10 @@ def triage(
 ) -> DataFrame:
     """Per source and level of the lines that pass the filters: lines, collapsed rows, alerts fired.
 
-    Alerts see every line, before the filters.
+    Alerts see every line, before the filters. The lines are parsed once and stored, as the
+    operators below read them several times.
     """
-    lines = parse_logs(raw).select("line_id", "source", "ts", "level", "message")
+    lines = stored(parse_logs(raw).select("line_id", "source", "ts", "level", "message"))
     collapsed = collapse_repeats(filter_logs(lines, min_level, pattern), window)
     shown = collapsed.groupBy("source", "level").agg(F.sum("count").alias("lines"), F.count("*").alias("entries"))
     fired = evaluate_alerts(lines, rules).groupBy("source").agg(

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -19,6 +20,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="sawlog-checkpoint-")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once as a table in the shared folder and read back.
+
+    For results that several branches read and that are dear to compute: the lineage ends
+    here, a lost executor costs no new parse, and every branch reads only the columns it needs.
+    """
+    place = f"{checkpoint_dir(df.sparkSession)}/sawlog/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
