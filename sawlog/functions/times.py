@@ -39,8 +39,9 @@ def tidy_ts(text: Column) -> Column:
 
 def parse_tidy_ts(s: Column, assume_year: int | None = None) -> Column:
     """``parse_ts`` of text that ``tidy_ts`` has prepared."""
-    spaced = F.regexp_replace(s, " +", " ")
-    zoned = s.contains("T") & s.rlike(r"(Z|[+-]\d{2}:\d{2})\z")
+    spaced = F.when(s.contains("  "), F.regexp_replace(s, " +", " ")).otherwise(s)
+    # Enough to tell a zone once the layout is known to match.
+    zoned = s.endswith("Z") | (s.contains("T") & F.substring(s, -6, 1).isin("+", "-"))
     iso = F.concat(spaced, F.when(zoned, F.lit("")).otherwise(F.lit("Z")))
     access = F.concat(
         F.substring(s, 8, 4), F.lit("-"), _month(F.substring(s, 4, 3)), F.lit("-"), F.substring(s, 1, 2),
