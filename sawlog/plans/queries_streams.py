@@ -26,6 +26,8 @@ class _StreamingReads:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.read = spark, self
+        # The stateful streams need this store; the queries are run on any session.
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def parquet(self, path: str) -> DataFrame:
         schema = self.spark.read.parquet(path).schema
@@ -35,8 +37,6 @@ class _StreamingReads:
 
 def _finish(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run the stream to the end of its input; the result is a table in the shared folder."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, ROCKSDB)
     place = f"{checkpoint_dir(spark)}/sawlog-streams/{uuid.uuid4().hex}"
     running = (
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
