@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from sawlog.llm.common import Words, mixed, narrow, pieces, rolling, stored
 from sawlog.llm.components import connected_components
 
-BANDS, ROWS = 40, 6  # misses a pair at 85 % with probability (1 - 0.85**6)**40 < 1e-8
+MINIMA = 240
+MISSED = 1e-5  # chance, at most, that a pair at the threshold shares no band
 BITS = 4  # low bits kept of each minimum
 BLOCK = 128  # documents compared with each other in one task
 SIGMAS = 6
@@ -22,7 +23,13 @@ def _parameters(n: int) -> tuple[np.ndarray, np.ndarray]:
     return (seeds[:n] | np.uint64(1)).astype(np.uint32), seeds[n:].astype(np.uint32)
 
 
-_A, _B = _parameters(BANDS * ROWS)
+_A, _B = _parameters(MINIMA)
+
+
+def rows_per_band(percent: int) -> int:
+    """As many minima to a band as the threshold allows: 6 (so 40 bands) from 80 % on, fewer below."""
+    share = percent / 100
+    return max([r for r in (2, 3, 4, 5, 6) if (1 - share**r) ** (MINIMA // r) < MISSED], default=1)
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -68,26 +75,28 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
     """Per document: set size, a 128-bit digest of the set, and the band keys."""
 
+    bands = MINIMA // rows
+
     def run(batches):
         for batch in batches:
             for ids, texts in slices(batch):
-                rows = []
+                out = []
                 for s in shingle_sets(texts, width):
                     if len(s):
-                        m = minima(s).reshape(BANDS, ROWS).astype(np.uint64)
-                        keys = np.arange(BANDS, dtype=np.uint64)
-                        for j in range(ROWS):
+                        m = minima(s)[: bands * rows].reshape(bands, rows).astype(np.uint64)
+                        keys = np.arange(bands, dtype=np.uint64)
+                        for j in range(rows):
                             keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + m[:, j])
-                        rows.append((len(s), int(_signed(s.sum(keepdims=True))[0]),
+                        out.append((len(s), int(_signed(s.sum(keepdims=True))[0]),
                                      int(_signed(mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0]), _signed(keys)))
                     else:
-                        rows.append((0, 0, 0, None))
+                        out.append((0, 0, 0, None))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
-                     pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                    [ids, pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
+                     pa.array([r[2] for r in out], pa.int64()), pa.array([r[3] for r in out], pa.list_(pa.int64()))],
                     ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     shorter text is one shingle; an empty or null text has none and is linked with nothing. Rows that share
     a ``doc_id`` are one node; a row without ``doc_id`` is in no group (``component_id`` null) and kept.
 
-    1. MinHash: 240 minima per set give 40 band keys. Documents with equal sets become one class.
+    1. MinHash: 240 minima per set give 40 band keys (more and shorter ones below 80 %). Documents with equal sets become one class.
     2. Members of a band bucket are linked to its smallest member only; the components of these
        stars hold every candidate pair without writing pairs.
     3. Each such component is compared in blocks of bounded size: bit counts of the packed low bits of the
@@ -205,7 +214,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     4. Where a component fills several blocks, members outside its largest group meet every block.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(signatures(docs, width))
+    signed = stored(signatures(docs, width, rows_per_band(percent)))
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
@@ -269,5 +278,7 @@ def _cross_links(wide: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     right = (labelled.join(per_task, "component")
              .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select(columns))
     keys = ["component", "block", "chunk"]
+    # Both sides come from one table; new columns keep them apart.
+    left, right = (side.select(*(F.col(c).alias(c) for c in columns)) for side in (left, right))
     pairs = left.groupBy(keys).cogroup(right.groupBy(keys))
     return stored(meeting.unionByName(pairs.applyInArrow(_across(percent), _EDGES)))
