@@ -142,3 +142,63 @@ def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]
         size += len(text)
     if start < len(texts):
         yield start, len(texts)
+
+
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_inverses = np.ones(1, np.uint64)
+
+
+class Prefixes:
+    """Rabin-Karp hashes of any spans of a byte string, by differences of prefix sums."""
+
+    def __init__(self, data: bytes):
+        global _inverses
+        raw = np.frombuffer(data, np.uint8)
+        n = len(raw) + 1
+        if len(_inverses) < n:
+            grown = np.full(max(n, 4096), _INVERSE, np.uint64)
+            grown[0] = 1
+            _inverses = np.multiply.accumulate(grown)
+        self.sums = np.zeros(n, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(n)[:-1], out=self.sums[1:])
+
+    def spans(self, start: np.ndarray, end: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+        value = (self.sums[end] - self.sums[start]) * _inverses[start]
+        return mixed(value + mixed((end - start).astype(np.uint64) + np.uint64(0x51ED27) * np.asarray(salt).astype(np.uint64)))
+
+
+def intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of half-open spans as maximal ones; spans that touch are one."""
+    order = np.argsort(starts, kind="stable")
+    starts, reach = starts[order], np.maximum.accumulate(ends[order])
+    new = np.ones(len(starts), bool)
+    new[1:] = starts[1:] > reach[:-1]
+    return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``id, tag, digest, doc_id, text``: a key that keeps rows apart that share a ``doc_id`` or have none.
+
+    Rows equal in both columns share their key, and so their results.
+    """
+    missing = F.col("doc_id").isNull()
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.hash(missing, "text").alias("tag"),
+        F.md5(text_or_empty()).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+KEY = ["id", "tag"]
+
+
+def with_repeated(texts: DataFrame, grams: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The texts that hold some of the ``repeated(gram)``, with those they hold as ``hits``.
+
+    ``grams`` has the key and one array ``grams`` per text. Only texts with hits are shuffled where
+    their keys are few enough to be broadcast.
+    """
+    hits = stored(grams.select(*KEY, F.explode("grams").alias("gram")).join(narrow(repeated), "gram")
+                  .groupBy(KEY).agg(F.collect_set("gram").alias("hits")))
+    n = hits.count()
+    if n <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(hits.select(KEY)), KEY, "left_semi")
+    return texts.join(hits, KEY)
