@@ -171,7 +171,7 @@ def _within(percent: int):
 def _across(percent: int):
     """Documents outside the largest component against one block: a link to each component found there."""
 
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         pairs = []
         if left.num_rows and right.num_rows:
             ids, of = right.column("doc_id").to_pylist(), np.array(right.column("label").to_pylist())

@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
-from sawlog.llm import op1, op2, op3, op4, op5, op6, op9  # noqa: F401
+from sawlog.llm import op1, op10, op2, op3, op4, op5, op6, op9  # noqa: F401
 from sawlog.llm.catalog import ORACLE, QUERIES  # noqa: F401
