@@ -196,7 +196,7 @@ def with_repeated(texts: DataFrame, grams: DataFrame, repeated: DataFrame) -> Da
     ``grams`` has the key and one array ``grams`` per text. Only texts with hits are shuffled where
     their keys are few enough to be broadcast.
     """
-    hits = stored(grams.select(*KEY, F.explode("grams").alias("gram")).join(narrow(repeated), "gram")
+    hits = stored(grams.select(*KEY, F.explode("grams").alias("gram")).join(repeated, "gram")
                   .groupBy(KEY).agg(F.collect_set("gram").alias("hits")))
     n = hits.count()
     if n <= BROADCAST_ROWS:
