@@ -176,20 +176,23 @@ def intervals(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
 
 
+KEY = ["id", "tag"]
+
+
+def key_columns() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.hash(F.col("doc_id").isNull(), "text")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``id, tag, digest, doc_id, text``: a key that keeps rows apart that share a ``doc_id`` or have none.
 
     Rows equal in both columns share their key, and so their results.
     """
-    missing = F.col("doc_id").isNull()
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.hash(missing, "text").alias("tag"),
+        *(column.alias(name) for name, column in zip(KEY, key_columns(), strict=True)),
         F.md5(text_or_empty()).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
 
-KEY = ["id", "tag"]
-
-
 def with_repeated(texts: DataFrame, grams: DataFrame, repeated: DataFrame) -> DataFrame:
     """The texts that hold some of the ``repeated(gram)``, with those they hold as ``hits``.
 

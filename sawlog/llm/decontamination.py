@@ -54,7 +54,7 @@ def with_fingerprints(df: DataFrame, length: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """Words of documents within a passage of ``length`` words that a benchmark item has too.
 
-    Returns per row of ``docs(doc_id, text)``: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
+    Returns per row of ``docs(doc_id, text)``: the key of ``keyed``, ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``.
     ``benchmark`` has ``item_id, text``; an item of fewer words is a passage as a whole; one without words has none. Only these
     columns are read. A null text has no words; rows without ``doc_id`` are checked like others. Repeated items count once; an item without ``item_id``
     marks words but isn't counted.
@@ -87,7 +87,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> Da
     ids = F.coalesce("items", F.array().cast("array<string>"))
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return result.join(narrow(stored(found)), KEY, "left").select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
+        *KEY, "doc_id", "n_words", hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 

@@ -7,7 +7,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from sawlog.llm.catalog import query
-from sawlog.llm.common import table
+from sawlog.llm.common import KEY, table
 from sawlog.llm.decontamination import WORDS, contamination
 
 SQL = f"""
@@ -35,4 +35,4 @@ FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 
 @query("op3_winnowing", SQL)
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10).drop(*KEY)
