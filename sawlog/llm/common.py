@@ -132,14 +132,15 @@ class Words:
         self.first = np.cumsum(self.count) - self.count
 
 
-def pieces(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring texts with about ``limit`` bytes together; a long text stands alone."""
-    start = size = 0
+def pieces(texts: list[bytes] | list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring texts (or their sizes) with about ``limit`` bytes together; a long text stands alone."""
+    start = total = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > limit:
+        size = text if isinstance(text, int) else len(text)
+        if total and total + size > limit:
             yield start, i
-            start, size = i, 0
-        size += len(text)
+            start, total = i, 0
+        total += size
     if start < len(texts):
         yield start, len(texts)
 

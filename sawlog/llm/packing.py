@@ -8,44 +8,73 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sawlog.llm.common import stored
+from sawlog.llm.common import pieces, stored
 
 GROUP = 100_000  # pieces packed in one task
-CACHE = 400_000  # words whose ids a task remembers
+CACHE = 1_500_000  # words whose ids a worker remembers
+SLICE = 8 << 20  # bytes of text tokenized at once
 LONG = 64  # characters beyond which a word is not remembered
 SHIFT = 33  # bits of a sequence number below its group
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return "<" not in text
+
+
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes.
+    """Ids of texts by their words.
 
-    For tokenizers that split at white space first, so that a text's ids are those of its words in turn; the ids of
-    frequent words are remembered.
+    For tokenizers that put texts into composed lower case, split at white space first and then between letters and other
+    characters: there a text's ids are those of its words in turn. Words are told apart once per batch, and ids of words are remembered
+    from batch to batch, at most ``CACHE``. Plain texts are put into lower case before, and their full stops and commas taken off, as the tokenizer does
+    itself; that leaves fewer words.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
-    def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(set(words) - {""})
-            for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = np.array(code.ids, "<u4").tobytes()
-        ids = b"".join([known[w] for w in words])
-        for word in new:
-            if len(word) > LONG:
-                del known[word]
-        return ids
+    def _words(self, texts: pa.Array) -> pa.ListArray:
+        plain = pa.array([_latin(t) for t in texts.to_pylist()], pa.bool_())
+        lower = pc.utf8_lower(texts)
+        for mark in ". ", ", ", ".\n":
+            lower = pc.replace_substring(lower, mark, " " + mark)
+        texts = pc.if_else(plain, lower, texts)
+        for space in "\n", "\t", "\r":
+            texts = pc.replace_substring(texts, space, " ")
+        return pc.split_pattern(texts, " ")
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where those of each text end."""
+        lists = self._words(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
+        found = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.known) + len(new) > CACHE:
+            self.known = {"": b""}
+        for i, code in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
+            found[i] = np.array(code.ids, "<u4").tobytes()
+            if len(words[i]) <= LONG:
+                self.known[words[i]] = found[i]
+        size = np.array([len(ids) // 4 for ids in found], np.int64)
+        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
+        each = size[codes]
+        ends = np.cumsum(each)
+        ids = flat[np.repeat(start[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+        upto = np.concatenate([[0], ends])[np.asarray(lists.value_lengths()).cumsum()]
+        return ids, upto
+
+
+_encoders: dict[str, WordIds] = {}
 
 
 def tokenized(docs: DataFrame, path: str, length: int, end_id: int, digest: Callable[[bytes], int] | None = None) -> DataFrame:
@@ -57,15 +86,19 @@ def tokenized(docs: DataFrame, path: str, length: int, end_id: int, digest: Call
 
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
-        encode, end = WordIds(path), np.array([end_id], "<u4").tobytes()
+        if path not in _encoders:
+            _encoders[path] = WordIds(path)
+        encode, end = _encoders[path], np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(a, 256).to_pylist()
-                row, piece, size, out = [], [], [], []
-                for i, text in enumerate(texts, a):
-                    ids = encode(text or "") + end
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        part = ids[at : at + 4 * length]
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in pieces(pc.binary_length(texts).to_pylist(), SLICE):
+                ids, upto = encode(texts.slice(a, b - a))
+                row, piece, size, out, before = [], [], [], [], 0
+                for i, after in enumerate(upto.tolist(), a):
+                    whole = ids[before:after].tobytes() + end
+                    before = after
+                    for k, at in enumerate(range(0, len(whole), 4 * length)):
+                        part = whole[at : at + 4 * length]
                         row.append(i)
                         piece.append(k)
                         size.append(len(part) // 4)

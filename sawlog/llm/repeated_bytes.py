@@ -134,7 +134,7 @@ def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     regions = stored(with_repeated(texts, own, repeated).mapInArrow(_regions(length), _REGION))
     pending = regions.withColumn("top", F.col("high"))
     found = None
-    for width in WIDTHS:
+    for width in [w for w in WIDTHS if 2 * w <= length]:
         parts = stored(pending.select(*RUN, "low", "high", "top", "region").mapInArrow(_refined(length, width), _PART))
         classes = stored(parts.groupBy("core", "union").agg(
             F.count("*").alias("n"), F.min(F.struct(*RUN, "low", "high", "top")).alias("rep")))
@@ -185,6 +185,8 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     one member of each remaining sub-bucket on to a finer round. Parts are counted with
     pre-aggregation, so a passage in a third of all documents is no task's burden. Identifiers have 64 bits.
     """
+    if length < Q:
+        raise ValueError(f"strings need at least {Q} bytes")
     docs = keyed(docs)
     scan, spans = repeated_spans(docs, length)
     rest = scan.filter(~F.col("copy")).select(KEY)

@@ -151,15 +151,13 @@ def _written(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, table: list[float], margin: float = MARGIN) -> DataFrame:
-    """``docs`` with ``spans`` (an array of ``start, number, end, kind``) and one ``at_<kind>`` per kind.
+    """A row per row of ``docs(text, ...)``: ``row`` (its columns, whatever their names), ``scanned`` (its text), ``spans`` (an array of
+    ``start, number, end, kind``) and one ``at_<kind>`` per kind.
 
-    ``docs(doc_id, text)``: a null text is empty, each row stands for itself, and other columns stay unless they have one of
-    these names. Places count code points, ends are exclusive. Kinds may overlap; each finds its own matches from left to right.
+    A null text is empty. Places count code points, ends are exclusive. Kinds may overlap; each finds its own matches from left to right.
     """
-    made = {"spans", "held", "loose", "scanned", *(f"at_{k}" for k in (*KINDS, MODEL))}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]).withColumn("scanned", text_or_empty())
-    found = with_random(with_base(docs, F.col("scanned")), F.col("scanned"), table, margin)
-    return found.withColumn("spans", _listed([*KINDS, MODEL])).drop("scanned")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_or_empty().alias("scanned"))
+    return with_random(with_base(held, F.col("scanned")), F.col("scanned"), table, margin).withColumn("spans", _listed([*KINDS, MODEL]))
 
 
 def trained(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> list[float]:
@@ -171,22 +169,21 @@ def report(docs: DataFrame) -> DataFrame:
     """``doc_id, n_assign, n_access, n_hex, n_random, base_sha256, spans`` per row of ``docs``."""
     found = find_secrets(docs.select("doc_id", "text"), trained(docs))
     counts = [F.size(f"at_{kind}").cast("long").alias(f"n_{kind}") for kind in (*KINDS, MODEL)]
-    return found.select("doc_id", *counts, F.sha2(_written(_listed(list(KINDS))), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_written(_listed(list(KINDS))), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame, table: list[float], mark: str = "<secret>", margin: float = MARGIN) -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; overlapping spans give one mark. A null text stays null."""
-    columns = docs.columns
-    found = find_secrets(docs.withColumn("_text", F.col("text")), table, margin)
+    found = find_secrets(docs, table, margin)
     start = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
 
     def cut(acc: Column, s: Column) -> Column:
-        ahead = F.concat(acc["out"], F.substr("_text", acc["done"] + 1, F.greatest(s["start"] - acc["done"], F.lit(0))),
+        ahead = F.concat(acc["out"], F.substr("scanned", acc["done"] + 1, F.greatest(s["start"] - acc["done"], F.lit(0))),
                          F.when(s["start"] >= acc["done"], F.lit(mark)).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["done"], s["end"]).alias("done"), ahead.alias("out"))
 
     def rest(acc: Column) -> Column:
-        return F.concat(acc["out"], F.substr("_text", acc["done"] + 1, F.char_length("_text")))
+        return F.concat(acc["out"], F.substr("scanned", acc["done"] + 1, F.char_length("scanned")))
 
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(F.col("_text"))
-    return found.withColumn("text", text).select(*columns)
+    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, cut, rest)).otherwise(F.col("row.text")).alias("text")
+    return found.select(*[text if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])

@@ -185,18 +185,19 @@ class Toxicity:
     base: float
 
     def scored(self, df: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
-        """``df`` with ``name``: 0 to 1. Columns that start with ``_tox`` are replaced."""
-        df = df.drop(*[c for c in df.columns if c.lower().startswith("_tox")])
+        """``df`` with ``name``: 0 to 1. Its own columns are kept aside as one, so they may have any names."""
+        columns = [c for c in df.columns if c.lower() != name.lower()]
+        held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
         if self.trees is None:
-            return df.withColumn(name, F.lit(self.base))
-        df = df.withColumn("_tox", array_to_vector(features(self.lexicon)(F.col(text))))
-        df = self.trees.transform(df)
-        chance = vector_to_array("_tox_chance")[1]
-        if self.scale is not None:
-            df = self.scale.transform(df.withColumn("_tox_one", chance))
-            chance = F.least(F.greatest(F.col("_tox_scaled"), F.lit(0.0)), F.lit(1.0))
-        out = df.withColumn(name, chance)
-        return out.drop(*[c for c in out.columns if c.startswith("_tox")])
+            scored = held.select("row", F.lit(self.base).alias("chance"))
+        else:
+            scored = self.trees.transform(held.withColumn("_tox", array_to_vector(features(self.lexicon)(F.col("text"))))).select(
+                "row", vector_to_array("_tox_chance")[1].alias("_tox_one"))
+            if self.scale is None:
+                scored = scored.withColumnRenamed("_tox_one", "chance")
+            else:
+                scored = self.scale.transform(scored).select("row", F.least(F.greatest("_tox_scaled", F.lit(0.0)), F.lit(1.0)).alias("chance"))
+        return scored.select(*[F.col(f"row.`{c}`") for c in columns], F.col("chance").alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicity:
