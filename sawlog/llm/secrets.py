@@ -74,7 +74,7 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
 def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     """Labelled strings ``token, random`` from about ``documents`` documents, chosen by a hash of ``doc_id``.
 
-    Ordinary: words and identifiers that are no part of a fixed form, also in capitals. Random: the secrets of the fixed forms, and for every ordinary
+    Ordinary: words and identifiers that are no part of a fixed form, also in capitals; strings of both letters and digits have no label. Random: the secrets of the fixed forms, and for every ordinary
     string its SHA-256 in the usual writings (hexadecimal, base64, capitals and digits).
     """
     total = docs.count()
@@ -82,7 +82,8 @@ def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(text_or_empty().alias("text"))
     forms = "|".join(pattern for pattern, _, _ in KINDS.values())
     cleaned = F.regexp_replace("text", forms, " ")
-    ordinary = some.select(F.explode(F.regexp_extract_all(cleaned, F.lit(ORDINARY), F.lit(0))).alias("token"))
+    ordinary = some.select(F.explode(F.regexp_extract_all(cleaned, F.lit(ORDINARY), F.lit(0))).alias("token")).filter(
+        ~(F.col("token").rlike("[0-9]") & F.col("token").rlike("[A-Za-z]")))
     values = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(g)) for p, g, _ in KINDS.values()])
     secrets = some.select(F.explode(values).alias("token")).filter(F.char_length("token") >= 12)
     digest = F.sha2("token", 256)
