@@ -128,8 +128,9 @@ def rule_status(rules: DataFrame, events: DataFrame) -> DataFrame:
     return rules.join(stats, "name", "left").withColumn("fire_count", F.coalesce("fire_count", F.lit(0)))
 
 
-def recent_events(events: DataFrame, limit: int = 100, keep: int = 100) -> DataFrame:
-    """The newest events in firing order: at most ``keep`` are held, ``limit`` of them shown."""
-    shown = keep if limit <= 0 else min(limit, keep)
+def recent_events(events: DataFrame, limit: int = 100, keep: int | None = None) -> DataFrame:
+    """The newest ``limit`` events (100 if not positive) in firing order; ``keep`` bounds them where given."""
+    shown = limit if limit > 0 else keep or 100
+    shown = shown if keep is None else min(shown, keep)
     last = events.orderBy(F.desc("fired_at"), F.desc("id")).limit(shown)
     return last.orderBy("fired_at", "id")

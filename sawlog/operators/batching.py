@@ -14,10 +14,11 @@ BULK_SIZE, MAX_BULK_SIZE = 500, 10_000
 WEBHOOK_SIZE, MAX_WEBHOOK_SIZE = 10, 100
 
 
-def batch_size(size: int | None, default: int, largest: int) -> int:
+def batch_size(size: int | None, default: int, largest: int | None) -> int:
+    """The asked size, or the default; one over ``largest`` raises, unless that is None."""
     if not size or size <= 0:
         return default
-    if size > largest:
+    if largest is not None and size > largest:
         raise ValueError(f"batch size must be <= {largest}")
     return size
 
@@ -39,14 +40,14 @@ def _joined(parts: Column, glue: str) -> Column:
 
 def bulk_bodies(
     df: DataFrame, index: str, size: int | None = None, sent_at: str = "ts", with_ids: bool = False,
-    order: str = "line_id",
+    order: str = "line_id", largest: int | None = MAX_BULK_SIZE,
 ) -> DataFrame:
     """Bulk request bodies ``(batch, docs, bulk_body)``: an action line and a document line per record.
 
     Date parts of the index name come from the ``sent_at`` column. With ``with_ids`` each document
     has an id made of source and order, so that a repeated request does not add it again.
     """
-    count = batch_size(size, BULK_SIZE, MAX_BULK_SIZE)
+    count = batch_size(size, BULK_SIZE, largest)
     batched = batch_records(df, count, order)
     doc_id = F.sha2(F.concat_ws("|", "source", F.col(order).cast("string")), 256)
     extra = F.concat(F.lit(',"_id":"'), doc_id, F.lit('"')) if with_ids else F.lit("")
@@ -55,7 +56,7 @@ def bulk_bodies(
         F.lit('{"index":{"_index":"'), resolve_index(index, F.col(sent_at)), F.lit('"'), extra, F.lit("}}\n"),
         log_json(F.col("ts"), F.col("level"), F.col("message"), F.col("source"), fields), F.lit("\n"),
     )
-    # A batch holds at most MAX_BULK_SIZE documents, so the lists are bounded.
+    # A batch holds at most ``size`` documents, so the lists are bounded.
     grouped = batched.groupBy("batch").agg(
         F.count("*").alias("docs"), F.collect_list(F.struct("place", text.alias("text"))).alias("_parts")
     )
@@ -64,10 +65,10 @@ def bulk_bodies(
 
 def webhook_payloads(
     df: DataFrame, sent_at: Column, min_level: str | None = None, size: int | None = None, app: str = "Sawlog",
-    order: str = "line_id",
+    order: str = "line_id", largest: int | None = MAX_WEBHOOK_SIZE,
 ) -> DataFrame:
     """Webhook bodies ``(batch, count, payload)`` of lines from ``min_level`` on."""
-    count = batch_size(size, WEBHOOK_SIZE, MAX_WEBHOOK_SIZE)
+    count = batch_size(size, WEBHOOK_SIZE, largest)
     batched = batch_records(webhook_min_level(df, min_level), count, order)
     item = F.concat(
         F.lit('{"timestamp":"'), rfc3339(F.col("ts"), fraction=False), F.lit('","level":'), json_string(F.upper("level")),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from sawlog.functions.levels import level_rank, priority_number, rank_of
 from sawlog.functions.regexes import MAX_FILTER_PATTERN, RegexError, checked_regexes
+from sawlog.operators.matching import compacted
 
-MAX_SEARCHES = 1000
-SEARCH_SCHEMA = "struct<levels:array<string>,sources:array<string>,regex:string>"
+SEARCH_SCHEMA = "struct<levels:array<string>,sources:array<string>,regex:string,_bad:string>"
 
 
 def filter_level(df: DataFrame, min_level: str | None) -> DataFrame:
@@ -22,12 +22,12 @@ def filter_level(df: DataFrame, min_level: str | None) -> DataFrame:
     return df.where(rank.isNull() | (rank >= least))
 
 
-def filter_regex(df: DataFrame, pattern: str | None) -> DataFrame:
-    """Lines whose message contains a match; an invalid pattern raises at once."""
+def filter_regex(df: DataFrame, pattern: str | None, max_bytes: int | None = MAX_FILTER_PATTERN) -> DataFrame:
+    """Lines whose message contains a match; an invalid pattern, or one longer than ``max_bytes`` unless that is None, raises at once."""
     if not pattern:
         return df
-    if len(pattern.encode()) > MAX_FILTER_PATTERN:
-        raise RegexError(f"regex pattern too long ({len(pattern.encode())} bytes, max {MAX_FILTER_PATTERN})")
+    if max_bytes is not None and len(pattern.encode()) > max_bytes:
+        raise RegexError(f"regex pattern too long ({len(pattern.encode())} bytes, max {max_bytes})")
     java, = checked_regexes(df.sparkSession, [pattern])
     return df.where(F.col("message").rlike(java))
 
@@ -83,10 +83,19 @@ def search_logs(
     return reduce(DataFrame.where, _search_tests(df, levels, sources, regex), shown)
 
 
+def _read_searches(searches: DataFrame) -> list[Row]:
+    """Saved searches with decoded filters; one that does not decode is reported, not taken as matching all."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    rows = searches.select("name", F.from_json("filters", SEARCH_SCHEMA, options).alias("f")).collect()
+    broken = [row.name for row in rows if row.f is not None and row.f._bad is not None]
+    if broken:
+        raise ValueError(f"saved searches with broken filters: {broken}")
+    return rows
+
+
 def run_saved_search(df: DataFrame, searches: DataFrame, name: str) -> DataFrame:
     """The lines of one saved search; ``searches`` has ``name`` and ``filters`` as JSON."""
-    found = searches.where(F.col("name") == name).select(F.from_json("filters", SEARCH_SCHEMA).alias("f")).limit(1)
-    rows = found.collect()
+    rows = _read_searches(searches.where(F.col("name") == name).limit(1))
     if not rows:
         raise KeyError(f"no saved search {name!r}")
     filters = rows[0].f
@@ -97,16 +106,14 @@ def run_saved_search(df: DataFrame, searches: DataFrame, name: str) -> DataFrame
 
 def run_saved_searches(df: DataFrame, searches: DataFrame) -> DataFrame:
     """Every line with each saved search it is in, as ``search``; all are tested in one pass over the lines."""
-    bound = searches.select("name", F.from_json("filters", SEARCH_SCHEMA).alias("f")).limit(MAX_SEARCHES + 1).collect()
-    if len(bound) > MAX_SEARCHES:
-        raise ValueError(f"more than {MAX_SEARCHES} saved searches: this is not a table of searches")
+    bound = _read_searches(searches)
     shown = search_logs(df)
     hits = []
     for row in bound:
         f = row.f
         tests = _search_tests(df, f.levels, f.sources, f.regex) if f else []
         hits.append(F.when(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(row.name)))
-    names = F.array_compact(F.array(*hits)) if hits else F.array().cast("array<string>")
+    names = compacted(hits) if hits else F.array().cast("array<string>")
     return shown.select("*", F.explode(names).alias("search"))
 
 

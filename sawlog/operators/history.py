@@ -10,7 +10,6 @@ from sawlog.functions.times import duration_us
 from sawlog.operators.tables import page
 
 DEFAULT_LIMIT = 100
-MAX_LIMIT = 1000
 RETENTION = "720h"
 
 
@@ -23,10 +22,11 @@ def list_alert_events(
     end: datetime | None = None,
     limit: int = 0,
     offset: int = 0,
+    max_limit: int | None = None,
 ) -> DataFrame:
     """Events under all given conditions, newest first; times are inclusive.
 
-    No limit means 100, and no more than 1000 are listed at once. Equal times are ordered by id.
+    No limit means 100. A service that wants to bound what one call lists gives ``max_limit``. Equal times are ordered by id.
     On a table partitioned by ``fired_on`` (see ``append_alert_events``) the time range prunes it.
     """
     for column, value in (("severity", severity), ("rule_name", rule), ("source", source)):
@@ -38,7 +38,7 @@ def list_alert_events(
             events = events.where(getattr(F.col("fired_at"), column_test)(F.lit(value)))
             if dated:
                 events = events.where(getattr(F.col("fired_on"), column_test)(F.lit(value).cast("date")))
-    size = DEFAULT_LIMIT if limit <= 0 else min(limit, MAX_LIMIT)
+    size = DEFAULT_LIMIT if limit <= 0 else min(limit, max_limit or limit)
     return page(events.orderBy(F.desc("fired_at"), F.desc("id")), size, offset)
 
 

@@ -13,8 +13,7 @@ from sawlog.schema import RULE_SCHEMA
 
 LINE_RULES = ("pattern", "level", "error_rate")
 RULE_TYPES = (*LINE_RULES, "health_change")
-RULES_PER_PASS = 128
-MAX_RULES = 10_000
+TESTS_PER_ARRAY = 64  # keeps each generated expression small; all arrays are made in one pass
 
 
 class RuleError(ValueError):
@@ -23,9 +22,7 @@ class RuleError(ValueError):
 
 def bind_rules(rules: DataFrame) -> list[Row]:
     """Read a rule table to the driver and check it. One bad rule rejects the whole set."""
-    bound = rules.select(*RULE_SCHEMA.fieldNames()).limit(MAX_RULES + 1).collect()
-    if len(bound) > MAX_RULES:
-        raise RuleError(f"more than {MAX_RULES} rules: this is not a rule table")
+    bound = rules.select(*RULE_SCHEMA.fieldNames()).collect()
     names = [rule.name for rule in bound]
     if len(set(names)) < len(names):
         raise RuleError("rule names must be unique")
@@ -53,9 +50,9 @@ def _fires(rule: Row, java_pattern: str | None) -> Column:
 def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     """Each line with each line rule it meets: the line's columns, ``rule_no`` and the rule's.
 
-    The rule set is bound into the plan, one literal test per rule, so each regex is compiled
-    once, no join is needed and a hot source costs nothing. Large sets go in several passes.
-    Order of rules is kept in ``rule_no``.
+    The rule set, of any size the driver holds, is bound into the plan, one literal test per rule,
+    so each regex is compiled once, no join is needed and a hot source costs nothing. All rules are
+    tested in one pass over the lines. Order of rules is kept in ``rule_no``.
     """
     bound = bind_rules(rules)
     numbered = [(no, r) for no, r in enumerate(bound) if r.type in LINE_RULES]
@@ -63,8 +60,13 @@ def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
     java = iter(checked_regexes(lines.sparkSession, patterns))
     tests = [(no, r, next(java) if r.type == "pattern" else None) for no, r in numbered]
     ranked = lines.withColumn("_rank", level_rank(F.col("level")))
-    passes = [tests[i:i + RULES_PER_PASS] for i in range(0, len(tests), RULES_PER_PASS)] or [[]]
-    return reduce(DataFrame.unionByName, [_match_pass(ranked, part) for part in passes]).drop("_rank")
+    return _matched(ranked, tests).drop("_rank")
+
+
+def compacted(cases: list[Column]) -> Column:
+    """An array of the cases that are not null, made of several small ones."""
+    parts = [F.array_compact(F.array(*cases[i:i + TESTS_PER_ARRAY])) for i in range(0, len(cases), TESTS_PER_ARRAY)]
+    return parts[0] if len(parts) == 1 else F.concat(*parts)
 
 
 def _rule_struct(no: int, rule: Row) -> Column:
@@ -74,11 +76,11 @@ def _rule_struct(no: int, rule: Row) -> Column:
     )
 
 
-def _match_pass(ranked: DataFrame, tests: list) -> DataFrame:
+def _matched(ranked: DataFrame, tests: list) -> DataFrame:
     if not tests:
         empty = _rule_struct(0, Row(*RULE_SCHEMA.fieldNames())(*[None] * len(RULE_SCHEMA)))
         return ranked.select("*", empty.alias("_rule")).where(F.lit(False)).select(*ranked.columns, "_rule.*")
-    hits = F.array_compact(F.array(*[F.when(_fires(r, j), F.lit(i)) for i, (_, r, j) in enumerate(tests)]))
+    hits = compacted([F.when(_fires(r, j), F.lit(i)) for i, (_, r, j) in enumerate(tests)])
     table = F.array(*[_rule_struct(no, r) for no, r, _ in tests])
     exploded = ranked.select("*", F.explode(hits).alias("_hit"))
     return exploded.select(*ranked.columns, F.get(table, F.col("_hit")).alias("_rule")).select(
@@ -103,7 +105,7 @@ def health_rule_match(transitions: DataFrame, rules: DataFrame) -> DataFrame:
     if not bound:
         table = F.array().cast("array<struct<rule_name:string,severity:string,cooldown_us:bigint>>")
     else:
-        table = F.array_compact(F.array(*[
+        table = compacted([
             F.when(
                 F.lit(True) if not r.source else F.col("source") == r.source,
                 F.struct(
@@ -112,7 +114,7 @@ def health_rule_match(transitions: DataFrame, rules: DataFrame) -> DataFrame:
                 ),
             )
             for _, r in bound
-        ]))
+        ])
     return transitions.select("*", F.explode(table).alias("_rule")).select(
         "_rule.rule_name", "_rule.severity", "message", "source", F.lit(0).cast("bigint").alias("count"),
         F.col("ts").alias("fired_at"), "seq", "_rule.cooldown_us",

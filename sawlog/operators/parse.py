@@ -33,23 +33,20 @@ LEVEL_HEAD = rf"^\w+:?{SP}+"
 REASONS = ["empty", "too_large", "invalid_format", "too_many_fields"]
 
 
-def reject_reason(raw: Column) -> Column:
-    """``empty`` or ``too_large`` for lines no format accepts, else null."""
+def reject_reason(raw: Column, max_line_bytes: int | None = MAX_LINE_BYTES) -> Column:
+    """``empty`` or ``too_large`` for lines no format accepts, else null; without a limit only ``empty``."""
     line = trim_space(raw)
-    return F.when(F.coalesce(line, F.lit("")) == "", F.lit("empty")).when(
-        F.octet_length(line) > MAX_LINE_BYTES, F.lit("too_large")
-    )
+    empty = F.when(F.coalesce(line, F.lit("")) == "", F.lit("empty"))
+    return empty if max_line_bytes is None else empty.when(F.octet_length(line) > max_line_bytes, F.lit("too_large"))
 
 
 def _last_wins(keys: Column, values: Column) -> Column:
-    """Map from parallel arrays where the last of equal keys counts."""
-    distinct = F.array_distinct(keys)
-    picked = F.transform(
-        distinct, lambda k: F.element_at(F.reverse(values), F.array_position(F.reverse(keys), k).cast("int"))
-    )
-    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
-        F.map_from_arrays(distinct, picked)
-    )
+    """Map from parallel arrays where the last of equal keys counts; repeats are found by one sort."""
+    placed = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    last = let(placed, lambda p: F.filter(p, lambda x, j: ~F.get(p, j + 1)["k"].eqNullSafe(x["k"])))
+    folded = let(last, lambda kept: F.map_from_arrays(
+        F.transform(kept, lambda x: x["k"]), F.transform(kept, lambda x: F.get(values, x["i"]))))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(folded)
 
 
 def add_json_object(df: DataFrame, line: Column, when: Column, out: str) -> DataFrame:
@@ -122,6 +119,8 @@ def parse_logs(
     auto: str = "compat",
     keep_envelope: bool = True,
     assume_year: int | None = None,
+    max_line_bytes: int | None = MAX_LINE_BYTES,
+    max_fields: int | None = MAX_FIELDS,
 ) -> DataFrame:
     """Parse ``raw`` into ``ts, level, message, fields`` plus ``ts_source, format, parse_error``.
 
@@ -130,7 +129,8 @@ def parse_logs(
     message key is there. Optional input columns: ``ingest_ts`` stands in for a missing
     timestamp; ``env_ts``, ``env_level`` and ``env_fields`` come from the reader and fill what the
     body lacks unless ``keep_envelope`` is off. A line that does not parse keeps its raw text as
-    message, with the reason in ``parse_error``.
+    message, with the reason in ``parse_error``; among these are lines over ``max_line_bytes`` and
+    records of more than ``max_fields`` keys, unless these limits are None.
     """
     if auto not in ("compat", "strict"):
         raise ValueError("auto must be 'compat' or 'strict'")
@@ -149,15 +149,16 @@ def parse_logs(
     convincing = (lambda m: has_key(m) | ~is_auto) if auto == "strict" else (lambda m: F.lit(True))
 
     step = df.withColumns({"_line": trim_space(F.col("raw")), "_fmt": F.coalesce(F.lower(wanted), F.lit("auto"))})
-    step = step.withColumn("_refused", reject_reason(F.col("_line")))
+    step = step.withColumn("_refused", reject_reason(F.col("_line"), max_line_bytes))
+    few = lambda m: F.lit(True) if max_fields is None else F.size(m) <= max_fields
     step = add_json_object(step, F.col("_line"), usable & (is_json | is_auto), "_json")
     step = step.withColumn(
-        "_is_json", F.col("_json").isNotNull() & (F.size("_json") <= MAX_FIELDS) & convincing(F.col("_json"))
+        "_is_json", F.col("_json").isNotNull() & few("_json") & convincing(F.col("_json"))
     )
     paired = usable & (is_lf | (is_auto & ~F.col("_is_json") & is_logfmt(F.col("_line"))))
     step = add_logfmt_pairs(step, F.col("_line"), paired, "_pairs")
     step = step.withColumn(
-        "_is_pairs", F.col("_pairs").isNotNull() & (F.size("_pairs") <= MAX_FIELDS) & convincing(F.col("_pairs"))
+        "_is_pairs", F.col("_pairs").isNotNull() & few("_pairs") & convincing(F.col("_pairs"))
     )
     as_text = usable & ~F.col("_is_json") & ~F.col("_is_pairs") & (is_text | is_auto)
     step = step.withColumn(
@@ -169,7 +170,7 @@ def parse_logs(
         F.coalesce(
             F.col("_refused"),
             F.when(F.col("format").isNotNull(), F.lit(None).cast("string"))
-            .when((F.size("_json") > MAX_FIELDS) | (F.size("_pairs") > MAX_FIELDS), F.lit("too_many_fields"))
+            .when(~few("_json") | ~few("_pairs"), F.lit("too_many_fields"))
             .otherwise(F.lit("invalid_format")),
         ),
     )

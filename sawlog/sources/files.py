@@ -13,20 +13,27 @@ MAX_LOG_FILE_BYTES = 1 << 30
 DEFAULT_ROOTS = ["/var/log"]
 
 
-def clean_line(df: DataFrame, column: str = "raw") -> DataFrame:
-    """Drop one trailing carriage return, cut over-long lines by bytes, leave out empty ones."""
+def clean_line(df: DataFrame, column: str = "raw", max_line_bytes: int | None = MAX_LINE_BYTES) -> DataFrame:
+    """Drop one trailing carriage return, leave out empty lines, and cut lines over ``max_line_bytes``, unless that is None.
+
+    Cut lines are marked in ``truncated``.
+    """
     text = F.regexp_replace(F.col(column), r"\r\z", "")
     step = df.withColumn(column, text).where(F.col(column) != "")
-    long = F.octet_length(column) > MAX_LINE_BYTES
-    cut = F.make_valid_utf8(F.substring(F.encode(F.col(column), "UTF-8"), 1, MAX_LINE_BYTES).cast("string"))
+    if max_line_bytes is None:
+        return step.withColumn("truncated", F.lit(False))
+    long = F.octet_length(column) > max_line_bytes
+    cut = F.make_valid_utf8(F.substring(F.encode(F.col(column), "UTF-8"), 1, max_line_bytes).cast("string"))
     return step.withColumns({
         "truncated": long,
         column: F.when(long, cut).otherwise(F.col(column)),
     })
 
 
-def read_log_files(spark: SparkSession, paths: str | list[str], source: str | Column | None = None) -> DataFrame:
-    """Lines of text files: ``source, file, raw, truncated, ingest_ts``.
+def read_log_files(
+    spark: SparkSession, paths: str | list[str], source: str | Column | None = None, max_line_bytes: int | None = MAX_LINE_BYTES
+) -> DataFrame:
+    """Lines of text files: ``source, file, raw, truncated, ingest_ts``; ``max_line_bytes`` as in ``clean_line``.
 
     Lines end at ``\\n`` alone. The source is the file's path unless given. ``ingest_ts`` is the
     file's modification time, which a repeated read gives again.
@@ -38,7 +45,7 @@ def read_log_files(spark: SparkSession, paths: str | list[str], source: str | Co
         named.alias("source"), file.alias("file"), F.col("value").alias("raw"),
         F.col("_metadata.file_modification_time").alias("ingest_ts"),
     )
-    return clean_line(lines)
+    return clean_line(lines, max_line_bytes=max_line_bytes)
 
 
 def lines_from(df: DataFrame, column: str | Column, source: str | Column = "stdin") -> DataFrame:
@@ -56,8 +63,10 @@ def merge_sources(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def log_inventory(spark: SparkSession, roots: list[str] | None = None) -> DataFrame:
-    """``(name, type, path, length)`` of all ``*.log`` files below the roots, empty and huge ones left out.
+def log_inventory(spark: SparkSession, roots: list[str] | None = None, max_bytes: int | None = MAX_LOG_FILE_BYTES) -> DataFrame:
+    """``(name, type, path, length, too_large)`` of all ``*.log`` files below the roots but empty ones.
+
+    ``too_large`` marks files over ``max_bytes``, for callers that don't offer them; none where that is None.
 
     Only file status is read, on the executors' side of Spark's file listing, not the content.
     """
@@ -66,9 +75,10 @@ def log_inventory(spark: SparkSession, roots: list[str] | None = None) -> DataFr
         .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log")
         .load(roots or DEFAULT_ROOTS)
         .select("path", "length")
-        .where((F.col("length") > 0) & (F.col("length") <= MAX_LOG_FILE_BYTES))
+        .where(F.col("length") > 0)
     )
     path = F.regexp_replace("path", "^file:/*", "/")
     return found.select(
-        derive_source_name(path).alias("name"), F.lit("file").alias("type"), path.alias("path"), "length"
+        derive_source_name(path).alias("name"), F.lit("file").alias("type"), path.alias("path"), "length",
+        F.lit(False).alias("too_large") if max_bytes is None else (F.col("length") > max_bytes).alias("too_large"),
     ).dropDuplicates(["path"])

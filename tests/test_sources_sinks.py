@@ -35,7 +35,11 @@ def test_inventory(spark, tmp_path):
     for name, text in (("nginx/access.log", "x"), ("nginx/empty.log", ""), ("nginx/notes.txt", "x")):
         (tmp_path / name).write_text(text)
     rows = log_inventory(spark, [str(tmp_path)]).collect()
-    assert [(r.name, r.length) for r in rows] == [("nginx-access", 1)]
+    assert [(r.name, r.length, r.too_large) for r in rows] == [("nginx-access", 1, False)]
+    with open(tmp_path / "huge.log", "wb") as file:
+        file.truncate((1 << 30) + 1)
+    flags = lambda **limit: {r.name.split("/")[-1]: r.too_large for r in log_inventory(spark, [str(tmp_path)], **limit).collect()}
+    assert sorted(flags().values()) == [False, True] and not any(flags(max_bytes=None).values())
 
 
 def test_bookmark_and_rotation(spark, tmp_path):
