@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
@@ -130,28 +132,50 @@ def alert_json(
     )
 
 
-def _masked(value, hide: bool = False):
+def _number(value: float) -> str:
+    """A number as a double: shortest digits, plain between 1e-6 and 1e21."""
+    text = repr(value)
+    if value == 0 or 1e-6 <= abs(value) < 1e21:
+        return format(Decimal(text), "f").removesuffix(".0")
+    return re.sub(r"\.0(?=e)|(?<=e[+-])0+", "", text)
+
+
+def _encoded(value, hide: bool = False, listed: bool = False) -> str:
+    """Compact JSON with sorted keys; strings under keys that sound secret are masked, but not inside lists."""
     if isinstance(value, dict):
-        return {k: _masked(v, any(part in k.lower() for part in SENSITIVE)) for k, v in value.items()}
-    return MASK if hide and isinstance(value, str) and value else value
+        secret = lambda k: not listed and any(part in k.lower() for part in SENSITIVE)
+        return "{" + ",".join(f"{_encoded(k)}:{_encoded(v, secret(k), listed)}" for k, v in sorted(value.items())) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(_encoded(v, listed=True) for v in value) + "]"
+    if isinstance(value, float):
+        return _number(value)
+    text = json.dumps(MASK if hide and isinstance(value, str) and value else value, ensure_ascii=False)
+    return text.translate(_HTML) if isinstance(value, str) else text
+
+
+def _refuse(constant: str):
+    raise ValueError(constant)
+
+
+_HTML = {ord(c): f"\\u{ord(c):04x}" for c in "<>&\u2028\u2029"}
 
 
 @pandas_udf(T.StringType())
 def _mask_json(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
-            value = json.loads(text)
+            value = json.loads(text, parse_int=float, parse_constant=_refuse)
         except (TypeError, ValueError):
             return text
-        return json.dumps(_masked(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False) \
-            if isinstance(value, dict) else text
+        return _encoded(value) if isinstance(value, dict) else text
     return texts.map(one)
 
 
 def mask_secrets(config: Column) -> Column:
-    """Replace non-empty string values under secret-looking keys, at any object depth.
+    """JSON objects encoded anew: compact, keys sorted, ``<>&`` escaped, non-empty strings under secret-looking keys replaced at any object depth.
 
-    Only rows that mention such a key leave the JVM.
+    Other texts stay as they are. Objects may nest to any depth, which column functions cannot follow, so
+    texts that may be objects go through Arrow batches.
     """
-    suspicious = F.lower(config).rlike("|".join(SENSITIVE))
-    return F.when(suspicious, _mask_json(F.when(suspicious, config))).otherwise(config)
+    object_like = config.rlike(r"^[ \t\r\n]*\{")
+    return F.when(object_like, _mask_json(F.when(object_like, config))).otherwise(config)

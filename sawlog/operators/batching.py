@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from sawlog.functions.jsonfmt import json_string, log_json, rfc3339
 from sawlog.functions.text import resolve_index
 from sawlog.operators.filters import webhook_min_level
-from sawlog.operators.metrics import level_summary
+from sawlog.operators.metrics import summary_text
 from sawlog.operators.ranking import number_rows
 
 BULK_SIZE, MAX_BULK_SIZE = 500, 10_000
@@ -67,20 +67,23 @@ def webhook_payloads(
     df: DataFrame, sent_at: Column, min_level: str | None = None, size: int | None = None, app: str = "Sawlog",
     order: str = "line_id", largest: int | None = MAX_WEBHOOK_SIZE,
 ) -> DataFrame:
-    """Webhook bodies ``(batch, count, payload)`` of lines from ``min_level`` on."""
+    """Webhook bodies ``(batch, count, payload, first_id, last_id)`` of lines from ``min_level`` on; the ids are those of its first and last line."""
     count = batch_size(size, WEBHOOK_SIZE, largest)
     batched = batch_records(webhook_min_level(df, min_level), count, order)
     item = F.concat(
         F.lit('{"timestamp":"'), rfc3339(F.col("ts"), fraction=False), F.lit('","level":'), json_string(F.upper("level")),
         F.lit(',"message":'), json_string(F.col("message")), F.lit(',"source":'), json_string(F.col("source")), F.lit("}"),
     )
-    logs = batched.groupBy("batch").agg(F.collect_list(F.struct("place", item.alias("text"))).alias("_parts"))
-    texts = level_summary(batched)
-    return logs.join(texts, "batch").select(
+    # One numbering and one grouping give both the lines and their summary.
+    grouped = batched.groupBy("batch").agg(
+        F.count("*").alias("count"), F.min(order).alias("first_id"), F.max(order).alias("last_id"),
+        F.collect_list(F.struct("place", item.alias("text"), F.upper("level").alias("level"))).alias("_parts"))
+    text = F.concat(F.lit(f"{app}: "), summary_text(F.col("count"), F.transform("_parts", lambda p: p.level)))
+    return grouped.select(
         "batch", "count",
         F.concat(
-            F.lit('{"text":'), json_string(F.concat(F.lit(f"{app}: "), "text")),
+            F.lit('{"text":'), json_string(text),
             F.lit(',"logs":['), _joined(F.col("_parts"), ","), F.lit('],"count":'), F.col("count").cast("string"),
             F.lit(',"sent_at":"'), rfc3339(sent_at, fraction=False), F.lit('"}'),
-        ).alias("payload"),
+        ).alias("payload"), "first_id", "last_id",
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from sawlog.functions.levels import level_rank
 from sawlog.functions.text import sanitize_label
@@ -31,6 +31,17 @@ def latency_histogram(lines: DataFrame, start: str = "ts", end: str = "ingest_ts
     return wide.select("source", F.inline(F.array(*cells)))
 
 
+def summary_text(count: Column, levels: Column) -> Column:
+    """``4 log(s) — 3 ERROR, 1 WARN`` from an array of levels, in falling severity, then by name."""
+    def counted(level: Column) -> Column:
+        n = F.size(F.filter(levels, lambda x: x.eqNullSafe(level)))
+        return F.struct((-F.coalesce(level_rank(level), F.lit(-1))).alias("order"), level.alias("level"),
+                        F.concat(n.cast("string"), F.lit(" "), level).alias("text"))
+
+    listed = F.array_join(F.transform(F.array_sort(F.transform(F.array_distinct(levels), counted)), lambda p: p.text), ", ")
+    return F.concat(count.cast("string"), F.lit(" log(s) — "), listed)
+
+
 def level_summary(batches: DataFrame, batch: str = "batch") -> DataFrame:
     """Per batch the number of lines and a text such as ``4 log(s) — 3 ERROR, 1 WARN``.
 

@@ -7,11 +7,14 @@ inside their bucket.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Rows with equal position are split by their id in runs of this many bits.
 ID_BITS = 20
 BUCKET_US = 60_000_000
+BUCKET_ROWS = 200_000
+MAX_BUCKETS = 4096
 
 
 def _before(partition: list[str], order: list[str]) -> Column:
@@ -19,24 +22,41 @@ def _before(partition: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum("_n").over(w), F.lit(0))
 
 
+def _cuts(df: DataFrame, id_col: str) -> list[float]:
+    """Ids that cut the rows into buckets of about ``BUCKET_ROWS``, ``MAX_BUCKETS`` at most, whatever the ids are.
+
+    One aggregation with a sketch of bounded size finds them.
+    """
+    found = df.agg(F.count(id_col).alias("n"), F.percentile_approx(
+        F.col(id_col).cast("double"), F.lit([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]), F.lit(4 * MAX_BUCKETS)).alias("cuts")).first()
+    step = max(1, MAX_BUCKETS // max(1, -(-found.n // BUCKET_ROWS)))
+    return sorted(set((found.cuts or [])[step - 1 :: step]))
+
+
+def _bucketed(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
+    """Adds ``_bucket``: numbers that grow with the id."""
+    splits = [float("-inf"), *cuts, float("inf")]
+    held = df.withColumn("_at", F.col(id_col).cast("double"))
+    if len(splits) < 3:
+        return held.withColumn("_bucket", F.lit(0)).drop("_at")
+    cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_in", handleInvalid="keep").transform(held)
+    return cut.withColumn("_bucket", F.col("_in").cast("int")).drop("_at", "_in")
+
+
 def number_rows(df: DataFrame, id_col: str, out: str) -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique LONG id.
 
-    At most ``2**ID_BITS`` ids share a bucket, so every task is bounded whatever the ids are.
+    Rows are cut into buckets of about equal size, for dense and for hashed ids alike; at most
+    ``MAX_BUCKETS`` bucket counts meet in one place, and rows are ordered inside their bucket.
     """
-    keyed = df.withColumn("_run", F.shiftright(F.col(id_col), ID_BITS))
-    runs = keyed.groupBy("_run").agg(F.count("*").alias("_n"))
-    # Two steps, so that not even the run counts meet in one window.
-    runs = runs.withColumn("_block", F.shiftright(F.col("_run"), ID_BITS // 2))
-    blocks = runs.groupBy("_block").agg(F.sum("_n").alias("_n"))
-    blocks = blocks.select("_block", _before([], ["_block"]).alias("_base"))
-    runs = runs.withColumn("_inner", _before(["_block"], ["_run"]))
-    starts = runs.join(blocks, "_block").select("_run", (F.col("_base") + F.col("_inner")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("_run").orderBy(id_col))
+    keyed = _bucketed(df, id_col, _cuts(df, id_col))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    starts = counts.select("_bucket", _before([], ["_bucket"]).alias("_start"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col))
     return (
-        keyed.withColumn("_place", place).join(starts, "_run")
+        keyed.withColumn("_place", place).join(F.broadcast(starts), "_bucket")
         .withColumn(out, F.col("_start") + F.col("_place") - 1)
-        .drop("_run", "_place", "_start")
+        .drop("_bucket", "_place", "_start")
     )
 
 
@@ -68,12 +88,15 @@ def rank_in_key(df: DataFrame, key: str, at: str, id_col: str, out: str) -> Data
 def newest(df: DataFrame, by: str, limit: int) -> DataFrame:
     """The rows with the ``limit`` highest values of a unique LONG, highest first.
 
-    Counting the values by run first tells which runs are needed, so only those are sorted.
+    Bucket counts tell from which value on rows are needed, so only those are sorted.
     """
     if limit <= 0:
         return df.limit(0)
-    runs = df.groupBy(F.shiftright(F.col(by), ID_BITS).alias("_run")).agg(F.count("*").alias("_n"))
-    above = F.sum("_n").over(Window.orderBy(F.desc("_run")).rowsBetween(Window.unboundedPreceding, -1))
-    needed = runs.select("_run", F.coalesce(above, F.lit(0)).alias("_above")).where(F.col("_above") < limit)
-    lowest = needed.agg(F.min("_run")).scalar()
-    return df.where(F.shiftright(F.col(by), ID_BITS) >= lowest).orderBy(F.desc(by)).limit(limit)
+    cuts = _cuts(df, by)
+    above = 0
+    counts = {r._bucket: r["count"] for r in _bucketed(df.select(by), by, cuts).groupBy("_bucket").count().collect()} if cuts else {}
+    lowest = len(cuts)
+    while lowest > 0 and (above := above + counts.get(lowest, 0)) < limit:
+        lowest -= 1
+    needed = df.where(F.col(by).cast("double") >= cuts[lowest - 1]) if lowest else df
+    return needed.orderBy(F.desc(by)).limit(limit)

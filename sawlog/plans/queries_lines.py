@@ -224,4 +224,4 @@ FROM ({LEVELS_TEXT_SQL}) t JOIN (
        LOG_LINES_SQL, BATCHED_SQL.format(size=10, where="WHERE level IN ('warn','error')"))
 def k5_webhook_payloads(spark, sf_dir):
     sent = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return webhook_payloads(log_lines(spark, sf_dir), sent, "warn")
+    return webhook_payloads(log_lines(spark, sf_dir), sent, "warn").drop("first_id", "last_id")

@@ -144,14 +144,14 @@ def o14_resolve_index(spark, sf_dir):
 @query("o15_mask_secrets", """
 SELECT event_id, CASE event_id % 3
   WHEN 0 THEN '{"list":[{"token":"t"}],"nested":{"API_KEY":"****","n":' || user_id || '},"user_password":"****"}'
-  WHEN 1 THEN '{"secret":"","token":' || user_id || '}' ELSE '{"url": "' || event_type || '"}' END AS config FROM events""")
+  WHEN 1 THEN '{"secret":"","token":' || user_id || '}' ELSE '{"n":1.5,"url":"\\u003c' || event_type || '\\u003e\\u0026"}' END AS config FROM events""")
 def o15_mask_secrets(spark, sf_dir):
     n = F.col("user_id").cast("string")
     config = (
         F.when(F.col("event_id") % 3 == 0, F.concat(
             F.lit('{"user_password":"'), n, F.lit('","nested":{"n":'), n, F.lit(',"API_KEY":"k"},"list":[{"token":"t"}]}')))
         .when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"secret":"","token":'), n, F.lit("}")))
-        .otherwise(F.concat(F.lit('{"url": "'), "event_type", F.lit('"}')))
+        .otherwise(F.concat(F.lit('{"url": "<'), "event_type", F.lit('>&" , "n":1.50}')))
     )
     return table(spark, sf_dir, "events").select("event_id", mask_secrets(config).alias("config"))
 

@@ -165,18 +165,22 @@ def send_bodies(bodies: DataFrame, transport: dict, tries: int = 1) -> None:
     bodies.select("id", "body").write.format(FORMAT).options(**options).mode("append").save()
 
 
-def _body_id(prefix: str):
-    return F.concat(F.lit(f"{prefix}-"), F.sha2("body", 256))
 
 
 def write_bulk(df: DataFrame, index: str, transport: dict, size: int | None = None, tries: int = BULK_TRIES) -> None:
     """Index lines by bulk requests; documents have ids, so a request sent twice adds nothing."""
     bodies = bulk_bodies(df, index, size, with_ids=True).withColumnRenamed("bulk_body", "body")
+    body_id = F.concat(F.lit("bulk-"), F.sha2("body", 256))  # documents have ids, so no two bodies are alike
     settings = {"endpoint": "/_bulk", "contentType": "application/x-ndjson"} | transport
-    send_bodies(bodies.withColumn("id", _body_id("bulk")), settings, tries if tries > 0 else BULK_TRIES)
+    send_bodies(bodies.withColumn("id", body_id), settings, tries if tries > 0 else BULK_TRIES)
 
 
 def write_webhook(df: DataFrame, transport: dict, sent_at, min_level: str | None = None, size: int | None = None) -> None:
-    """Send lines to a webhook in batches, one try each."""
+    """Send lines to a webhook in batches, one try each.
+
+    A body is known by its batch and the ids of its first and last line, so equal lines in different batches are all
+    delivered, and a repeated write sends the same ids.
+    """
     bodies = webhook_payloads(df, sent_at, min_level, size).withColumnRenamed("payload", "body")
-    send_bodies(bodies.withColumn("id", _body_id("webhook")), transport)
+    body_id = F.concat_ws("-", F.lit("webhook"), *[F.col(c).cast("string") for c in ("batch", "first_id", "last_id")])
+    send_bodies(bodies.withColumn("id", body_id), transport)

@@ -48,3 +48,46 @@ def test_saved_searches(spark):
     with pytest.raises(ValueError, match="bad"):
         run_saved_search(lines(spark), broken, "bad")
     assert run_saved_search(lines(spark), broken, "all").count() == 3
+
+
+@pytest.mark.parametrize("spread", ["dense", "hashed", "both"])
+def test_numbering_for_any_ids(spark, spread, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sawlog.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 500)
+    ids = {"dense": F.col("id"), "hashed": F.xxhash64("id"), "both": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id"))}
+    frame = spark.range(20_000).select(ids[spread].alias("k"), F.col("id").alias("x"))
+    got = ranking.number_rows(frame, "k", "no").orderBy("k").collect()
+    assert [r.no for r in got] == list(range(20_000))
+    cuts = ranking._cuts(frame, "k")
+    sizes = [r["count"] for r in ranking._bucketed(frame, "k", cuts).groupBy("_bucket").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) < 2_500
+    top = [r.k for r in ranking.newest(frame, "k", 700).collect()]
+    assert top == [r.k for r in got][::-1][:700]
+
+
+def test_equal_batches_are_all_delivered(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from sawlog.sinks.delivery import write_webhook
+
+    same = spark.createDataFrame([(i, datetime(2024, 1, 1), "error", "again", "a") for i in range(40)], LINES)
+    for _ in range(2):
+        write_webhook(same, {"path": str(tmp_path / "out")}, F.lit("2024-01-01").cast("timestamp"), size=10)
+        assert len(os.listdir(tmp_path / "out")) == 4
+
+
+def test_masked_objects_are_encoded_anew(spark):
+    from sawlog.functions.jsonfmt import mask_secrets
+    from pyspark.sql import functions as F
+
+    cases = {
+        '{"url": "x"}': '{"url":"x"}', '{"b":1,"a":{"Token":"t","n":1e21,"m":0.0000001,"k":1.0}}': '{"a":{"Token":"****","k":1,"m":1e-7,"n":1e+21},"b":1}',
+        '{"q":"a<b&c"}': '{"q":"a\\u003cb\\u0026c"}', "[1, 2]": "[1, 2]", "{broken": "{broken", "": "", ' {"secret":"","x":[{"token":"t"}]}': '{"secret":"","x":[{"token":"t"}]}',
+    }
+    frame = spark.createDataFrame([(k,) for k in cases], "c string")
+    assert {r.c: r.m for r in frame.select("c", mask_secrets(F.col("c")).alias("m")).collect()} == cases
