@@ -9,6 +9,7 @@ from sawlog.operators.anchored import anchored_windows
 from sawlog.operators.matching import alert_message, match_rules
 from sawlog.operators.ranking import rank_in_key
 from sawlog.schema import ALERT_EVENT_COLUMNS
+from sawlog.session import stored
 
 _RANK_BLOCK = 1 << 18
 
@@ -23,8 +24,8 @@ def error_rate_alerts(lines: DataFrame, rules: DataFrame, time_col: str = "ts")
     return _rate_fires(matched, time_col)
 
 
-def _rate_fires(matched: DataFrame, time_col: str) -> DataFrame:
-    """Windows over row ranks.
+def _rate_fires(matched: DataFrame, time_col: str, order_col: str | None = None) -> DataFrame:
+    """Windows over row ranks; ``order_col`` is the time that counts, where it is another than the one to tell.
 
     A line completes a full window when the line ``threshold - 1`` ranks before it is no more
     than the window older. After a fire, the next one is the first such line at least
@@ -32,7 +33,7 @@ def _rate_fires(matched: DataFrame, time_col: str) -> DataFrame:
     """
     need = F.greatest(F.col("rule_threshold"), F.lit(1)).cast("bigint")
     errors = matched.select(
-        "rule_no", "line_id", micros(time_col).alias("t"), (need - 1).alias("back"),
+        "rule_no", "line_id", micros(order_col or time_col).alias("t"), (need - 1).alias("back"),
         F.coalesce("rule_window_us", F.lit(0)).alias("window_us"),
     ).where("t IS NOT NULL")
     ranked = rank_in_key(errors, "rule_no", "t", "line_id", "rank")
@@ -54,12 +55,12 @@ def _rate_fires(matched: DataFrame, time_col: str) -> DataFrame:
         "rule_no", "rule_name", F.col("rule_severity").alias("severity"),
         alert_message(F.lit("error_rate"), F.lit(""), F.lit(""), need, F.coalesce("rule_window_us", F.lit(0))).alias("message"),
         "source", need.alias("count"), F.col(time_col).alias("fired_at"), "line_id",
-        F.coalesce("rule_cooldown_us", F.lit(0)).alias("cooldown_us"),
+        F.coalesce("rule_cooldown_us", F.lit(0)).alias("cooldown_us"), *([order_col] if order_col else []),
     )
 
 
-def apply_cooldown(events: DataFrame, order: str = "line_id") -> DataFrame:
-    """Events left after each rule's cooldown; needs ``rule_name, fired_at, cooldown_us`` and an order id.
+def apply_cooldown(events: DataFrame, order: str = "line_id", at: str = "fired_at") -> DataFrame:
+    """Events left after each rule's cooldown; needs ``rule_name, cooldown_us``, a time ``at`` and an order id.
 
     Only an event that passes restarts the clock of its rule; a cooldown of zero or less lets all
     pass. A rule fires at most once per order id. Events of a rule at one instant are combined
@@ -67,7 +68,7 @@ def apply_cooldown(events: DataFrame, order: str = "line_id") -> DataFrame:
     """
     waits = F.coalesce("cooldown_us", F.lit(0)) > 0
     points = (
-        events.where(waits).groupBy("rule_name", micros("fired_at").alias("p"))
+        events.where(waits).groupBy("rule_name", micros(at).alias("p"))
         .agg(F.min(order).alias("tag"), F.max("cooldown_us").alias("_cooldown"))
         .select("rule_name", "p", (F.col("_cooldown") - 1).alias("w"), F.lit(1).cast("bigint").alias("n"), "tag")
     )
@@ -85,17 +86,31 @@ def _line_events(matched: DataFrame, time_col: str) -> DataFrame:
     )
 
 
+_MATCH_COLUMNS = [
+    "rule_no", "rule_name", "rule_type", "rule_severity", "rule_threshold", "rule_window_us", "rule_cooldown_us",
+    "line_id", "source", "level", "message",
+]
+
+
 def alert_candidates(lines: DataFrame, rules: DataFrame, time_col: str = "ts") -> DataFrame:
     """All fires of pattern, level and error-rate rules, before cooldown."""
-    matched = match_rules(lines, rules)
+    return _candidates(match_rules(lines, rules), time_col)
+
+
+def _candidates(matched: DataFrame, time_col: str) -> DataFrame:
     return _line_events(matched, time_col).unionByName(
         _rate_fires(matched.where(F.col("rule_type") == "error_rate"), time_col)
     )
 
 
 def evaluate_alerts(lines: DataFrame, rules: DataFrame, time_col: str = "ts") -> DataFrame:
-    """Alert events of ``lines(line_id, source, level, message, ts)`` under a rule table."""
-    return stored_events(apply_cooldown(alert_candidates(lines, rules, time_col)))
+    """Alert events of ``lines(line_id, source, level, message, ts)`` under a rule table.
+
+    The lines are read and matched once; what matches is stored in a narrow table, from which
+    rates and cooldowns are worked out.
+    """
+    matched = stored(match_rules(lines, rules).select(*_MATCH_COLUMNS, time_col))
+    return stored_events(apply_cooldown(_candidates(matched, time_col)))
 
 
 def event_id(rule: str = "rule_name", at: str = "fired_at", order: str = "line_id"):

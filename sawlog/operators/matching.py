@@ -47,14 +47,14 @@ def _fires(rule: Row, java_pattern: str | None) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def match_rules(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
     """Each line with each line rule it meets: the line's columns, ``rule_no`` and the rule's.
 
     The rule set, of any size the driver holds, is bound into the plan, one literal test per rule,
     so each regex is compiled once, no join is needed and a hot source costs nothing. All rules are
     tested in one pass over the lines. Order of rules is kept in ``rule_no``.
     """
-    bound = bind_rules(rules)
+    bound = rules if isinstance(rules, list) else bind_rules(rules)
     numbered = [(no, r) for no, r in enumerate(bound) if r.type in LINE_RULES]
     patterns = [r.pattern or "" for _, r in numbered if r.type == "pattern"]
     java = iter(checked_regexes(lines.sparkSession, patterns))

@@ -1,28 +1,40 @@
-"""The streaming operators, run over the test tables until all is read.
+"""The streaming operators, run over the test tables until all is read, and then closed.
 
-What is still open when the input ends has not been passed by the watermark and does not come
-out; the SQL forms leave it out by the same rule.
+The input comes in three micro-batches or more, in order of time.
 """
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sawlog.functions.times import micros
+from sawlog.operators.metrics import logs_total
 from sawlog.plans.catalog import query
-from sawlog.plans.queries_alerts import ALERT_VIEWS
-from sawlog.plans.queries_health import TRANSITIONS_SQL
+from sawlog.plans.queries_alerts import ALERT_VIEWS, DURATION_SQL
+from sawlog.plans.queries_health import CURRENT_SQL, FINE_SQL, TRANSITIONS_SQL
 from sawlog.plans.queries_parse import AUTO_VIEWS
-from sawlog.plans.views import HEALTH_EVENTS_SQL, LOG_LINES_SQL, health_events, log_lines, raw_lines, rules_table
+from sawlog.plans.views import HEALTH_EVENTS_SQL, LOG_LINES_SQL, health_events, log_lines, raw_lines, rules_table, table
 from sawlog.session import ROCKSDB, checkpoint_dir
+from sawlog.streaming.flush import run_to_end
+from sawlog.streaming.reload import ReloadingAlerts
 from sawlog.streaming.streams import (
-    stream_alerts, stream_collapse, stream_health_transitions, stream_metrics_by_interval, stream_parse,
+    stream_alerts, stream_collapse, stream_error_rate, stream_health, stream_health_transitions, stream_metrics_by_interval,
+    stream_parse, stream_sinks,
 )
 
 DELAY = "1 hour"
+ROWS_PER_BATCH = 1_000_000
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/sawlog-streams/{uuid.uuid4().hex}"
 
 
 class _StreamingReads:
-    """Stands in for the session so that the table views read as streams."""
+    """Stands in for the session so that the table views read as streams.
+
+    A table is laid out in slices of time, one file each, and read a file at a time.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark, self.read = spark, self
@@ -30,28 +42,26 @@ class _StreamingReads:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
     def parquet(self, path: str) -> DataFrame:
-        schema = self.spark.read.parquet(path).schema
         folder, name = path.rsplit("/", 1)
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-
-
-def _finish(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    """Run the stream to the end of its input; the result is a table in the shared folder."""
-    place = f"{checkpoint_dir(spark)}/sawlog-streams/{uuid.uuid4().hex}"
-    running = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
-        .trigger(availableNow=True).start(f"{place}/out")
-    )
-    running.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{place}/out")
+        rows, place = table(self.spark, folder, name.removesuffix(".parquet")), f"{_place(self.spark)}/in"
+        at = micros("ts")
+        slices = max(3, -(-rows.count() // ROWS_PER_BATCH))
+        cuts = rows.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 100_000).alias("c")).first().c or []
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            inside = (F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)
+            rows.where(inside).coalesce(1).write.mode("append").parquet(place)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
 
 
 @query("r1_stream_parse", """
 SELECT line_id, source, ts, level, message FROM auto_lines WHERE level IN ('warn','error','fatal') AND regexp_matches(message, 'err')""",
        *AUTO_VIEWS)
 def r1_stream_parse(spark, sf_dir):
-    stream = stream_parse(raw_lines(_StreamingReads(spark), sf_dir), "auto", "warn", "err")
-    return _finish(spark, stream.select("line_id", "source", "ts", "level", "message"))
+    build = lambda raw: stream_parse(raw, "auto", "warn", "err").select("line_id", "source", "ts", "level", "message")
+    place, stream = _place(spark), build(raw_lines(_StreamingReads(spark), sf_dir))
+    writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
+    writer.trigger(availableNow=True).start(f"{place}/out").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
 @query("r2_stream_collapse", """
@@ -64,33 +74,70 @@ def r1_stream_parse(spark, sf_dir):
 SELECT min_by(l.line_id, l.ts) AS line_id, a.source, a.level, count(*) AS count, a.t AS first_seen, max(l.ts) AS last_seen
 FROM anchors a JOIN log_lines l ON l.source = a.source AND l.level = a.level AND l.message = a.message
   AND l.ts BETWEEN a.t AND a.t + INTERVAL 1 HOUR
-WHERE a.t + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM log_lines)
 GROUP BY a.source, a.level, a.message, a.t""", LOG_LINES_SQL, recursive=True)
 def r2_stream_collapse(spark, sf_dir):
-    stream = stream_collapse(log_lines(_StreamingReads(spark), sf_dir), "1h", delay=DELAY)
-    return _finish(spark, stream).select("line_id", "source", "level", "count", "first_seen", "last_seen")
+    lines = log_lines(_StreamingReads(spark), sf_dir)
+    found = run_to_end(lines, lambda s: stream_collapse(s, "1h", delay=DELAY), _place(spark))
+    return found.select("line_id", "source", "level", "count", "first_seen", "last_seen")
+
 
+@query("r3_stream_error_rate", f"""
+SELECT name AS rule_name, source, threshold AS count, ts AS fired_at,
+  'Error rate exceeded: ' || threshold || ' errors in ' || {DURATION_SQL} AS message FROM rate_fires""",
+       *ALERT_VIEWS[:4], recursive=True)
+def r3_stream_error_rate(spark, sf_dir):
+    lines = log_lines(_StreamingReads(spark), sf_dir)
+    found = run_to_end(lines, lambda s: stream_error_rate(s, rules_table(spark), delay=DELAY), _place(spark))
+    return found.select("rule_name", "source", "count", "fired_at", "message")
 
-@query("r4_stream_alerts", """
-SELECT rule_name, source, count, fired_at, message FROM fired WHERE cooldown_us <= 0 AND count = 0
-  OR fired_at <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM log_lines)""", *ALERT_VIEWS, recursive=True)
+
+@query("r4_stream_alerts", "SELECT rule_name, source, count, fired_at, message FROM fired", *ALERT_VIEWS, recursive=True)
 def r4_stream_alerts(spark, sf_dir):
-    stream = stream_alerts(log_lines(_StreamingReads(spark), sf_dir), rules_table(spark), delay=DELAY)
-    return _finish(spark, stream).select("rule_name", "source", "count", "fired_at", "message")
+    lines = log_lines(_StreamingReads(spark), sf_dir)
+    found = run_to_end(lines, lambda s: stream_alerts(s, rules_table(spark), delay=DELAY), _place(spark))
+    return found.select("rule_name", "source", "count", "fired_at", "message")
 
 
-@query("r5_stream_health", """
-SELECT source, ts, seq, old_status, new_status, message FROM transitions
-WHERE ts <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM health_events)""", HEALTH_EVENTS_SQL, TRANSITIONS_SQL)
+@query("r5_stream_health", "SELECT source, ts, seq, old_status, new_status, message FROM transitions", HEALTH_EVENTS_SQL, TRANSITIONS_SQL)
 def r5_stream_health(spark, sf_dir):
-    return _finish(spark, stream_health_transitions(health_events(_StreamingReads(spark), sf_dir), DELAY))
+    events = health_events(_StreamingReads(spark), sf_dir)
+    return run_to_end(events, lambda s: stream_health_transitions(s, DELAY), _place(spark))
 
 
-@query("r7_stream_metrics", """
-SELECT time_bucket(INTERVAL 15 SECOND, ts) AS start, source, level, count(*) AS total FROM log_lines
-WHERE time_bucket(INTERVAL 15 SECOND, ts) + INTERVAL 15 SECOND <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR FROM log_lines)
-GROUP BY ALL""", LOG_LINES_SQL)
-def r7_stream_metrics(spark, sf_dir):
-    return _finish(spark, stream_metrics_by_interval(log_lines(_StreamingReads(spark), sf_dir), delay=DELAY))
+@query("r5_stream_health_current", "SELECT source, status, last_error, last_update, error_count, start_time FROM current", FINE_SQL, CURRENT_SQL)
+def r5_stream_health_current(spark, sf_dir):
+    fine = F.concat(F.lit("svc-"), F.col("user_id").cast("string"))
+    events = health_events(_StreamingReads(spark), sf_dir, source=fine)
+    states = run_to_end(events, lambda s: stream_health(s, DELAY), _place(spark))
+    columns = ["status", "last_error", "last_update", "error_count", "start_time"]
+    last = states.groupBy("source").agg(F.max_by(F.struct(*columns), F.struct("last_update", "seq")).alias("now"))
+    return last.select("source", "now.*")
+
 
+@query("r6_stream_rules_reload", """
+SELECT sha256(concat_ws('|', rule_name, epoch_us(fired_at)::VARCHAR, line_id::VARCHAR)) AS id, rule_name, source, count, fired_at
+FROM fired""", *ALERT_VIEWS, recursive=True)
+def r6_stream_rules_reload(spark, sf_dir):
+    place, lines = _place(spark), log_lines(_StreamingReads(spark), sf_dir)
+    alerts = ReloadingAlerts(rules_table, lambda events: events.write.mode("append").parquet(f"{place}/out"), f"{place}/rules")
+    writer = lines.writeStream.foreachBatch(alerts).option("checkpointLocation", f"{place}/state")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{place}/out").select("id", "rule_name", "source", "count", "fired_at")
 
+
+@query("r7_stream_metrics", """
+SELECT time_bucket(INTERVAL 15 SECOND, ts) AS start, source, level, count(*) AS total FROM log_lines GROUP BY ALL""", LOG_LINES_SQL)
+def r7_stream_metrics(spark, sf_dir):
+    lines = log_lines(_StreamingReads(spark), sf_dir)
+    return run_to_end(lines, lambda s: stream_metrics_by_interval(s, delay=DELAY), _place(spark))
+
+
+@query("r9_stream_sinks", "SELECT source, level, count(*) AS total FROM log_lines GROUP BY ALL", LOG_LINES_SQL)
+def r9_stream_sinks(spark, sf_dir):
+    place, lines = _place(spark), log_lines(_StreamingReads(spark), sf_dir)
+    sinks = [lambda batch, name=name: batch.write.mode("append").parquet(f"{place}/{name}") for name in ("one", "two")]
+    running = stream_sinks(lines, sinks, f"{place}/state", interval="1 second")
+    running.processAllAvailable()
+    running.stop()
+    both = spark.read.parquet(f"{place}/one").intersectAll(spark.read.parquet(f"{place}/two"))
+    return logs_total(both)

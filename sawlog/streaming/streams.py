@@ -16,6 +16,7 @@ from sawlog.operators.parse import parse_logs
 from sawlog.schema import ALERT_EVENT_COLUMNS
 from sawlog.session import ROCKSDB
 from sawlog.sinks.files import write_all
+from sawlog.streaming.flush import watermarked
 from sawlog.streaming.processors import AlertProcessor, CollapseProcessor, HealthProcessor
 
 DEFAULT_DELAY = "10 seconds"
@@ -42,16 +43,17 @@ def _run(df: DataFrame, keys: list[str], processor, schema: str) -> DataFrame:
 
 
 def _timed(lines: DataFrame, time_col: str, delay: str) -> DataFrame:
-    return lines.where(F.col(time_col).isNotNull()).withWatermark(time_col, delay).withColumn("t", micros(time_col))
+    return watermarked(lines.where(F.col(time_col).isNotNull()), time_col, delay).withColumn("t", micros(time_col))
 
 
 def stream_collapse(
     lines: DataFrame, window: str | int = 0, min_count: int = 2, time_col: str = "ts", delay: str = DEFAULT_DELAY
 ) -> DataFrame:
-    """Collapsed rows, each once its window is closed for good by the watermark."""
+    """Collapsed rows, each once its window is closed for good by the watermark; ``run_to_end`` closes the last ones."""
     window_us, least = window_settings(window, min_count)
     keys = ["source", "level", "message"]
-    rows = _timed(lines, time_col, delay).select(*keys, "t", "line_id", time_col)
+    # As in the batch form, a missing text and an empty one are the same.
+    rows = _timed(lines, time_col, delay).select(*[F.coalesce(c, F.lit("")).alias(c) for c in keys], "t", "line_id", time_col)
     schema = "source string, level string, message string, line_id bigint, count bigint, first_us bigint, last_us bigint"
     closed = _run(rows, keys, CollapseProcessor(window_us), schema)
     return closed.select(
@@ -68,7 +70,7 @@ def stream_alerts(
 
     Pattern and level rules without cooldown need no order and no state.
     """
-    matched = match_rules(lines.withWatermark(time_col, delay), rules)
+    matched = match_rules(watermarked(lines, time_col, delay), rules)
     rate = F.col("rule_type") == "error_rate"
     free = ~rate & (F.coalesce("rule_cooldown_us", F.lit(0)) <= 0)
     need = F.greatest(F.coalesce("rule_threshold", F.lit(1)), F.lit(1)).cast("bigint")
@@ -140,7 +142,7 @@ def stream_metrics_by_interval(
     lines: DataFrame, interval: str = GAUGE_INTERVAL, time_col: str = "ts", delay: str = DEFAULT_DELAY
 ) -> DataFrame:
     """Line counts by source and level in tumbling windows."""
-    windowed = lines.withWatermark(time_col, delay).groupBy(F.window(time_col, interval), "source", "level")
+    windowed = watermarked(lines, time_col, delay).groupBy(F.window(time_col, interval), "source", "level")
     return windowed.agg(F.count("*").alias("total")).select(
         F.col("window.start").alias("start"), "source", "level", "total"
     )

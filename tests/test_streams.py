@@ -74,6 +74,31 @@ def test_reloading_alerts_keep_their_clock(spark, tmp_path):
     assert sorted(r.id for r in seen) == sorted(r.id for r in want.collect())
 
 
+def _reloaded(spark, path, rules_by_batch, batches):
+    seen = []
+    current = {}
+    alerts = ReloadingAlerts(lambda s: s.createDataFrame(current["rules"], RULE_SCHEMA), lambda d: seen.extend(d.collect()), path)
+    for no, (rules, secs) in enumerate(zip(rules_by_batch, batches)):
+        current["rules"] = rules
+        rows = [(100 * no + i, T0 + timedelta(seconds=s), "error", "x", "a") for i, s in enumerate(secs)]
+        alerts(spark.createDataFrame(rows, SCHEMA), no)
+    return [(int((r.fired_at - T0).total_seconds()), r["count"]) for r in seen]
+
+
+def test_disorder_between_batches_and_rule_changes(spark, tmp_path):
+    import os
+
+    slow = [("lv", "level", "warning", None, "error", None, None, None, 100 * S)]
+    quick = [("lv", "level", "critical", None, "error", None, None, None, 20 * S)]
+    # 950 comes after 1000 was fired: by arrival it is inside the cooldown. The clock outlives the change of rules.
+    got = _reloaded(spark, str(tmp_path / "a"), [slow, slow, quick, quick], [[1000], [950, 1099], [1010, 1025], [1030, 1046]])
+    assert got == [(1000, 0), (1025, 0), (1046, 0)]
+    assert sorted(os.listdir(tmp_path / "a" / "clock")) == ["batch=2", "batch=3"]
+    rate = [("rate", "error_rate", "critical", None, None, None, 3, 60 * S, 0)]
+    # The late error counts as of the last one seen.
+    assert _reloaded(spark, str(tmp_path / "b"), [rate, rate], [[100, 110], [20, 400]]) == [(20, 3)]
+
+
 def test_late_rows(spark, tmp_path):
     late, good = [], []
     split = LateRows(lambda d: good.extend(d.collect()), lambda d: late.extend(d.collect()), str(tmp_path), "10s")
