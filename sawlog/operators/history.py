@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sawlog.functions.times import duration_us
 from sawlog.operators.tables import page
+from sawlog.session import stored
+from sawlog.sinks.files import cutoff_day, drop_days, drop_old_days
 
 DEFAULT_LIMIT = 100
 RETENTION = "720h"
@@ -61,3 +63,22 @@ def purge_older(events: DataFrame, now: datetime, keep: str | int = RETENTION) -
     cutoff = F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) - duration_us(keep))
     old = F.col("fired_at") < cutoff
     return events.where(~old), events.agg(F.count_if(old).alias("deleted"))
+
+
+def purge_stored(spark: SparkSession, path: str, now: datetime, keep: str | int = RETENTION) -> int:
+    """Delete events past the retention time from the stored history; returns how many.
+
+    Days that have ended before it go as folders; only the day it falls in is read and written anew.
+    """
+    cutoff = F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) - duration_us(keep))
+    history = spark.read.parquet(path)
+    old = history.where((F.col("fired_on") <= F.to_date(cutoff)) & (F.col("fired_at") < cutoff))
+    deleted = old.count()
+    if deleted:
+        edge = history.where(F.col("fired_on") == F.to_date(cutoff))
+        kept = stored(edge.where(F.col("fired_at") >= cutoff))
+        drop_old_days(spark, path, "fired_on", now, keep)
+        day = cutoff_day(now, keep)
+        drop_days(spark, path, "fired_on", [day])
+        kept.write.mode("append").partitionBy("fired_on").parquet(path)
+    return deleted

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sawlog.functions.jsonfmt import alert_json
 from sawlog.functions.text import alert_email_body, alert_email_subject, render_alert
+from sawlog.session import stored
 from sawlog.sinks.delivery import send_bodies
 
+MAX_DAYS = 1000
+
 
 def alert_bodies(events: DataFrame, kind: str, app: str = "Sawlog") -> DataFrame:
     """``(id, body)`` of each event for ``console``, ``webhook`` or ``email``."""
@@ -44,17 +47,26 @@ def append_alert_events(events: DataFrame, path: str) -> None:
     """Add fired events to the history, a Parquet table partitioned by day.
 
     Events that are there already are not added again, so a repeated run is harmless; only the
-    days of the new events are searched for them.
+    days of the new events are read for that: up to ``MAX_DAYS`` by name, more as one range.
     """
     spark = events.sparkSession
-    fresh = events.withColumn("fired_on", F.to_date("fired_at"))
+    fresh = stored(events.withColumn("fired_on", F.to_date("fired_at")))
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-        stored = spark.read.parquet(path).select("id", "fired_on")
-        fresh = fresh.join(stored, ["id", "fired_on"], "left_anti").select(*fresh.columns)
+        fresh = fresh.join(known_events(spark, path, fresh), ["id", "fired_on"], "left_anti").select(*fresh.columns)
     fresh.write.mode("append").partitionBy("fired_on").parquet(path)
 
 
+def known_events(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame:
+    """Ids in the history on the days of ``fresh``; the days are literals, so other partitions are not read."""
+    days = [r.fired_on for r in fresh.select("fired_on").where("fired_on IS NOT NULL").distinct().limit(MAX_DAYS + 1).collect()]
+    history = spark.read.parquet(path).select("id", "fired_on")
+    if len(days) <= MAX_DAYS:
+        return history.where(F.col("fired_on").isin(days))
+    first, last = fresh.agg(F.min("fired_on"), F.max("fired_on")).first()
+    return history.where(F.col("fired_on").between(first, last))
+
+
 def read_alert_events(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)

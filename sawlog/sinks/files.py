@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sawlog.functions.jsonfmt import log_json
@@ -33,22 +35,43 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select(ndjson_column(df).alias("value")).write.mode(mode).text(path)
 
 
+def _rolled(max_bytes: int):
+    """Numbers the files of each task and day, so that no file but one of a single line is over ``max_bytes``."""
+
+    def run(batches):
+        sizes: dict = {}
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            names = []
+            for day, size in zip(batch.column("day").to_pylist(), batch.column("size").to_pylist()):
+                number, held = sizes.get(day, (0, 0))
+                if held and held + size > max_bytes:
+                    number, held = number + 1, 0
+                sizes[day] = (number, held + size)
+                names.append(f"{task}-{number}")
+            yield pa.RecordBatch.from_arrays([batch.column("value"), batch.column("day"), pa.array(names, pa.string())], ["value", "day", "roll"])
+
+    return run
+
+
 def write_rotated(
     df: DataFrame, path: str, max_bytes: int = 0, compress: bool = False, max_age: str | int | None = None,
     now: datetime | None = None,
 ) -> None:
     """Formatted lines in files by day, rolled by size; days past ``max_age`` are dropped afterwards.
 
-    Spark rolls files by record count, so the size is turned into one by the mean line length.
+    With ``max_bytes`` the files of a day are in folders ``roll=...``; no file is larger before compression, unless
+    a single line is. The lines are computed once.
     """
     dated = df.select(
         format_line(F.col("ts"), F.col("source"), F.col("level"), F.col("message")).alias("value"),
         F.to_date("ts").alias("day"),
     )
-    writer = dated.write.mode("append").partitionBy("day")
+    parts = ["day"]
     if max_bytes > 0:
-        mean = dated.agg(F.avg(F.octet_length("value") + 1)).first()[0] or 1.0
-        writer = writer.option("maxRecordsPerFile", max(1, int(max_bytes / mean)))
+        sized = dated.withColumn("size", F.octet_length("value") + 1)
+        dated, parts = sized.mapInArrow(_rolled(max_bytes), "value string, day date, roll string"), ["day", "roll"]
+    writer = dated.write.mode("append").partitionBy(*parts)
     if compress:
         writer = writer.option("compression", "gzip")
     writer.text(path)
@@ -56,27 +79,42 @@ def write_rotated(
         drop_old_days(df.sparkSession, path, "day", now or datetime.now(timezone.utc), max_age)
 
 
+def _cutoff(now: datetime, keep: str | int) -> float:
+    utc = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
+    return utc.timestamp() - duration_us(keep) / 1e6
+
+
+def cutoff_day(now: datetime, keep: str | int) -> str:
+    return datetime.fromtimestamp(_cutoff(now, keep), timezone.utc).date().isoformat()
+
+
+def _day_folders(spark: SparkSession, path: str, column: str):
+    """The file system of a table, and its day folders ``(day, folder)``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(root) if fs.exists(root) else []
+    named = [(status.getPath().getName(), status.getPath()) for status in found]
+    return fs, [(name.split("=", 1)[1], place) for name, place in named if name.startswith(f"{column}=")]
+
+
+def drop_days(spark: SparkSession, path: str, column: str, days: list[str]) -> None:
+    fs, folders = _day_folders(spark, path, column)
+    for day, place in folders:
+        if day in days:
+            fs.delete(place, True)
+
+
 def drop_old_days(spark: SparkSession, path: str, column: str, now: datetime, keep: str | int) -> list[str]:
     """Delete the day partitions of a table that ended before ``now - keep``; returns the days."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    utc = now if now.tzinfo else now.replace(tzinfo=timezone.utc)
-    cutoff = utc.timestamp() - duration_us(keep) / 1e6
-    dropped = []
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if not name.startswith(f"{column}="):
-            continue
-        day = name.split("=", 1)[1]
+    fs, folders = _day_folders(spark, path, column)
+    cutoff, dropped = _cutoff(now, keep), []
+    for day, place in folders:
         try:
             ended = datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp() + 86_400
         except ValueError:
             continue
         if ended <= cutoff:
-            fs.delete(status.getPath(), True)
+            fs.delete(place, True)
             dropped.append(day)
     return sorted(dropped)
 

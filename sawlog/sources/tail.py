@@ -33,6 +33,7 @@ class FileRange(InputPartition):
     start: int
     end: int
     follow: bool
+    max_line: int = MAX_LINE_BYTES
 
 
 def _paths(options: dict) -> list[str]:
@@ -52,26 +53,42 @@ def _last_newline(path: str, start: int, end: int) -> int:
     return start
 
 
+def _sibling(path: str, inode: int) -> str | None:
+    """Where a file is now that was under ``path``: a rotated file stays in its folder."""
+    try:
+        if os.stat(path).st_ino == inode:
+            return path
+    except FileNotFoundError:
+        pass
+    with os.scandir(os.path.dirname(path) or ".") as entries:
+        return next((e.path for e in entries if e.inode() == inode), None)
+
+
 def read_range(part: FileRange) -> Iterator[tuple]:
-    """Rows of one range. A line belongs to the range its first byte is in."""
-    with open(part.path, "rb") as file:
-        if os.fstat(file.fileno()).st_ino != part.inode:
-            # Rotated between planning and reading: the old bytes are gone, the next batch sees the new file.
-            return
+    """Rows of one range. A line belongs to the range its first byte is in.
+
+    A file that was rotated after the range was planned is read under its new name; one that is gone raises an error.
+    """
+    if part.start >= part.end:
+        return
+    place = _sibling(part.path, part.inode)
+    if place is None:
+        raise FileNotFoundError(f"{part.path} (inode {part.inode}) was removed before bytes {part.start} to {part.end} were read")
+    with open(place, "rb") as file:
         at = part.start
         if at > 0:
             file.seek(at - 1)
             if file.read(1) != b"\n":
                 at += _skip_line(file)
         while at < part.end:
-            line, size, ended = _read_line(file)
+            line, size, ended = _read_line(file, part.max_line)
             if size == 0 or (part.follow and not ended):
                 return
             body = line.rstrip(b"\n") if ended else line
             body = body[:-1] if body.endswith(b"\r") else body
             if body:
-                cut = len(body) > MAX_LINE_BYTES
-                text = body[:MAX_LINE_BYTES].decode("utf-8", "replace")
+                cut = 0 < part.max_line < len(body)
+                text = (body[: part.max_line] if cut else body).decode("utf-8", "replace")
                 yield part.path, part.path, at, text, cut
             at += size
 
@@ -85,9 +102,9 @@ def _skip_line(file) -> int:
     return skipped
 
 
-def _read_line(file) -> tuple[bytes, int, bool]:
-    """One line, kept up to just past the limit; its full size; whether it ended in a line feed."""
-    head = file.readline(MAX_LINE_BYTES + 2)
+def _read_line(file, limit: int) -> tuple[bytes, int, bool]:
+    """One line, kept up to just past the limit if there is one; its full size; whether it ended in a line feed."""
+    head = file.readline(limit + 2) if limit else file.readline()
     size, ended = len(head), head.endswith(b"\n")
     if ended:
         return head[:-1] + b"\n", size, True
@@ -98,15 +115,27 @@ def _read_line(file) -> tuple[bytes, int, bool]:
     return head, size, False
 
 
-def _splits(path: str, inode: int, start: int, end: int, follow: bool) -> list[FileRange]:
+def _splits(path: str, inode: int, start: int, end: int, follow: bool, max_line: int) -> list[FileRange]:
     return [
-        FileRange(path, inode, low, min(low + SPLIT_BYTES, end), follow) for low in range(start, end, SPLIT_BYTES)
+        FileRange(path, inode, low, min(low + SPLIT_BYTES, end), follow, max_line) for low in range(start, end, SPLIT_BYTES)
     ]
 
 
 def _resume(known: dict, path: str, size: int, inode: int) -> int:
+    """Where to go on: where this file was left, be it under another name; else at its start."""
     offset, old_inode = known.get(path, (0, inode))
-    return offset if old_inode == inode and offset <= size else 0
+    if path not in known or old_inode != inode:
+        offset = next((o for o, i in known.values() if i == inode), 0)
+    return offset if offset <= size else 0
+
+
+def _rest_key(path: str, inode: int) -> str:
+    """The name under which the rest of a rotated file is kept among the offsets."""
+    return f"{path}|{inode}"
+
+
+def _max_line(options: dict) -> int:
+    return int(options.get("maxlinebytes", MAX_LINE_BYTES))
 
 
 class TailReader(DataSourceReader):
@@ -119,7 +148,7 @@ class TailReader(DataSourceReader):
         for path in _paths(self.options):
             stat = os.stat(path)
             start = _resume(self.known, path, stat.st_size, stat.st_ino)
-            parts += _splits(path, stat.st_ino, start, stat.st_size, follow=False)
+            parts += _splits(path, stat.st_ino, start, stat.st_size, False, _max_line(self.options))
         return parts or [FileRange(os.devnull, -1, 0, 0, False)]
 
     def read(self, partition):
@@ -139,9 +168,11 @@ class TailStreamReader(DataSourceStreamReader):
     def latestOffset(self):
         """Every file up to its last whole line; ``maxBytesPerBatch`` bounds how much is new."""
         left = self.per_batch or None
-        for path in _paths(self.options):
+        followed = _paths(self.options)
+        for path in followed:
             try:
                 stat = os.stat(path)
+                self._keep_rest(path, stat.st_ino, followed)
                 start = _resume(self.seen, path, stat.st_size, stat.st_ino)
                 end = stat.st_size if left is None else min(stat.st_size, start + max(left, 0))
                 stop = _last_newline(path, start, end)
@@ -155,12 +186,25 @@ class TailStreamReader(DataSourceStreamReader):
             self.seen[path] = (stop, stat.st_ino)
         return {p: list(v) for p, v in self.seen.items()}
 
+    def _keep_rest(self, path: str, inode: int, followed: list[str]) -> None:
+        """A rotated file is finished from where it was left, unless it is followed under its new name."""
+        offset, old = self.seen.get(path, (0, inode))
+        if old == inode:
+            return
+        place = _sibling(path, old)
+        if place is not None and place not in followed:
+            size = os.stat(place).st_size
+            if size > offset:
+                self.seen[_rest_key(path, old)] = (size, old)
+
     def partitions(self, start: dict, end: dict):
-        parts = []
-        for path, (stop, inode) in end.items():
-            self.seen.setdefault(path, (stop, inode))
-            begin = _resume({p: tuple(v) for p, v in start.items()}, path, stop, inode)
-            parts += _splits(path, inode, begin, stop, follow=True)
+        parts, known = [], {p: tuple(v) for p, v in start.items()}
+        for name, (stop, inode) in end.items():
+            self.seen.setdefault(name, (stop, inode))
+            rest = name.endswith(f"|{inode}")
+            path = name.removesuffix(f"|{inode}") if rest else name
+            begin = _resume(known, name, stop, inode)
+            parts += _splits(path, inode, begin, stop, not rest, _max_line(self.options))
         return parts or [FileRange(os.devnull, -1, 0, 0, True)]
 
     def read(self, partition):
@@ -179,7 +223,7 @@ def _line_end(path: str, start: int, size: int) -> int:
 
 
 class TailSource(DataSource):
-    """``path``: comma-separated globs on storage all executors see; ``startingOffsets``: JSON bookmarks."""
+    """``path``: comma-separated globs on storage all executors see; ``startingOffsets``: JSON bookmarks; ``maxLineBytes``: 0 for no limit."""
 
     @classmethod
     def name(cls):

@@ -1,17 +1,19 @@
 import gzip
 import json
 import os
+import re
 from datetime import datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
 from sawlog.functions.regexes import RegexError, translate_regex
-from sawlog.sinks.alerts import append_alert_events, write_alerts
+from sawlog.operators.history import purge_stored
+from sawlog.sinks.alerts import known_events, append_alert_events, write_alerts
 from sawlog.sinks.delivery import DeliveryError, check_response, deliver, retry_wait, write_bulk, write_webhook
 from sawlog.sinks.files import write_all, write_ndjson, write_rotated, write_text
 from sawlog.sources.files import log_inventory, read_log_files
-from sawlog.sources.tail import log_tail, read_from_bookmark
+from sawlog.sources.tail import FORMAT, TailStreamReader, register, log_tail, read_from_bookmark
 
 
 @pytest.fixture
@@ -67,9 +69,41 @@ def test_tail_stream_appends_and_rotation(spark, tmp_path):
     with open(log, "a") as file:
         file.write("o\nthree\n")
     assert run() == ["one", "three", "two"]
-    (tmp_path / "new").write_text("four\n")
+    # Written before a rotation, and not read yet; the old file goes on under another name.
+    with open(log, "a") as file:
+        file.write("last\nopen end")
+    os.rename(log, tmp_path / "s.log.1")
+    log.write_text("four\n")
+    assert run() == ["four", "last", "one", "open end", "three", "two"]
+    with open(log, "a") as file:
+        file.write("five\n")
+    assert run() == ["five", "four", "last", "one", "open end", "three", "two"]
+    (tmp_path / "new").write_text("six\n")
     os.replace(tmp_path / "new", log)
-    assert run() == ["four", "one", "three", "two"]
+    assert run()[-2:] == ["three", "two"] and "six" in run()
+
+
+def test_planned_bytes_are_never_dropped(tmp_path):
+    log = tmp_path / "p.log"
+    log.write_text("one\ntwo\n")
+    reader = TailStreamReader({"path": str(log)})
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    os.rename(log, tmp_path / "p.log.1")
+    log.write_text("other\n")
+    assert [row[3] for part in parts for row in reader.read(part)] == ["one", "two"]
+    os.remove(tmp_path / "p.log.1")
+    with pytest.raises(FileNotFoundError):
+        list(reader.read(parts[0]))
+
+
+def test_line_limit_can_be_off(spark, tmp_path):
+    (tmp_path / "long.log").write_text("a" * 300_000 + "\n")
+    read = lambda **o: spark.read.format(FORMAT).options(path=str(tmp_path / "long.log"), **o).load().first()
+    register(spark)
+    assert (len(read().raw), read().truncated) == (256 * 1024, True)
+    assert (len(read(maxLineBytes=0).raw), read(maxLineBytes=0).truncated) == (300_000, False)
+    assert len(read_log_files(spark, str(tmp_path / "long.log"), max_line_bytes=None).first().raw) == 300_000
 
 
 def test_text_files(spark, lines, tmp_path):
@@ -96,9 +130,17 @@ def test_rotation_by_size_and_age(lines, tmp_path):
     write_rotated(lines.coalesce(1), path, max_bytes=200, compress=True, max_age="24h", now=datetime(2024, 1, 17, tzinfo=timezone.utc))
     days = sorted(d for d in os.listdir(path) if d.startswith("day="))
     assert days == ["day=2024-01-16"]
-    files = [f for f in os.listdir(f"{path}/{days[0]}") if f.endswith(".gz")]
+    files = [os.path.join(d, f) for d, _, names in os.walk(f"{path}/{days[0]}") for f in names if f.endswith(".gz")]
     assert len(files) > 1
-    assert all(len(gzip.open(f"{path}/{days[0]}/{f}").read()) <= 220 for f in files)
+    assert all(len(gzip.open(f).read()) <= 200 for f in files)
+
+
+def test_rotation_with_uneven_lines(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1), "info", "x" * (1 if i % 10 else 150), "s") for i in range(300)]
+    frame = spark.createDataFrame(rows, "line_id long, ts timestamp, level string, message string, source string")
+    write_rotated(frame, str(tmp_path / "r"), max_bytes=400)
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "r") for f in names if f.startswith("part-")]
+    assert max(sizes) <= 400 and spark.read.text(str(tmp_path / "r")).count() == 300
 
 
 def test_bulk_and_webhook_delivery(spark, lines, tmp_path):
@@ -138,6 +180,13 @@ def test_alert_sinks(spark, tmp_path):
     append_alert_events(events, str(tmp_path / "hist"))
     append_alert_events(events, str(tmp_path / "hist"))
     assert spark.read.parquet(str(tmp_path / "hist")).count() == 2
+    plan = known_events(spark, str(tmp_path / "hist"), events.limit(1).withColumn("fired_on", F.to_date("fired_at")))
+    filters = re.search(r"PartitionFilters: \[(.*?)\]", plan._jdf.queryExecution().executedPlan().toString())[1]
+    assert "2024-01-01" in filters or "19723" in filters
+    assert purge_stored(spark, str(tmp_path / "hist"), datetime(2024, 1, 2, 1), "2h") == 1
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "hist")).collect()] == ["e2"]
+    assert purge_stored(spark, str(tmp_path / "hist"), datetime(2024, 1, 2, 12), "1h") == 1
+    assert spark.read.schema(schema).parquet(str(tmp_path / "hist")).count() == 0
     write_alerts(events, [{"kind": "webhook", "path": str(tmp_path / "w")}, {"kind": "email", "path": str(tmp_path / "e")}])
     hook = json.load(open(tmp_path / "w" / "webhook-e2"))
     assert hook == {"rule": "r", "severity": "warning", "message": "b", "timestamp": "2024-01-02T00:00:00Z", "count": 3}
