@@ -28,5 +28,5 @@ def query(name: str, sql: str | None = None, *views: str, recursive: bool = Fals
 def load() -> None:
     """Import the modules that register queries."""
     from sawlog.plans import (  # noqa: F401
-        queries_alerts, queries_health, queries_lines, queries_parse, queries_scalar, queries_streams, queries_tables,
+        queries_alerts, queries_files, queries_health, queries_lines, queries_parse, queries_scalar, queries_streams, queries_tables,
     )
