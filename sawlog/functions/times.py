@@ -15,7 +15,7 @@ _CLOCK = r"\d{1,2}:\d{2}:\d{2}([.,]\d+)?"
 ISO_LAYOUT = rf"^\d{{4}}-\d{{2}}-\d{{2}}(T{_CLOCK}(Z|[+-]\d{{2}}:\d{{2}})?| +{_CLOCK})\z"
 ACCESS_LOG_LAYOUT = rf"^\d{{2}}/[A-Za-z]{{3}}/\d{{4}}:{_CLOCK} +[+-]\d{{4}}\z"
 SYSLOG_LAYOUT = rf"^[A-Za-z]{{3}} +\d{{2}} +{_CLOCK}\z"
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # Duration units in nanoseconds.
 UNIT_NANOS = {
@@ -27,9 +27,8 @@ _DURATION_PART = r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h)"
 
 
 def _month(name: Column) -> Column:
-    place = F.instr(F.lit(MONTHS), F.lower(name))
-    known = (place > 0) & (place % 3 == 1)
-    return F.when(known, F.lpad(((place + 2) / 3).cast("int").cast("string"), 2, "0"))
+    place = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name))
+    return F.when(place > 0, F.lpad(place.cast("string"), 2, "0"))
 
 
 def tidy_ts(text: Column) -> Column:

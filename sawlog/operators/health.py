@@ -12,33 +12,39 @@ from sawlog.functions.times import micros
 
 STATUSES = ["healthy", "degraded", "failed", "stopped"]
 STARTING = "starting"
-_BUCKET_US = 3_600_000_000
+# The sign shown for each status.
+SYMBOLS = {"healthy": "✓", "degraded": "⚠", "failed": "✗", "stopped": "⏸"}
+_HOUR_US, _SECOND_US = 3_600_000_000, 1_000_000
 
 
 def _status() -> Column:
     return F.when(F.col("kind") == "register", F.lit(STARTING)).otherwise(F.col("status"))
 
 
-def _hourly(df: DataFrame) -> DataFrame:
-    return df.withColumn("_hour", F.floor(micros("ts") / _BUCKET_US))
+def _lag(partition: list[str], order: list[str], value: str) -> Column:
+    return F.lag(value).over(Window.partitionBy(*partition).orderBy(*order))
 
 
 def _with_previous(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add the value of the row before, per source in the order of (ts, seq).
 
-    A source's events are ordered by hour; the first of an hour looks up the last of the hour
-    before among one row per hour, so a busy source is spread over many tasks.
+    A source's events are ordered inside each second only. The first of a second takes the last value of the second before,
+    and the first second of an hour that of the hour before, so a busy source is spread over many tasks
+    and no task orders more than a second's events, an hour's seconds or a source's hours.
     """
-    timed = _hourly(df)
-    lasts = timed.groupBy("source", "_hour").agg(F.max_by(value, F.struct("ts", "seq")).alias("_last"))
-    carried = lasts.select(
-        "source", "_hour", F.lag("_last").over(Window.partitionBy("source").orderBy("_hour")).alias("_carried")
-    )
-    inside = Window.partitionBy("source", "_hour").orderBy("ts", "seq")
+    timed = df.withColumns({"_hour": F.floor(micros("ts") / _HOUR_US), "_second": F.floor(micros("ts") / _SECOND_US)})
+    seconds = timed.groupBy("source", "_hour", "_second").agg(F.max_by(value, F.struct("ts", "seq")).alias("_last"))
+    hours = seconds.groupBy("source", "_hour").agg(F.max_by("_last", "_second").alias("_last"), F.min("_second").alias("_second"))
+    hours = hours.select("source", "_second", _lag(["source"], ["_hour"], "_last").alias("_hour_before"))
+    seconds = seconds.withColumn("_second_before", _lag(["source", "_hour"], ["_second"], "_last"))
+    # Only the first second of an hour finds a partner; statuses are never null, so the others keep their own.
+    carried = seconds.join(hours, ["source", "_second"], "left").select(
+        "source", "_second", F.coalesce("_second_before", "_hour_before").alias("_carried"))
+    inside = Window.partitionBy("source", "_second").orderBy("ts", "seq")
     placed = timed.withColumns({"_before": F.lag(value).over(inside), "_place": F.row_number().over(inside)})
-    joined = placed.join(carried, ["source", "_hour"], "left")
+    joined = placed.join(carried, ["source", "_second"], "left")
     before = F.when(F.col("_place") == 1, F.col("_carried")).otherwise(F.col("_before"))
-    return joined.withColumn(out, before).drop("_hour", "_before", "_place", "_carried")
+    return joined.withColumn(out, before).drop("_hour", "_second", "_before", "_place", "_carried")
 
 
 def health_transitions(events: DataFrame) -> DataFrame:
@@ -57,28 +63,17 @@ def health_transitions(events: DataFrame) -> DataFrame:
 def health_current(events: DataFrame) -> DataFrame:
     """Latest state of each source; registering again starts it anew.
 
-    ``(source, status, last_error, last_update, error_count, start_time)``. Events are summed up
-    per source and hour, then the hours per source, so a busy source is spread over many tasks.
+    ``(source, status, last_error, last_update, error_count, start_time)``. Two aggregations, both combined
+    before the shuffle: the last registration of each source, then the events from it on.
     """
     at = F.struct("ts", "seq")
+    epochs = events.groupBy("source").agg(F.max(F.when(F.col("kind") == "register", at)).alias("_epoch"))
+    alive = events.join(epochs, "source").where(F.col("_epoch").isNull() | (at >= F.col("_epoch")))
     error = F.when(F.col("kind") == "status", F.col("error"))
-    hour = Window.partitionBy("source", "_hour")
-    timed = _hourly(events).withColumn("_epoch", F.max(F.when(F.col("kind") == "register", at)).over(hour))
-    alive = timed.where(F.col("_epoch").isNull() | (at >= F.col("_epoch")))
-    hours = alive.groupBy("source", "_hour").agg(
+    return alive.groupBy("source").agg(
         F.max_by(_status(), at).alias("status"),
-        F.max(F.when(error.isNotNull(), F.struct("ts", "seq", error.alias("error")))).alias("_error"),
-        F.max(at).alias("_last"), F.min(at).alias("_first"), F.count(error).alias("_errors"),
-        F.max("_epoch").alias("_epoch"),
-    )
-    newest = F.max(F.when(F.col("_epoch").isNotNull(), F.col("_hour"))).over(Window.partitionBy("source"))
-    kept = hours.withColumn("_from", newest).where("_from IS NULL OR _hour >= _from")
-    return kept.groupBy("source").agg(
-        F.max_by("status", "_last").alias("status"),
-        F.max("_error").getField("error").alias("last_error"),
-        F.max("_last").getField("ts").alias("last_update"),
-        F.sum("_errors").alias("error_count"),
-        F.min("_first").getField("ts").alias("start_time"),
+        F.max(F.when(error.isNotNull(), F.struct("ts", "seq", error.alias("error")))).getField("error").alias("last_error"),
+        F.max("ts").alias("last_update"), F.count(error).alias("error_count"), F.min("ts").alias("start_time"),
     )
 
 
@@ -103,8 +98,8 @@ def health_summary_line(health: DataFrame) -> DataFrame:
     """The counts as one line of text."""
     c = health_counts(health)
     parts = [F.lit("Sources: "), F.col("total_all"), F.lit(" total")]
-    for symbol, status in zip("✓⚠✗⏸", STATUSES):
-        parts += [F.lit(f" | {symbol} "), F.col(status), F.lit(f" {status}")]
+    for status in STATUSES:
+        parts += [F.lit(f" | {SYMBOLS[status]} "), F.col(status), F.lit(f" {status}")]
     return c.select(F.concat(*[p.cast("string") for p in parts]).alias("summary"))
 
 

@@ -25,6 +25,7 @@ NORMAL_LEVEL = """CASE
     WHEN lower(trim({0})) IN ('crit','critical') THEN 'fatal' WHEN lower(trim({0})) = 'trace' THEN 'debug'
     ELSE 'info' END"""
 
+# The line patterns as the formats define them.
 BRACKETED = r"^\[(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}[^]]*)]\s*(\w+):?\s*(.*)$"
 SPACED = r"^(\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}\S*)\s+(\w+)\s+(.*)$"
 LEVEL_ONLY = r"^(\w+):?\s+(.*)$"
@@ -46,6 +47,7 @@ text_parts AS (
         AND lower(regexp_extract(raw, '{LEVEL_ONLY}', 1)) IN {LEVEL_NAMES} AS is_lv
     FROM raw_lines))"""
 
+# The pair pattern of logfmt, by group.
 PAIR_KEYS = r"""regexp_extract_all(raw, '(\w+)=(?:"([^"]*)"|(\S*))', 1)"""
 PAIR_Q = r"""regexp_extract_all(raw, '(\w+)=(?:"([^"]*)"|(\S*))', 2)"""
 PAIR_P = r"""regexp_extract_all(raw, '(\w+)=(?:"([^"]*)"|(\S*))', 3)"""
@@ -156,9 +158,12 @@ def p6_fallback(spark, sf_dir):
 
 @query("p7_reject_reasons", r"""
 SELECT doc_id, CASE WHEN regexp_replace(text, '^[\s\x0b\x{85}\x{a0}]+', '') = '' THEN 'empty'
-  WHEN strlen(trim(text, E' \t\n\r')) > 262144 THEN 'too_large' END AS reason FROM documents""")
+  WHEN strlen(trim(text, E' \t\n\r')) > 262144 THEN 'too_large' END AS reason
+FROM (SELECT doc_id, CASE doc_id % 50 WHEN 1 THEN E' \t' WHEN 2 THEN repeat(text, 1 + 262144 // strlen(text)) ELSE text END AS text FROM documents)""")
 def p7_reject_reasons(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", reject_reason(F.col("text")).alias("reason"))
+    many = F.repeat("text", 1 + F.floor(F.lit(262144) / F.octet_length("text")).cast("int"))
+    text = F.when(F.col("doc_id") % 50 == 1, F.lit(" \t")).when(F.col("doc_id") % 50 == 2, many).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", reject_reason(text).alias("reason"))
 
 
 @query("p8_timestamp_pick", """

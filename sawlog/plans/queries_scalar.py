@@ -62,9 +62,10 @@ def o6_strip_ansi(spark, sf_dir):
 
 
 @query("o6_strip_ansi_documents", r"""
-SELECT doc_id, md5(regexp_replace(text, '\x1b\[[0-9;]*[a-zA-Z]', '', 'g')) AS digest FROM documents""")
+SELECT doc_id, md5(regexp_replace(replace(text, 'a', chr(27) || '[1;31ma' || chr(27) || '[0m'), '\x1b\[[0-9;]*[a-zA-Z]', '', 'g')) AS digest FROM documents""")
 def o6_strip_ansi_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_ansi(F.col("text"))).alias("digest"))
+    coloured = F.replace("text", F.lit("a"), F.lit("\x1b[1;31ma\x1b[0m"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip_ansi(coloured)).alias("digest"))
 
 
 _MICROS_SQL = "SELECT event_id, epoch_us(ts) % CASE event_id % 4 WHEN 0 THEN 1000000 WHEN 1 THEN 60000000 WHEN 2 THEN 3600000000 ELSE 864000000000 END AS us FROM events"
@@ -190,12 +191,13 @@ def o20_relative_time(spark, sf_dir):
 
 @query("o21_to_ndjson", """
 SELECT conv_id, turn, '{"timestamp":"2024-01-15T10:30:00.5Z","level":"info","message":'
-  || replace(replace(replace(to_json(text)::VARCHAR, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')
-  || ',"source":"' || role || '"}' AS line FROM conversations""")
+  || replace(replace(replace(to_json('<"' || text || '">')::VARCHAR, '&', '\\u0026'), '<', '\\u003c'), '>', '\\u003e')
+  || ',"source":"' || role || '","fields":{"conv":' || conv_id || ',"turn":"' || turn || '"}}' AS line FROM conversations""")
 def o21_to_ndjson(spark, sf_dir):
     at = F.lit("2024-01-15 10:30:00.5").cast("timestamp")
-    none = F.create_map().cast("map<string,variant>")
-    line = log_json(at, F.lit("info"), F.col("text"), F.col("role"), none)
+    fields = F.create_map(F.lit("turn"), F.col("turn").cast("string").cast("variant"), F.lit("conv"), F.col("conv_id").cast("variant"))
+    message = F.concat(F.lit('<"'), "text", F.lit('">'))
+    line = log_json(at, F.lit("info"), message, F.col("role"), fields)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", line.alias("line"))
 
 

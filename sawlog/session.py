@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -17,7 +20,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="sawlog-checkpoint-")
+    return _private_folder()
+
+
+@functools.cache
+def _private_folder() -> str:
+    """One folder of this process, gone with it."""
+    place = tempfile.mkdtemp(prefix="sawlog-checkpoint-")
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    return place
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -25,6 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
 
     For results that several branches read and that are dear to compute: the lineage ends
     here, a lost executor costs no new parse, and every branch reads only the columns it needs.
+    What is below the folder's ``sawlog`` can be removed when the session has ended.
     """
     place = f"{checkpoint_dir(df.sparkSession)}/sawlog/{uuid.uuid4().hex}"
     df.write.parquet(place)

@@ -12,6 +12,8 @@ from sawlog.schema import FIELDS_TYPE
 # The journal fields kept, and the width of a container timestamp.
 JOURNAL_FIELDS = ["_HOSTNAME", "_SYSTEMD_UNIT", "_PID", "_UID", "SYSLOG_IDENTIFIER", "_COMM", "_EXE"]
 STAMP_WIDTH = 30
+# The label selectors that are accepted, as terms ``key``, ``key=value``, ``key!=value`` and
+# ``key in (a, b)`` or ``key not in (a, b)``, joined by commas; and the longest of them.
 _TERM = r"[a-zA-Z0-9_./-]+(=[a-zA-Z0-9_./-]+|!=[a-zA-Z0-9_./-]+| (not)?in \([a-zA-Z0-9_.,/ -]+\))?"
 SAFE_SELECTOR = rf"^{_TERM}(,{_TERM})*\z"
 MAX_SELECTOR_BYTES = 1024

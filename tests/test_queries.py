@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from sawlog.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 NAMES = ["p4_parse_auto", "p11_parse_ts", "w5_health_transitions", "j3_diff_snapshots", "k4_bulk_bodies", "o13_full_duration"]
@@ -24,4 +25,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    entry.queries()
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
