@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sawlog.session import checkpoint_dir
@@ -132,6 +134,30 @@ class Words:
         self.first = np.cumsum(self.count) - self.count
 
 
+class Seen:
+    """Words met so far, numbered in order.
+
+    They are kept as one Arrow array, some tens of bytes a word, and looked up a batch at a time.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.words = limit, pa.array([], pa.string())
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each of these distinct words, and which are new: they get the next numbers.
+
+        When the limit is passed all are forgotten first, so all of these are new.
+        """
+        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(self.words) + len(new) > self.limit:
+            self.words, new = self.words.slice(0, 0), np.arange(len(words))
+        at[new] = len(self.words) + np.arange(len(new))
+        if len(new):
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
+        return at, new
+
+
 def pieces(texts: list[bytes] | list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts (or their sizes) with about ``limit`` bytes together; a long text stands alone."""
     start = total = 0

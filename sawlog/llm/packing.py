@@ -12,12 +12,12 @@ import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
-from sawlog.llm.common import pieces, stored
+from sawlog.llm.common import Seen, pieces, stored
 
 GROUP = 100_000  # pieces packed in one task
 CACHE = 1_500_000  # words whose ids a worker remembers
 SLICE = 8 << 20  # bytes of text tokenized at once
-LONG = 64  # characters beyond which a word is not remembered
+LONG = 10_000  # characters beyond which a word is not remembered
 SHIFT = 33  # bits of a sequence number below its group
 
 
@@ -40,7 +40,11 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen = Seen(CACHE)
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def _words(self, texts: pa.Array) -> pa.ListArray:
         plain = pa.array([_latin(t) for t in texts.to_pylist()], pa.bool_())
@@ -56,21 +60,21 @@ class WordIds:
         """The ids of all texts, and where those of each text end."""
         lists = self._words(texts)
         coded = lists.flatten().dictionary_encode()
-        words, codes = coded.dictionary.to_pylist(), np.asarray(coded.indices)
-        found = list(map(self.known.get, words))
-        new = [i for i, ids in enumerate(found) if ids is None]
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-        for i, code in zip(new, self.tokenizer.encode_batch_fast([words[i] for i in new], add_special_tokens=False), strict=True):
-            found[i] = np.array(code.ids, "<u4").tobytes()
-            if len(words[i]) <= LONG:
-                self.known[words[i]] = found[i]
-        size = np.array([len(ids) // 4 for ids in found], np.int64)
-        flat, start = np.frombuffer(b"".join(found), "<u4"), np.cumsum(size) - size
-        each = size[codes]
+        words, codes = coded.dictionary, np.asarray(coded.indices)
+        at, new = self.seen.numbers(words)
+        if len(new) == len(words):
+            self.sizes, self.ids = self.sizes[:0], self.ids[:0]
+        found = self.tokenizer.encode_batch_fast(words.take(pa.array(new)).to_pylist(), add_special_tokens=False)
+        fresh = [np.array(code.ids, "<u4") for code in found]
+        self.sizes = np.concatenate([self.sizes, np.array([len(ids) for ids in fresh], np.int64)])
+        self.ids = np.concatenate([self.ids, *fresh])
+        start = np.cumsum(self.sizes) - self.sizes
+        each = self.sizes[at][codes]
         ends = np.cumsum(each)
-        ids = flat[np.repeat(start[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+        ids = self.ids[np.repeat(start[at][codes] - (ends - each), each) + np.arange(int(each.sum()))]
         upto = np.concatenate([[0], ends])[np.asarray(lists.value_lengths()).cumsum()]
+        if len(new) and max(map(len, words.take(pa.array(new)).to_pylist())) > LONG:
+            self._forget()  # very long words are not carried along
         return ids, upto
 
 

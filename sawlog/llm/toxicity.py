@@ -9,13 +9,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sawlog.llm.common import BROADCAST_ROWS, stored
+from sawlog.llm.common import BROADCAST_ROWS, Seen, pieces, stored
 
 TRAIN_ROWS = 20_000  # about as many labelled rows, chosen by a hash, are fitted on
 LEXICON = 2_000  # entries at most
@@ -23,7 +24,8 @@ EVIDENCE = 22.0  # log-likelihood ratio that an entry needs to be more than chan
 STEMS = (4, 5, 6)
 NEAR = 5  # words within which an address counts as near
 CALIBRATION = 0.3  # share of the training rows that calibrate
-CACHE = 400_000
+CACHE = 1_500_000  # words whose meaning a worker remembers
+SLICE = 8 << 20  # bytes of text read at once
 SECOND_PERSON = frozenset("""
 you your yours yourself u ur tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros vuestro du dich dir dein deine euch euer ihr
 """.split())
@@ -51,64 +53,79 @@ class Reader:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.known: dict[str, int] = {}
-        self.kinds: list[tuple[float, ...]] = []
-        self.number: dict[tuple[float, ...], int] = {}
-        self.table = np.zeros((0, 6))
+        self.stems = [(n, {p[1:]: w for p, w in lexicon.items() if p[0] == "^" and len(p) == n + 1}) for n in STEMS]
+        self.seen, self.kinds = Seen(CACHE), np.zeros((0, 6), np.float32)
 
     def _weight(self, word: str) -> float:
-        return max((self.lexicon.get(p, 0.0) for p in parts(word)), default=0.0)
-
-    def _kind(self, token: str) -> int:
-        word = core(token)
-        weight, hidden = self._weight(word), bool(_HIDDEN.search(word))
-        undone = 0.0
-        if not weight and word:
-            plain = "".join(c for c in word.translate(_LEET) if c.isalpha())
-            if plain != word:
-                undone = self._weight(plain)
-            if not undone:
-                undone = self._weight(_REPEATS.sub(r"\1", plain))
-        kind = (weight or undone, float(weight > 0), float(undone > 0), float(word in SECOND_PERSON),
-                float(len(word) > 1 and token.isupper()), float(hidden))
-        if kind not in self.number:
-            self.number[kind] = len(self.kinds)
-            self.kinds.append(kind)
-        return self.number[kind]
-
-    def __call__(self, text: str) -> list[float]:
-        tokens = text.split()
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        codes = [known.get(t, -1) for t in tokens]
-        if -1 in codes:
-            for i, code in enumerate(codes):
-                if code < 0:
-                    codes[i] = known[tokens[i]] = self._kind(tokens[i])
-        if len(self.table) < len(self.kinds):
-            self.table = np.array(self.kinds)
-        n = max(1, len(tokens))
-        if tokens:
-            at = np.array(codes)
-            share = np.bincount(at, minlength=len(self.table)) @ self.table
-            weights = self.table[at, 0]
-            hits, you = np.flatnonzero(weights), np.flatnonzero(self.table[at, 3])
-        else:
-            share, weights, hits, you = np.zeros(6), np.zeros(0), np.zeros(0, int), np.zeros(0, int)
-        near = 0
-        if len(hits) and len(you):
-            place = np.searchsorted(you, hits)
-            ahead = np.abs(you[np.minimum(place, len(you) - 1)] - hits)
-            behind = np.abs(hits - you[np.maximum(place - 1, 0)])
-            near = int((np.minimum(ahead, behind) <= NEAR).sum())
-        raw = np.bincount(_CLASS[np.frombuffer(text.encode(), np.uint8)], minlength=6)
-        size = max(1, int(raw.sum()))
-        return [
-            math.log1p(len(tokens)), share[1] / n, share[2] / n, share[0] / n, float(weights[hits].max()) if len(hits) else 0.0,
-            math.log1p(len(hits)), math.log1p(len({tokens[i] for i in hits})), share[3] / n, near / max(1, len(hits)),
-            raw[1] / max(1, int(raw[1] + raw[2])), share[4] / n, raw[4] / size, raw[5] / size, raw[3] / size, share[5] / n, math.log1p(share[2]),
-        ]
+        get = self.lexicon.get
+        return max(get(word, 0.0), *[stems.get(word[:n], 0.0) for n, stems in self.stems])
+
+    def _kind(self, token: str) -> tuple[float, ...] | None:
+        """Weight, whether it is in the lexicon plainly or in hiding, second person, shouted, obfuscated; None for plain words."""
+        word = token.strip(_EDGE).lower()
+        weight, undone, hidden = self._weight(word), 0.0, False
+        if not word.isalpha():
+            hidden = bool(_HIDDEN.search(word))
+            if not weight:
+                undone = self._weight("".join(filter(str.isalpha, word.translate(_LEET))))
+        if not weight and not undone and _REPEATS.search(word):
+            undone = self._weight(_REPEATS.sub(r"\1", "".join(filter(str.isalpha, word.translate(_LEET)))))
+        you, shouted = word in SECOND_PERSON, len(word) > 1 and token.isupper()
+        if not (weight or undone or you or shouted or hidden):
+            return None
+        return (weight or undone, float(weight > 0), float(undone > 0), float(you), float(shouted), float(hidden))
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        """A row of features per text."""
+        n = len(texts)
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, codes = coded.dictionary, np.asarray(coded.indices)
+        at, new = self.seen.numbers(words)
+        if len(new) == len(words):
+            self.kinds = self.kinds[:0]
+        fresh = np.zeros((len(new), 6), np.float32)
+        for i, word in enumerate(words.take(pa.array(new)).to_pylist()):
+            if (kind := self._kind(word)) is not None:
+                fresh[i] = kind
+        self.kinds = np.concatenate([self.kinds, fresh])
+        kinds = self.kinds[at]
+        told = np.flatnonzero((kinds.any(axis=1))[codes])  # tokens that mean something
+        text = np.repeat(np.arange(n), np.asarray(lists.value_lengths()))
+        empty = pc.index(words, "").as_py()
+        count = np.bincount(text[codes != empty], minlength=n).astype(float)
+        owner, meant = text[told], kinds[codes[told]].astype(float)
+        share = np.stack([np.bincount(owner, weights=meant[:, k], minlength=n) for k in range(6)], axis=1)
+        hit = meant[:, 0] > 0
+        most = np.zeros(n)
+        np.maximum.at(most, owner[hit], meant[hit, 0])
+        hits = np.bincount(owner[hit], minlength=n).astype(float)
+        different = np.unique(np.stack([owner[hit], codes[told][hit]], axis=1), axis=0)[:, 0] if hit.any() else owner[:0]
+        near = self._near(told[hit], owner[hit], told[meant[:, 3] > 0], owner[meant[:, 3] > 0], n)
+        raw = self._characters(texts)
+        size, tokens = np.maximum(raw.sum(axis=1), 1), np.maximum(count, 1)
+        return np.stack([
+            np.log1p(count), share[:, 1] / tokens, share[:, 2] / tokens, share[:, 0] / tokens, most,
+            np.log1p(hits), np.log1p(np.bincount(different, minlength=n)), share[:, 3] / tokens, near / np.maximum(hits, 1),
+            raw[:, 1] / np.maximum(raw[:, 1] + raw[:, 2], 1), share[:, 4] / tokens, raw[:, 4] / size, raw[:, 5] / size, raw[:, 3] / size,
+            share[:, 5] / tokens, np.log1p(share[:, 2]),
+        ], axis=1)
+
+    @staticmethod
+    def _near(hits: np.ndarray, hit_text: np.ndarray, you: np.ndarray, you_text: np.ndarray, n: int) -> np.ndarray:
+        """Per text, the hits with a second person within ``NEAR`` words."""
+        if not len(hits) or not len(you):
+            return np.zeros(n)
+        place = np.searchsorted(you, hits)
+        close = np.zeros(len(hits), bool)
+        for side in (np.minimum(place, len(you) - 1), np.maximum(place - 1, 0)):
+            close |= (np.abs(you[side] - hits) <= NEAR) & (you_text[side] == hit_text)
+        return np.bincount(hit_text[close], minlength=n).astype(float)
+
+    @staticmethod
+    def _characters(texts: pa.Array) -> np.ndarray:
+        """Bytes of each text by class."""
+        return np.array([np.bincount(_CLASS[np.frombuffer(t.encode(), np.uint8)], minlength=6) for t in texts.to_pylist()]).reshape(-1, 6)
 
 
 FEATURES = 16
@@ -122,7 +139,9 @@ def features(lexicon: dict[str, float]):
         global _reader
         if _reader is None or _reader.lexicon != lexicon:
             _reader = Reader(lexicon)
-        values = np.array([_reader(t or "") for t in texts.to_pylist()], np.float64).reshape(-1)
+        texts = pc.fill_null(texts, "")
+        rows = [_reader(texts.slice(a, b - a)) for a, b in pieces(pc.binary_length(texts).to_pylist(), SLICE)]
+        values = np.concatenate(rows or [np.zeros((0, FEATURES))]).astype(np.float64).reshape(-1)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32()), pa.array(values))
 
     return of
