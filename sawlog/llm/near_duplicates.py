@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     stars = keyed.join(centres.select("band", "v"), "band").filter("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
     groups = connected_components(stars)
     # Blocks of bounded size: as many as the counted members of a component need.
-    sized = groups.groupBy("component").agg(F.count("*").alias("size"))
+    sized = narrow(stored(groups.groupBy("component").agg(F.count("*").alias("size"))))
     blocks = F.ceil(F.col("size") / F.lit(block * 3 // 4)).cast("long")
     members = stored(groups.join(sized, "component").select(
         F.col("node").alias("doc_id"), "component", blocks.alias("blocks"),
@@ -267,11 +267,12 @@ def _cross_links(wide: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
     labelled = stored(labelled.drop("label").join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label"), "doc_id", "left")
                       .withColumn("label", F.coalesce("label", "doc_id")))
     sizes = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top")).select("component", F.col("top.label").alias("top"))
+    largest = narrow(stored(sizes.groupBy("component").agg(F.max(F.struct("n", "label")).alias("top")).select(
+        "component", F.col("top.label").alias("top"))))
     outside = labelled.join(largest, "component").filter("label != top").drop("top")
     # Outside members in chunks, each sent to every block of its component.
-    per_task = outside.groupBy("component").agg(F.count("*").alias("n")).select(
-        "component", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long").alias("chunks"))
+    per_task = narrow(stored(outside.groupBy("component").agg(F.count("*").alias("n")).select(
+        "component", F.ceil(F.col("n") / F.lit(BLOCK)).cast("long").alias("chunks"))))
     columns = ["component", "block", "chunk", "doc_id", "label", "shingles"]
     left = (outside.join(per_task, "component").withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("chunks")))
             .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(columns))
