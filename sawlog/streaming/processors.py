@@ -7,6 +7,7 @@ Rows later than the watermark are dropped by Spark.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -161,22 +162,28 @@ class AlertProcessor(OrderedProcessor):
 
     def take(self, frame):
         names = ["t", "line_id", "source", "message", "severity", "rate", "need", "window_us", "cooldown_us"]
+        # Of the lines of one instant only the first can pass a cooldown; a rate needs them all.
+        ordered = frame.sort_values(["t", "line_id"])
+        frame = ordered[ordered["rate"] | ~ordered["t"].duplicated()]
         return [
             (int(t), int(i), s, m, v, bool(r), int(k), int(w), int(c))
             for t, i, s, m, v, r, k, w, c in frame[names].itertuples(index=False)
         ]
 
     def step(self, key, rows, watermark_us):
-        counted = [int(e[0]) for e in self.errors.get()] if self.errors.exists() else []
+        counted = deque(int(e[0]) for e in self.errors.get()) if self.errors.exists() else deque()
         last = int(self.clock.get()[0]) if self.clock.exists() else None
         out = []
         for t, line_id, source, message, severity, rate, need, window_us, cooldown_us in rows:
             count = 0
             if rate:
-                counted = [e for e in counted if e >= t - window_us] + [t]
+                while counted and counted[0] < t - window_us:
+                    counted.popleft()
+                counted.append(t)
                 if len(counted) < need:
                     continue
-                count, counted = len(counted), []
+                count = len(counted)
+                counted.clear()
             if cooldown_us > 0:
                 if last is not None and t - last < cooldown_us:
                     continue
