@@ -44,6 +44,17 @@ fires AS (
   FROM fires f WHERE f.rn IS NOT NULL),
 rate_fires AS (
   SELECT h.* FROM hot h JOIN fires f ON h.name = f.name AND h.rn = f.rn)"""
+# The rule as written: errors out of the window are dropped, the new one is counted, and a full count fires and empties it.
+RATE_STEPS_SQL = """
+numbered AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, line_id) AS rn FROM matched WHERE type = 'error_rate'),
+steps AS (
+  SELECT DISTINCT name, 0::BIGINT AS rn, []::TIMESTAMP[] AS counted, false AS fires FROM numbered
+  UNION ALL
+  SELECT name, rn, CASE WHEN len(held) + 1 >= threshold THEN [] ELSE list_append(held, ts) END, len(held) + 1 >= threshold
+  FROM (
+    SELECT n.*, list_filter(s.counted, lambda x: x >= n.ts - to_microseconds(n.window_us)) AS held
+    FROM steps s JOIN numbered n ON n.name = s.name AND n.rn = s.rn + 1)),
+rate_fires AS (SELECT n.* FROM numbered n JOIN steps s ON s.name = n.name AND s.rn = n.rn WHERE s.fires)"""
 DURATION_SQL = "(window_us // 3600000000) || 'h0m0s'"
 CANDIDATES_SQL = f"""
 candidates AS (
@@ -78,7 +89,7 @@ def j1_match_rules(spark, sf_dir):
 @query("w2_error_rate_alerts", f"""
 SELECT name AS rule_name, line_id, source, threshold AS count, ts AS fired_at,
   'Error rate exceeded: ' || threshold || ' errors in ' || {DURATION_SQL} AS message FROM rate_fires""",
-       *ALERT_VIEWS[:4], recursive=True)
+       *ALERT_VIEWS[:3], RATE_STEPS_SQL, recursive=True)
 def w2_error_rate_alerts(spark, sf_dir):
     return error_rate_alerts(log_lines(spark, sf_dir), rules_table(spark)).select(
         "rule_name", "line_id", "source", "count", "fired_at", "message"
