@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sawlog.llm.common import stored
 
-BLOCK = 2_048  # vectors of an index block
+BLOCK = 131_072  # components of an index block: 2,048 vectors of 64
 QUERIES = 512  # queries of a query block
 SPREAD = 8  # index blocks that meet the same copy of a query block
 MEAN_ROWS = 10_000  # about as many vectors give the centre
@@ -70,7 +70,7 @@ def index(vectors: DataFrame, means: dict[int, list[float]], block: int = BLOCK)
                 ids, rows = held.setdefault(len(vector), ([], []))
                 ids.append(key)
                 rows.append(vector)
-                if len(ids) == block:
+                if len(ids) >= max(64, block // max(1, len(vector))):
                     yield made(len(vector), ids, rows)
                     del held[len(vector)]
         for dim, (ids, rows) in held.items():

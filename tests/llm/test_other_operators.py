@@ -149,6 +149,18 @@ def test_quotations(spark):
     assert chats[1] == "<|assistant|>\nFine thanks.\n<|end|>" and len(chats) == 4
 
 
+def test_quotations_equal_sql(spark):
+    chain = [(9, i, "u", f"> > passage number {i - 2} here\n> passage number {i - 1} here\npassage number {i} here\n\n\n\nmore") for i in range(12)]
+    rows = [m for m in MESSAGES if m != (2, 0, "u", "> Good.\nx")] + chain
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    duck = duckdb.connect()
+    duck.register("conversations", frame.toArrow())
+    result = duck.execute(ORACLE["op7_quotation_linking"])
+    columns = [c[0] for c in result.description]
+    got = sorted((tuple(r[c] for c in columns) for r in quotations.linked(frame).collect()), key=repr)
+    assert got == sorted(result.fetchall(), key=repr)
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "u", "message number 0 of the chain")]
     rows += [(1, i, "u", f"> message number {i - 1} of the chain\nmessage number {i} of the chain") for i in range(1, 40)]
