@@ -4,21 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sawlog.llm.common import stored
+from sawlog.llm.common import narrow, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One step of the alternating star algorithm: neighbours of a node are linked to its smallest one.
 
-    The minimum per node is pre-aggregated before it is shuffled, and the join back is a plain join,
-    which Spark can split where a node has very many neighbours.
+    The minimum per node is pre-aggregated before it is shuffled, and stored. The join back is to that
+    table: broadcast while it is small, else a plain join of two exchanges, which Spark can split where a
+    node has very many neighbours.
     """
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    joined = both.join(narrow(least), "u")
     if large:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
