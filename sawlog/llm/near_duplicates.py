@@ -220,8 +220,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, block: i
     reps = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
     # Stars: every member of a bucket to its smallest.
     keyed = reps.select("doc_id", F.explode("bands").alias("band"))
-    centres = keyed.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last")
-    stars = keyed.join(centres.select("band", "v"), "band").filter("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
+    # Stored, so that the join has two plain sides, of which Spark can split a hot one.
+    centres = stored(keyed.groupBy("band").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("last")).filter("v < last").select("band", "v"))
+    stars = keyed.join(centres, "band").filter("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
     groups = connected_components(stars)
     # Blocks of bounded size: as many as the counted members of a component need.
     sized = narrow(stored(groups.groupBy("component").agg(F.count("*").alias("size"))))
