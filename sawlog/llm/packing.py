@@ -48,9 +48,8 @@ class WordIds:
 
     def _words(self, texts: pa.Array) -> pa.ListArray:
         plain = pa.array([_latin(t) for t in texts.to_pylist()], pa.bool_())
-        lower = pc.utf8_lower(texts)
-        for mark in ". ", ", ", ".\n":
-            lower = pc.replace_substring(lower, mark, " " + mark)
+        # A mark between a letter and white space is a token of its own; after another mark it would not be.
+        lower = pc.replace_substring_regex(pc.utf8_lower(texts), r"([a-zß-öø-ÿ])([.,])([ \n])", r"\1 \2\3")
         texts = pc.if_else(plain, lower, texts)
         for space in "\n", "\t", "\r":
             texts = pc.replace_substring(texts, space, " ")

@@ -121,7 +121,8 @@ def test_redaction(spark):
 def test_packing(spark):
     import tokenizers
 
-    rows = corpus()
+    marks = "Wait... what. No!., Yes,\tor,, 5. It's. it's, É. ß, x.\ny,\n z . , a.b, c.  d,  <|endoftext|> e. <|ENDOFTEXT|>. ŝ. µ. 3.5, º. a\u0301. I\u0307. Ａ．\u00a0b.\u00a0 c"
+    rows = corpus() + [(900, marks), (901, marks.replace("<", "")), (902, marks.encode("latin-1", "ignore").decode("latin-1").replace("<", ""))]
     tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path())
     got = packing.pack_documents(documents(spark, rows), tokenizer_path(), 512, 1, packing.crc32).collect()
     want = [(k, *p) for k, t in rows for p in brute.pieces(tokenizer, t, 512, 1)]
