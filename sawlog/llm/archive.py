@@ -79,7 +79,7 @@ def read_payloads(spark, path: str) -> DataFrame:
 
 
 def _field(name: str) -> Column:
-    return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: ([^\r\n]*)$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.col("header").cast("string"), rf"(?md)^{name}: ([^\r\n]*)\r$", 1), F.lit(""))
 
 
 def read_headers(spark, path: str) -> DataFrame:

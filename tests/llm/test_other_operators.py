@@ -58,7 +58,7 @@ def test_toxicity_without_labels(spark):
     assert toxicity.report(docs.filter("false"), labels).collect() == []
 
 
-PAGES = [(1, "u1", "<p>a</p>"), (2, "u2", "<p>a</p>"), (3, None, "ünï"), (4, "u\r\n4", None), (5, "u5", ""), (5, "u5", ""), (None, "n", "<p>a</p>"), (None, "n", "alone"),
+PAGES = [(1, "u1", "<p>a</p>"), (2, "u2", "<p>a</p>"), (3, None, "ünï"), (4, "u\r\nX-Page-ID: 77\u2028X-Page-ID: 78", None), (5, "u5", ""), (5, "u5", ""), (None, "n", "<p>a</p>"), (None, "n", "alone"),
          (6, "long", "x" * 300_000)]
 
 
