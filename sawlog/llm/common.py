@@ -143,19 +143,21 @@ class Seen:
     def __init__(self, limit: int):
         self.limit, self.words = limit, pa.array([], pa.string())
 
-    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The number of each of these distinct words, and which are new: they get the next numbers.
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, bool]:
+        """The number of each of these distinct words, which are new, and whether all others were forgotten.
 
-        When the limit is passed all are forgotten first, so all of these are new.
+        New words get the next numbers. When the limit is passed all are forgotten first, so all of these are new and numbered from 0;
+        that all are new does not tell that.
         """
         at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
         new = np.flatnonzero(at < 0)
-        if len(self.words) + len(new) > self.limit:
+        forgotten = len(self.words) + len(new) > self.limit
+        if forgotten:
             self.words, new = self.words.slice(0, 0), np.arange(len(words))
         at[new] = len(self.words) + np.arange(len(new))
         if len(new):
             self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
-        return at, new
+        return at, new, forgotten
 
 
 def pieces(texts: list[bytes] | list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:

@@ -60,8 +60,8 @@ class WordIds:
         lists = self._words(texts)
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary, np.asarray(coded.indices)
-        at, new = self.seen.numbers(words)
-        if len(new) == len(words):
+        at, new, forgotten = self.seen.numbers(words)
+        if forgotten:
             self.sizes, self.ids = self.sizes[:0], self.ids[:0]
         found = self.tokenizer.encode_batch_fast(words.take(pa.array(new)).to_pylist(), add_special_tokens=False)
         fresh = [np.array(code.ids, "<u4") for code in found]

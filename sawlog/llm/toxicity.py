@@ -81,8 +81,8 @@ class Reader:
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary, np.asarray(coded.indices)
-        at, new = self.seen.numbers(words)
-        if len(new) == len(words):
+        at, new, forgotten = self.seen.numbers(words)
+        if forgotten:
             self.kinds = self.kinds[:0]
         fresh = np.zeros((len(new), 6), np.float32)
         for i, word in enumerate(words.take(pa.array(new)).to_pylist()):

@@ -58,6 +58,19 @@ def test_toxicity_without_labels(spark):
     assert toxicity.report(docs.filter("false"), labels).collect() == []
 
 
+def test_features_of_batches_that_share_no_word(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    lexicon = {"grumbo": 2.0, "snarfy": 1.0}
+    texts = ["grumbo one", "三四五六", "", "YOU snarfy", "x" * 9_000_000, "gr.umbo two", "one grumbo"]
+    for cache in toxicity.CACHE, 3:
+        monkeypatch.setattr(toxicity, "CACHE", cache)
+        reader = toxicity.Reader(lexicon)
+        for text in texts:
+            assert np.array_equal(reader(pa.array([text])), toxicity.Reader(lexicon)(pa.array([text])))
+
+
 PAGES = [(1, "u1", "<p>a</p>"), (2, "u2", "<p>a</p>"), (3, None, "ünï"), (4, "u\r\nX-Page-ID: 77\u2028X-Page-ID: 78", None), (5, "u5", ""), (5, "u5", ""), (None, "n", "<p>a</p>"), (None, "n", "alone"),
          (6, "long", "x" * 300_000)]
 

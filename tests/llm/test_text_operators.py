@@ -140,6 +140,34 @@ def test_packing(spark):
     assert len(bins) <= -(-total // 512) + 1
 
 
+def test_packing_of_batches_that_share_no_word(spark):
+    """One row a batch and one task: each batch after the first holds only words the task has not met, among them a slice of one unbroken text."""
+    import tokenizers
+
+    rng = random.Random(3)
+    texts = ["one two", "三四五六", "", "七八", None, "f3a9c1", "x" * 9_000_000, "three four", "х" * (packing.LONG + 1), "nine ten"]
+    rows = list(enumerate(texts + ["".join(rng.choices("qwxyz", k=30)) for _ in range(20)]))
+    tokenizer = tokenizers.Tokenizer.from_file(tokenizer_path())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        got = packing.pack_documents(docs, tokenizer_path(), 512, 1, packing.crc32).select("doc_id", "piece", "start", "length", "ids").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, got)) == [(k, *p) for k, t in rows for p in brute.pieces(tokenizer, t, 512, 1)]
+
+
+def test_word_ids_after_forgetting(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    monkeypatch.setattr(packing, "CACHE", 4)
+    tokenizer, encode = tokenizers.Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    for text in "one two three", "four five six", "", "six seven", "seven one two three four five", "one":
+        ids, upto = encode(pa.array([text]))
+        assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and upto.tolist() == [len(ids)]
+
+
 def test_best_two_fit_exchanges_the_smallest():
     """50 + 30 leaves 20; 30 gives way to 26 + 24, which fill the bin."""
     import numpy as np
