@@ -209,7 +209,9 @@ KEY = ["id", "tag"]
 
 
 def key_columns() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.hash(F.col("doc_id").isNull(), "text")]
+    number = F.col("doc_id").cast("long")
+    # The tag has 64 bits. Rows without a number, of which there can be many, take 64 more from their text in its place.
+    return [F.coalesce(number, F.xxhash64(F.lit(1), "text")), F.xxhash64(number.isNull(), "text")]
 
 
 def keyed(docs: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def _scan(length: int):
     return run
 
 
-_REGION = "id long, tag int, start long, low int, high int, region binary"
+_REGION = "id long, tag long, start long, low int, high int, region binary"
 
 
 def _regions(length: int):
@@ -112,7 +112,7 @@ def _refined(length: int, width: int):
     return run
 
 
-_PART = "id long, tag int, start long, low int, high int, top int, core long, union long"
+_PART = "id long, tag long, start long, low int, high int, top int, core long, union long"
 RUN = [*KEY, "start"]
 
 
@@ -124,7 +124,7 @@ def _found(parts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """The scan (a row per text) and, per key, spans of starts of repeated strings; ``docs`` is from ``keyed``."""
-    scan = stored(docs.mapInArrow(_scan(length), "id long, tag int, digest string, doc_id long, n_bytes long, sha string, grams array<long>"))
+    scan = stored(docs.mapInArrow(_scan(length), "id long, tag long, digest string, doc_id long, n_bytes long, sha string, grams array<long>"))
     copied = stored(scan.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("id", "tag")).alias("rep")).filter("copies > 1"))
     flagged = scan.join(narrow(copied), "digest", "left").withColumn("copy", F.col("copies").isNotNull())
     own = flagged.filter(~F.col("copy") | (F.struct("id", "tag") == F.col("rep"))).select(*KEY, "grams")
@@ -192,7 +192,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     rest = scan.filter(~F.col("copy")).select(KEY)
     wanted = stored(spans.join(rest, KEY, "left_semi"))
     texts = docs.select(*KEY, "text").join(narrow(wanted.select(KEY)), KEY, "left_semi")
-    cut = texts.join(wanted, KEY).mapInArrow(_cut(length), "id long, tag int, n_removed long, n_spans long, kept binary")
+    cut = texts.join(wanted, KEY).mapInArrow(_cut(length), "id long, tag long, n_removed long, n_spans long, kept binary")
     return scan.select(*KEY, "doc_id", "n_bytes", "sha", "copy"), cut
 
 

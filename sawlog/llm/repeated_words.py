@@ -120,7 +120,7 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     chance once in 2**64 pairs.
     """
     docs = keyed(docs)
-    scan = stored(docs.mapInArrow(_scan(width), "id long, tag int, digest string, doc_id long, n_words long, sha string, grams array<long>"))
+    scan = stored(docs.mapInArrow(_scan(width), "id long, tag long, digest string, doc_id long, n_words long, sha string, grams array<long>"))
     named = scan.filter("doc_id IS NOT NULL")
     copied = stored(named.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
                     .select("digest", "least"))
@@ -132,13 +132,13 @@ def repeated_words(docs: DataFrame, width: int = 13) -> tuple[DataFrame, DataFra
     repeated = stored(two(own.select("id", F.explode("grams").alias("gram")), "gram").select("gram"))
     texts = docs.filter("doc_id IS NOT NULL").select(*KEY, "text")
     windows = stored(with_repeated(texts, own, repeated).mapInArrow(
-        _candidates(width), "id long, tag int, hashes array<long>, starts array<int>"))
+        _candidates(width), "id long, tag long, hashes array<long>, starts array<int>"))
     each = windows.select(*KEY, F.explode(F.arrays_zip("hashes", "starts")).alias("w")).select(
         *KEY, F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"))
     first = stored(two(each, "hash").select("hash", "least"))
     lost = stored(each.join(first, "hash").filter("id > least").groupBy(KEY).agg(F.collect_set("start").alias("starts")))
     cut = texts.join(narrow(lost.select(KEY)), KEY, "left_semi").join(lost, KEY).mapInArrow(
-        _cut(width), "id long, tag int, n_removed long, kept_text string")
+        _cut(width), "id long, tag long, n_removed long, kept_text string")
     return flagged.select(*KEY, "doc_id", "n_words", "sha", "copy"), cut
 
 

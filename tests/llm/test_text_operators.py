@@ -76,6 +76,33 @@ def test_contamination(spark, length):
     assert rows_of(got) == sorted(brute.contaminated(rows, items, length), key=repr)
 
 
+# Pairs of words whose texts, with whatever follows, have one 32-bit F.hash: beside a doc_id and beside none.
+ALIKE = {7: ("k0020502", "k0032918"), None: ("k0022296", "k0034688")}
+
+
+def alike(tail):
+    return [(k, f"{word} {tail}") for k, words in ALIKE.items() for word in words]
+
+
+def test_texts_alike_in_32_bits_stay_apart(spark):
+    tail = sentence(random.Random(5), 40)
+    rows, items = alike(tail), [(i, " ".join(f"{words[0]} {tail}".split()[:10])) for i, words in enumerate(ALIKE.values())]
+    for (k, a), (_, b) in zip(rows[::2], rows[1::2], strict=True):
+        of = F.hash(F.lit(k is None), "text")
+        assert len({r[0] for r in spark.createDataFrame([(a,), (b,)], "text string").select(of).collect()}) == 1
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(documents(spark, rows), benchmark).drop("id", "tag")
+    assert rows_of(got) == sorted(brute.contaminated(rows, items, 10), key=repr)
+    # Of each pair one text shares its beginning with an earlier document.
+    early = [(i, " ".join(f"{words[0]} {tail}".split()[:20]) + f" end{i}") for i, words in enumerate(ALIKE.values())]
+    shared = early + rows[:2]
+    assert rows_of(repeated_words.removal_report(documents(spark, shared))) == sorted(brute.without_repeated_words(shared, 13), key=repr)
+    apart = early[:1] + [(7, rows[0][1][:80]), (7, rows[1][1][:80])]
+    assert rows_of(repeated_bytes.removal_report(documents(spark, apart), 40)) == sorted(brute.without_repeated_bytes(apart, 40), key=repr)
+    apart = early[1:] + [(None, rows[2][1][:80]), (None, rows[3][1][:80])]
+    assert rows_of(repeated_bytes.removal_report(documents(spark, apart), 40)) == sorted(brute.without_repeated_bytes(apart, 40), key=repr)
+
+
 def test_contamination_without_items(spark):
     rows = corpus()
     benchmark = spark.createDataFrame([], "item_id long, text string")
