@@ -82,7 +82,7 @@ def _regions(length: int):
 
 
 def _refined(length: int, width: int):
-    """Bucket identifiers of parts of runs: the strings whose anchor lies ``low`` to ``high`` bytes after their start.
+    """Hashes of parts of runs: the strings whose anchor lies ``low`` to ``high`` bytes after their start.
 
     Strings are taken ``width`` start positions at a time. All of a part's strings share a core of bytes, and together
     they cover a union: strings of different parts can be equal only if the cores are, and all are if the unions are.
@@ -179,10 +179,10 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataF
     that lose bytes, ``n_removed``, ``n_spans`` and the ``kept`` bytes. Only these two columns are read; a null text is
     empty; rows without ``doc_id`` are texts like others; strings never cross texts.
 
-    Bucket-pointer refinement, thinned: suffixes are bucketed by a q-gram at their anchor, and singletons drop out.
-    Then buckets are refined by identifiers of the bytes at later (and earlier) offsets, which are made from
-    identifiers of shorter pieces; each round sorts by the new identifiers in Spark, drops what stands alone, settles what agrees as far as it matters, and passes
-    one member of each remaining sub-bucket on to a finer round. Parts are counted with
+    Hashed spans, in place of bucket-pointer refinement: strings are grouped by the q-gram at their anchor, and singletons drop out.
+    Then two fixed rounds group them by Rabin-Karp hashes of their raw bytes, of several start positions at once and then of each whole
+    string; no suffix is sorted and no earlier bucket looked up. A round drops what stands alone, settles what is equal, and passes
+    one member of each remaining group on to the finer round. Parts are counted with
     pre-aggregation, so a passage in a third of all documents is no task's burden. Identifiers have 64 bits.
     """
     if length < Q:
