@@ -18,7 +18,8 @@ KINDS = {
 }
 MODEL = "random"  # the kind of the spans that the models add
 ALPHABET = "+-/0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16  # characters of a candidate
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 SAMPLE_DOCUMENTS = 2_000  # about as many documents give the samples
 SMOOTHING = 20.0
@@ -129,13 +130,27 @@ def ratio(token: Column, table: list[float]) -> Column:
                        lambda acc, i: acc + F.get(values, code(i - 1) * n + code(i)))
 
 
+def _outside(span: Column, held: Column) -> Column:
+    """What spans of ``held`` leave of a span: ``start, end`` of every part long enough for a candidate."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+
+    def part(start: Column, end: Column) -> Column:
+        return F.when(end - start >= LEAST, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(none)
+
+    inside = F.array_sort(F.filter(held, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"])))
+    first = F.struct(span["start"].alias("done"), none.alias("parts"))
+    return F.aggregate(inside, first, lambda acc, b: F.struct(
+        F.greatest(acc["done"], b["end"]).alias("done"), F.concat(acc["parts"], part(acc["done"], b["start"])).alias("parts")),
+        lambda acc: F.concat(acc["parts"], part(acc["done"], span["end"])))
+
+
 def with_random(df: DataFrame, text: Column, table: list[float], margin: float = MARGIN) -> DataFrame:
-    """Adds ``at_random``: candidate strings outside the fixed forms that the random model explains better by ``margin``."""
+    """Adds ``at_random``: candidate strings that the random model explains better by ``margin``; fixed forms are cut out of them first."""
     held = F.concat(*[f"at_{kind}" for kind in KINDS])
-    free = lambda s: ~F.exists("held", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     wins = lambda s: let(F.substr(text, s["start"] + 1, s["end"] - s["start"]), lambda token: ratio(token, table) >= F.greatest(F.lit(margin), RATE * F.char_length(token)))
     return (df.withColumn("held", held).withColumn("loose", located(text, CANDIDATE))
-            .withColumn(f"at_{MODEL}", F.filter("loose", lambda s: free(s) & wins(s))).drop("held", "loose"))
+            .withColumn("parts", F.flatten(F.transform("loose", lambda s: _outside(s, F.col("held")))))
+            .withColumn(f"at_{MODEL}", F.filter("parts", wins)).drop("held", "loose", "parts"))
 
 
 def _listed(kinds: list[str]) -> Column:
