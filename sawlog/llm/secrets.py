@@ -72,15 +72,20 @@ def with_base(df: DataFrame, text: Column) -> DataFrame:
     return df.withColumns({f"at_{kind}": located(text, pattern, group, least) for kind, (pattern, group, least) in KINDS.items()})
 
 
+def _below(share: float) -> int:
+    """The bound under which about this share of all 64-bit hashes lies; some do, however small it is."""
+    return min(2**63 - 1, -(2**63) + max(1, int(share * 2**64)))
+
+
 def samples(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Labelled strings ``token, random`` from about ``documents`` documents, chosen by a hash of ``doc_id``.
+    """Labelled strings ``token, random`` from about ``documents`` documents, chosen by a hash of ``doc_id`` and text.
 
     Ordinary: words and identifiers that are no part of a fixed form, also in capitals; strings of both letters and digits have no label. Random: the secrets of the fixed forms, and for every ordinary
     string its SHA-256 in the usual writings (hexadecimal, base64, capitals and digits).
     """
     total = docs.count()
-    share = min(1.0, documents / max(1, total))
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select(text_or_empty().alias("text"))
+    chosen = F.lit(True) if total <= documents else F.xxhash64("doc_id", "text") < _below(documents / total)
+    some = docs.filter(chosen).select(text_or_empty().alias("text"))
     forms = "|".join(pattern for pattern, _, _ in KINDS.values())
     cleaned = F.regexp_replace("text", forms, " ")
     ordinary = some.select(F.explode(F.regexp_extract_all(cleaned, F.lit(ORDINARY), F.lit(0))).alias("token")).filter(

@@ -148,6 +148,13 @@ def test_random_strings_beside_fixed_forms(spark):
     assert got[3].n_random == 0
 
 
+def test_samples_of_rows_without_id(spark):
+    docs = spark.range(3_000).select(F.lit(None).cast("long").alias("doc_id"), F.translate(F.format_string("word%d", "id"), "0123456789", "abcdefghij").alias("text"))
+    n = secrets.samples(docs, 300).filter("NOT random AND token = lower(token)").count()
+    assert 200 < n < 400
+    assert secrets._below(1e-30) > -(2**63) and secrets._below(1.0) == 2**63 - 1
+
+
 def test_redaction(spark):
     table = secrets.trained(documents(spark, SECRETS))
     got = {r.doc_id: r for r in secrets.redacted(documents(spark, SECRETS), table).collect()}
