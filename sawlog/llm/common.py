@@ -236,3 +236,25 @@ def with_repeated(texts: DataFrame, grams: DataFrame, repeated: DataFrame) -> Da
     if n <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(hits.select(KEY)), KEY, "left_semi")
     return texts.join(hits, KEY)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans in ascending order that do not overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    length = end - start
+    before = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(before, length)
+    terms = (raw[place + np.repeat(start, length)].astype(np.uint64) + np.uint64(1)) * powers(int(length.max()) + 1)[place]
+    # An empty span has no term of its own.
+    sums = np.where(length > 0, np.add.reduceat(np.append(terms, np.uint64(0)), before), np.uint64(0))
+    return mixed(sums + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def strings(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """Byte spans of text as an Arrow array of strings."""
+    length = end - start
+    ends = np.cumsum(length)
+    data = raw[np.arange(int(length.sum())) + np.repeat(start - (ends - length), length)]
+    offsets = np.concatenate([[0], ends])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
