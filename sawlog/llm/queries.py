@@ -1,4 +1,4 @@
 """Imports the modules that register queries."""
 
-from sawlog.llm import op1, op10, op12, op13, op2, op3, op4, op5, op6, op7, op8, op9  # noqa: F401
+from sawlog.llm import op1, op10, op11, op12, op13, op2, op3, op4, op5, op6, op7, op8, op9  # noqa: F401
 from sawlog.llm.catalog import ORACLE, QUERIES  # noqa: F401
