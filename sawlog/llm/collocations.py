@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sawlog.llm.common import mixed, pieces, span_hashes, stored, strings
 
 LONGEST = 4  # words of a phrase
-STRETCH = 4 << 20  # bytes of text read at once
-PART = 4_000_000  # occurrences in a hash partition, about; its summary is made in one task
+STRETCH = 1 << 20  # bytes of text read at once
+PART = 1_000_000  # occurrences in a hash partition, about; its summary is made in one task
 MARKS = 1 << 26  # bits of the table that thins the second pass, whatever survives the first
 TOP_ROWS = 50_000  # rows ranked in one task
 UNKNOWN = "und"
