@@ -353,10 +353,19 @@ def _code(counts: DataFrame, texts: int, total: int) -> Code:
     return code_of(words, c, texts, total - int(c.sum()))
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def _spread(data: bytes, kind: np.dtype | type, size: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
 def context_counts(docs: DataFrame, code: Code) -> DataFrame:
     """``part, counts``: zeros and ones seen in each slot, by range of slots.
 
-    A task counts into one array and sends what it has met; each range is added up by one owner.
+    A task counts into one array and sends it range by range, in compressed bytes with the counts beyond a byte apart; each range is added up by
+    one owner.
     """
     held = docs.sparkSession.sparkContext.broadcast(code)
     width = 2 * SLOTS // RANGES
@@ -384,18 +393,21 @@ def context_counts(docs: DataFrame, code: Code) -> DataFrame:
                     before = np.concatenate([words.hash[-2:][::-1][None], before], axis=1)[:, :2]
         for part in range(RANGES):
             own = table[part * width : (part + 1) * width]
-            key = np.flatnonzero(own)
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([key.astype("<u4").tobytes()], pa.binary()),
-                                                  pa.array([own[key].astype("<u4").tobytes()], pa.binary())], ["part", "keys", "counts"])
+            over = np.flatnonzero(own >= 255)
+            if own.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([_squeezed(np.minimum(own, 255).astype(np.uint8))], pa.binary()),
+                     pa.array([over.astype("<u4").tobytes()], pa.binary()), pa.array([own[over].astype("<u4").tobytes()], pa.binary())],
+                    ["part", "low", "over", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
-        for keys, counts in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            total[np.frombuffer(keys, "<u4")] += np.frombuffer(counts, "<u4")
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+        for low, over, counts in zip(*(table.column(c).to_pylist() for c in ("low", "over", "counts")), strict=True):
+            total += _spread(low, np.uint8, width)
+            total[np.frombuffer(over, "<u4")] += np.frombuffer(counts, "<u4").astype(np.int64) - 255
+        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([_squeezed(total.astype("<i8"))], pa.binary())})
 
-    return docs.select("text").mapInArrow(counted, "part int, keys binary, counts binary").groupBy("part").applyInArrow(summed, "part int, counts binary")
+    return docs.select("text").mapInArrow(counted, "part int, low binary, over binary, counts binary").groupBy("part").applyInArrow(summed, "part int, counts binary")
 
 
 def _predictions(counts: DataFrame) -> np.ndarray:
@@ -403,7 +415,7 @@ def _predictions(counts: DataFrame) -> np.ndarray:
     width = SLOTS // RANGES
 
     def told(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, "<i8") for c in table.column("counts").to_pylist())
+        total = sum(_spread(c, np.dtype("<i8"), 2 * width) for c in table.column("counts").to_pylist())
         return pa.table({"part": table.column("part").slice(0, 1), "said": pa.array([predictions(total.reshape(-1, 2)).astype("<i2").tobytes()], pa.binary())})
 
     out = np.tile(predictions(np.zeros((1, 2), np.int64)), SLOTS)
