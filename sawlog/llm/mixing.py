@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sawlog.llm.common import Words, mixed, pieces, stored
 
-CODED = 1 << 17  # words with a code of their own; all others are spelled
-AREAS = (1 << 20, 1 << 22, 1 << 22, 1 << 22)  # slots of each context's predictor
+CODED = 1 << 18  # words with a code of their own; all others are spelled
+AREAS = (1 << 20, 1 << 22, 1 << 23)  # slots of each context's predictor
 SLOTS = sum(AREAS)
 RANGES = 256  # parts of all slots, each added up in one group
 SLICE = 1 << 19  # bytes of texts scored side by side
@@ -23,18 +23,19 @@ LONG = 1 << 18  # bytes beyond which a text is read in stretches
 COUNTED = 4 << 20  # bytes whose words are counted at once
 CHUNK = 1 << 18  # symbols of a long text that are taken apart at once
 BLOCK = 256  # bits after which weights and refinement follow a text
-RATE = 0.004  # of the weights
+RATE = 0.002  # of a text's own share of the weights
+TUNING_RATE = 0.0001  # of the weights that all texts start from
 INERTIA = 60.0  # bits that the refinement starts from, in weight
 ROUNDS = 1  # passes over the tuning fold
 FOLDS, TUNING = 10, 9
 LIMIT = 8.0  # of log odds
-CONTEXTS, GATES, BUCKETS = 4, 16, 24
-FIRST = (0.25, 0.35, 0.3, 0.35)  # weights before any tuning
+CONTEXTS, GATES, BUCKETS = 3, 16, 24
+FIRST = (0.25, 0.4, 0.5)  # weights before any tuning
 #: Weights of bytes in spelling; 32 ends a word.
 LETTERS = [64 if b == 32 else 32 if 97 <= b <= 122 else 8 if 48 <= b <= 57 else 4 if 128 <= b < 192 else 1 for b in range(256)]
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _END_HASH = np.uint64(0x9D39247E33776D41)
-_STEP, _NODE, _SPREAD = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25), np.uint64(0xD6E8FEB86659FD93)
+_STEP, _SPELLED, _NODE, _SPREAD = np.uint64(0xA24BAED4963EE407), np.uint32(0x6659FD93), np.uint32(0x1E98DF25), np.uint32(0x9E3779B1)
 
 
 def fold(doc_id: str = "doc_id") -> Column:
@@ -47,7 +48,7 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def prefix_code(counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Huffman's code for symbols of these counts: bits as a number, and how many."""
-    least = max(1, sum(counts) >> 40)  # no code is longer than some 58 bits
+    least = max(1, sum(counts) >> 38)  # no code is longer than some 56 bits
     heap = [(max(least, n), i, None) for i, n in enumerate(counts)]
     heapq.heapify(heap)
     tie = len(heap)
@@ -92,8 +93,9 @@ class Code:
         """Number of each word; that of the escape for words without a code."""
         if not len(self.words):
             return np.full(len(hashes), 1)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.end + 1)
+        some, which = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.words, some), len(self.words) - 1)
+        return np.where(self.words[at] == some, at, self.end + 1)[which]
 
 
 def code_of(words: np.ndarray, counts: np.ndarray, texts: int, others: int) -> Code:
@@ -129,8 +131,8 @@ class Symbols:
 def symbols(words: Words, code: Code, before: np.ndarray, ended: bool) -> tuple[Symbols, np.ndarray]:
     """Every token as its code, or as the escape and its bytes, which a blank ends.
 
-    Contexts of a code are the token before, the two before, the one before that, and none; those of a byte are the bytes before it in its
-    word. ``before[text]`` are the two tokens before the first, latest first. Returns also the number of each word's code.
+    Contexts of a code are none, the token before and the two before; those of a byte are none, the byte before it in its word and the three
+    before. ``before[text]`` are the two tokens before the first, latest first. Returns also the number of each word's code.
     """
     n, w = len(words.count), len(words.hash)
     ends = 1 if ended else 0
@@ -145,14 +147,14 @@ def symbols(words: Words, code: Code, before: np.ndarray, ended: bool) -> tuple[
     rank = np.arange(len(token)) - first[text]
     last = np.where(rank >= 1, np.roll(token, 1), before[text, 0])
     second = np.where(rank >= 2, np.roll(token, 2), np.where(rank == 1, before[text, 0], before[text, 1]))
-    context = np.stack([np.zeros(len(token), np.uint64), mixed(last + np.uint64(1)), mixed(last * _STEP + second + np.uint64(2)), mixed(second + np.uint64(3))])
+    context = np.stack([np.zeros(len(token), np.uint64), mixed(last + np.uint64(1)), mixed(last * _STEP + second + np.uint64(2))]) >> np.uint64(32)
     size = np.ones(len(token), np.int64)
     spelled = np.flatnonzero(found > code.end)
     letters = (words.end - words.start)[spelled] + 1
     size[place[spelled]] += letters
     at = np.cumsum(size) - size
     value, length = np.zeros(int(size.sum()), np.uint64), np.zeros(int(size.sum()), np.int64)
-    contexts = np.zeros((CONTEXTS, len(value)), np.uint64)
+    contexts = np.zeros((CONTEXTS, len(value)), np.uint32)
     value[at], length[at], contexts[:, at] = code.value[number], code.length[number], context
     if len(spelled):
         raw = np.frombuffer(words.data, np.uint8)
@@ -162,29 +164,39 @@ def symbols(words: Words, code: Code, before: np.ndarray, ended: bool) -> tuple[
         where = np.repeat(at[place[spelled]] + 1, letters) + within
         value[where], length[where] = SPELLING[0][byte], SPELLING[1][byte]
         byte, history = byte.astype(np.uint64), np.zeros(len(byte), np.uint64)
-        for back in range(1, 5):
+        for back in range(1, 4):
             history = np.where(within >= back, history | np.roll(byte, back) << np.uint64(8 * (back - 1)), history)
-            if back in (1, 2, 4):
-                contexts[{1: 1, 2: 2, 4: 3}[back], where] = mixed(history + np.uint64(back * 0xD6E8FEB86659FD93 % 2**64))
-        contexts[0, where] = _SPREAD
+            if back in (1, 3):
+                contexts[{1: 1, 3: 2}[back], where] = mixed(history + np.uint64(back * 0xD6E8FEB86659FD93 % 2**64)) >> np.uint64(32)
+        contexts[0, where] = _SPELLED
     return Symbols(value, length, contexts, np.repeat(text, size)), found
 
 
 def bits(of: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of the symbols, slots ``[context, bit]``, and how many bits each symbol has. A bit is told in the node that the bits before it lead to."""
-    start = np.cumsum(of.length) - of.length
-    symbol = np.repeat(np.arange(len(of.length)), of.length)
-    depth = np.arange(len(symbol)) - start[symbol]
-    shift = (of.length[symbol] - depth).astype(np.uint64)
+    """Bits of the symbols, slots ``[context, bit]``, and how many bits each symbol has.
+
+    A bit is told in the node that the bits before it lead to. The nodes of up to four bits lie side by side: one hash of a context and of the bits
+    before them finds all.
+    """
+    quads = (of.length + 3) // 4
+    symbol = np.repeat(np.arange(len(of.length)), quads)
+    before = 4 * (np.arange(len(symbol)) - (np.cumsum(quads) - quads)[symbol])
+    left = of.length[symbol] - before
+    size = np.minimum(left, 4)
     value = of.value[symbol]
-    node = (value >> shift) + np.left_shift(np.uint64(1), depth.astype(np.uint64))
-    bit = (value >> (shift - np.uint64(1)) & np.uint64(1)).astype(bool)
-    node *= _NODE
-    slots, area = np.empty((CONTEXTS, len(symbol)), np.int64), 0
-    for k, size in enumerate(AREAS):
-        slot = (np.take(of.contexts[k], symbol) + node) * _SPREAD
-        slots[k] = (slot >> np.uint64(65 - size.bit_length())) + np.uint64(area)
-        area += size
+    prefix = (value >> left.astype(np.uint64)) + np.left_shift(np.uint64(1), before.astype(np.uint64))
+    prefix = (prefix ^ prefix >> np.uint64(32)).astype(np.uint32) * _NODE
+    own = (value >> (left - size).astype(np.uint64)).astype(np.int32) & (np.left_shift(1, size) - 1).astype(np.int32)
+    width = size.astype(np.int32)
+    depth = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+    rest, own = np.repeat(width, size) - depth, np.repeat(own, size)
+    node = np.left_shift(np.int32(1), depth) + (own >> rest)
+    bit = (own >> (rest - np.int32(1)) & np.int32(1)).astype(bool)
+    slots, area = np.empty((CONTEXTS, len(bit)), np.int32), 0
+    for k, slot_count in enumerate(AREAS):
+        place = (of.contexts[k][symbol] + prefix) * _SPREAD >> np.uint32(37 - slot_count.bit_length())
+        slots[k] = np.repeat((place << np.uint32(4)).astype(np.int32) + np.int32(area), size) + node
+        area += slot_count
     return bit, slots, of.length
 
 
@@ -217,59 +229,68 @@ def start(code: Code, table: np.ndarray) -> Model:
 
 @dataclass
 class State:
-    """What follows the texts: weights, refinement, log probability, and by gate and bucket the bits seen."""
+    """What follows each text: its own share of the weights, its refinement, and its log probability."""
 
-    weights: np.ndarray
+    own: np.ndarray
     refined: np.ndarray
     score: np.ndarray
-    gates: np.ndarray
 
     @classmethod
     def of(cls, model: Model, texts: int) -> State:
-        return cls(np.repeat(model.weights[None], texts, 0), np.repeat(model.refined[None], texts, 0), np.zeros(texts), np.zeros((texts, GATES), np.int64))
+        return cls(np.zeros((texts, CONTEXTS), np.float32), np.repeat(model.refined[None], texts, 0), np.zeros(texts))
+
+    def take(self, texts: np.ndarray) -> State:
+        return State(self.own[texts], self.refined[texts], self.score[texts])
 
+    def put(self, texts: np.ndarray, other: State) -> None:
+        self.own[texts], self.refined[texts], self.score[texts] = other.own, other.refined, other.score
 
-def follow(model: Model, bit: np.ndarray, slots: np.ndarray, sizes: np.ndarray, state: State, counted: bool) -> None:
+
+def follow(model: Model, bit: np.ndarray, slots: np.ndarray, sizes: np.ndarray, state: State, gates: np.ndarray | None = None) -> State:
     """Codes the bits of texts side by side, block by block.
 
-    A bit's probability is made from the weights of its gate, which is how well its two strongest contexts are known, and then averaged with what
-    bits with such a probability have turned out to be. Both follow the text after each block only, so what is told never uses what comes later.
+    A bit's probability is made from the weights of its gate, which is how well its two strongest contexts are known, and the text's own share; it is then averaged with what
+    bits with such a probability have turned out to be in the text. Share and refinement follow the text after each block only, so what is told never uses what comes later.
+    With ``gates``, which counts bits by gate, the model's weights follow all texts, too.
     """
     said = np.take(model.table, slots)
     order = np.argsort(-sizes, kind="stable")
     begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
-    weights, refined, score, gates = (a[order] for a in (state.weights, state.refined, state.score, state.gates))
+    now = state.take(order)
     span = np.arange(BLOCK)
     edge = np.float32(LIMIT - 0.01)
     for at in range(0, int(size.max(initial=0)), BLOCK):
         n = int(np.searchsorted(-size, -at, "left"))
-        left = size[:n] - at
+        length = np.minimum(size[:n] - at, BLOCK)
+        first = np.cumsum(length) - length
         # All bits of the block, text after text.
-        text = np.repeat(np.arange(n), np.minimum(left, BLOCK))
-        inside = span[None] < left[:, None]
-        where = (begin[:n, None] + at + span)[inside]
+        text = np.repeat(np.arange(n, dtype=np.int32), length)
+        where = (begin[:n, None] + at + span)[span[None] < length[:, None]] if length[-1] < BLOCK else (begin[:n, None] + at + span).reshape(-1)
         told = np.take(said, where, axis=1)
         x = (told >> 2).astype(np.float32)
         x *= np.float32(1 / 1024)
-        known = told[1:3] & 3
-        gate = known[0] * np.int16(4) + known[1] + GATES * text
-        w = np.take(weights[:n].reshape(-1, CONTEXTS), gate, axis=0)
-        dot = np.clip(np.einsum("bk,kb->b", w, x), -edge, edge)
+        gate = (told[1] & 3) * np.int16(4) + (told[2] & 3)
+        dot = np.zeros(len(where), np.float32)
+        for k in range(CONTEXTS):
+            dot += (np.take(model.weights[:, k], gate) + np.repeat(now.own[:n, k], length)) * x[k]
+        np.clip(dot, -edge, edge, out=dot)
         chance = 1 / (1 + np.exp(-dot))
-        bucket = ((dot + np.float32(LIMIT)) * np.float32(BUCKETS / (2 * LIMIT))).astype(np.int64) + BUCKETS * text
+        bucket = ((dot + np.float32(LIMIT)) * np.float32(BUCKETS / (2 * LIMIT))).astype(np.int32) + BUCKETS * text
         one = np.take(bit, where)
-        final = (chance + np.take(refined[:n].reshape(-1), bucket)) * np.float32(0.5)
-        logs = np.log(np.abs(final - ~one))
-        score[:n] += np.bincount(text, weights=logs, minlength=n)
+        final = (chance + np.take(now.refined[:n].reshape(-1), bucket)) * np.float32(0.5)
+        now.score[:n] += np.add.reduceat(np.log(np.abs(final - ~one)), first, dtype=np.float64)
         error = one - chance
         for k in range(CONTEXTS):
-            weights[:n, :, k] += (RATE * np.bincount(gate, weights=error * x[k], minlength=n * GATES)).reshape(n, GATES)
+            slope = error * x[k]
+            now.own[:n, k] += RATE * np.add.reduceat(slope, first)
+            if gates is not None:
+                model.weights[:, k] += TUNING_RATE * np.bincount(gate, weights=slope, minlength=GATES)
         seen = np.bincount(bucket * 2 + one, minlength=2 * n * BUCKETS).reshape(n, BUCKETS, 2)
-        refined[:n] = (refined[:n] * INERTIA + seen[:, :, 1]) / (INERTIA + seen.sum(axis=2))
-        if counted:
-            gates[:n] += np.bincount(gate, minlength=n * GATES).reshape(n, GATES)
-    for name, value in (("weights", weights), ("refined", refined), ("score", score), ("gates", gates)):
-        getattr(state, name)[order] = value
+        now.refined[:n] = (now.refined[:n] * INERTIA + seen[:, :, 1]) / (INERTIA + seen.sum(axis=2))
+        if gates is not None:
+            gates += np.bincount(gate, minlength=GATES)
+    state.put(order, now)
+    return state
 
 
 @dataclass
@@ -283,8 +304,8 @@ class Told:
     rare: list[np.ndarray]
 
 
-def tell(model: Model, texts: list[bytes], counted: bool = False) -> Told:
-    """Codes lower-cased texts; those beyond ``LONG`` bytes alone, stretch by stretch. ``counted`` asks for the bits of each gate."""
+def tell(model: Model, texts: list[bytes], gates: np.ndarray | None = None) -> Told:
+    """Codes lower-cased texts; those beyond ``LONG`` bytes alone, stretch by stretch. ``gates`` as in ``follow``."""
     n = len(texts)
     out = Told(State.of(model, n), np.ones(n, np.int64), np.zeros(n, np.int64), np.zeros(n), [np.zeros(0, np.uint64)] * n)
     logs = np.log10(model.code.counts + 0.1)
@@ -294,14 +315,13 @@ def tell(model: Model, texts: list[bytes], counted: bool = False) -> Told:
         words = Words(some)
         of, found = symbols(words, model.code, before, ended)
         own = np.array(numbers)
-        state = State(out.state.weights[own], out.state.refined[own], out.state.score[own], out.state.gates[own])
+        state = out.state.take(own)
         # Several texts are one slice; a stretch of one text may have many symbols.
         for a in range(0, len(of.value), CHUNK if len(some) == 1 else max(1, len(of.value))):
             part = Symbols(of.value[a : a + CHUNK], of.length[a : a + CHUNK], of.contexts[:, a : a + CHUNK], of.text[a : a + CHUNK]) if len(some) == 1 else of
             bit, slots, length = bits(part)
-            follow(model, bit, slots, np.bincount(part.text, weights=length, minlength=len(some)).astype(np.int64), state, counted)
-        for name in ("weights", "refined", "score", "gates"):
-            getattr(out.state, name)[own] = getattr(state, name)
+            follow(model, bit, slots, np.bincount(part.text, weights=length, minlength=len(some)).astype(np.int64), state, gates)
+        out.state.put(own, state)
         known = found < model.code.end
         out.tokens[own] += words.count
         out.coded[own] += np.bincount(words.text[known], minlength=len(some))
@@ -376,10 +396,15 @@ def context_counts(docs: DataFrame, code: Code) -> DataFrame:
 
         def add(words: Words, before: np.ndarray, ended: bool) -> None:
             of, _ = symbols(words, held.value, before, ended)
+            # Without a context, symbols are alike: their bits are counted once for all of a kind.
+            kind = np.where(of.contexts[0] == _SPELLED, np.uint64(1) << np.uint64(63), np.uint64(0)) + (of.length.astype(np.uint64) << np.uint64(57)) + of.value
+            _, first, count = np.unique(kind, return_index=True, return_counts=True)
+            bit, slots, length = bits(Symbols(of.value[first], of.length[first], of.contexts[:, first], of.text[first]))
+            np.add.at(table, slots[0].astype(np.int64) * 2 + bit, np.repeat(count, length).astype(np.uint32))
             for a in range(0, len(of.value), CHUNK):
-                part = Symbols(of.value[a : a + CHUNK], of.length[a : a + CHUNK], of.contexts[:, a : a + CHUNK], of.text[a : a + CHUNK])
-                bit, slots, _ = bits(part)
-                np.add.at(table, (slots * 2 + bit).reshape(-1), one)
+                bit, slots, _ = bits(Symbols(of.value[a : a + CHUNK], of.length[a : a + CHUNK], of.contexts[:, a : a + CHUNK], of.text[a : a + CHUNK]))
+                for slot in slots[1:]:
+                    np.add.at(table, slot.astype(np.int64) * 2 + bit, one)
 
         for batch in batches:
             for _, texts in _sliced(batch.column(0), SLICE):
@@ -425,20 +450,21 @@ def _predictions(counts: DataFrame) -> np.ndarray:
 
 
 def tuned(docs: DataFrame, model: Model) -> Model:
-    """The model with the mean of the weights and refinements that ``docs(text)`` ended with, by the bits that made them."""
+    """The model with weights and refinements that have followed ``docs(text)``.
+
+    Every task mixes its texts online, starting from the same weights; what tasks end with is averaged by the bits it comes from.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        weights, gates, refined, texts = np.zeros((GATES, CONTEXTS)), np.zeros(GATES), np.zeros(BUCKETS), 0.0
+        own = replace(held.value, weights=held.value.weights.astype(np.float64))
+        gates, refined, total = np.zeros(GATES, np.int64), np.zeros(BUCKETS), 0.0
         for batch in batches:
             for _, some in _sliced(batch.column(0), SLICE):
-                state = tell(held.value, some, True).state
-                weights += (state.weights * state.gates[:, :, None]).sum(axis=0)
-                gates += state.gates.sum(axis=0)
-                size = state.gates.sum(axis=1)
-                refined += (state.refined * size[:, None]).sum(axis=0)
-                texts += size.sum()
-        values = np.concatenate([weights.reshape(-1), gates, refined, [texts]])
+                told = tell(own, some, gates)
+                refined += (told.state.refined * told.tokens[:, None]).sum(axis=0)
+                total += told.tokens.sum()
+        values = np.concatenate([(own.weights * gates[:, None]).reshape(-1), gates, refined, [total]])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), pa.array(values)], ["at", "value"])
 
     sums = docs.select("text").mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).orderBy("at").collect()

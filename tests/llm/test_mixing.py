@@ -98,7 +98,7 @@ def model(texts, coded=40):
     for t in texts:
         of, _ = m.symbols(Words([lower(t)]), code, np.zeros((1, 2), np.uint64), True)
         bit, slots, _ = m.bits(of)
-        np.add.at(table, (slots * 2 + bit).reshape(-1), 1)
+        np.add.at(table, (slots.astype(np.int64) * 2 + bit).reshape(-1), 1)
     return m.start(code, m.predictions(table.reshape(-1, 2)))
 
 
@@ -106,20 +106,20 @@ def plainly(model, text):
     """The same score, bit by bit."""
     of, _ = m.symbols(Words([lower(text)]), model.code, np.zeros((1, 2), np.uint64), True)
     bit, slots, _ = m.bits(of)
-    weights, refined, score = model.weights.astype(float), model.refined.astype(float), 0.0
+    own, refined, score = np.zeros(m.CONTEXTS), model.refined.astype(float), 0.0
     for a in range(0, len(bit), m.BLOCK):
-        slope, seen = np.zeros_like(weights), np.zeros((m.BUCKETS, 2))
+        slope, seen = np.zeros(m.CONTEXTS), np.zeros((m.BUCKETS, 2))
         for i in range(a, min(a + m.BLOCK, len(bit))):
             said = [int(model.table[s]) for s in slots[:, i]]
             x = np.array([(t >> 2) / 1024 for t in said])
             gate = (said[1] & 3) * 4 + (said[2] & 3)
-            dot = min(max(float(weights[gate] @ x), -m.LIMIT + 0.01), m.LIMIT - 0.01)
+            dot = min(max(float((model.weights[gate] + own) @ x), -m.LIMIT + 0.01), m.LIMIT - 0.01)
             chance, bucket = 1 / (1 + math.exp(-dot)), int((dot + m.LIMIT) * m.BUCKETS / (2 * m.LIMIT))
             final = (chance + refined[bucket]) / 2
             score += math.log(final if bit[i] else 1 - final)
-            slope[gate] += (bit[i] - chance) * x
+            slope += (bit[i] - chance) * x
             seen[bucket, int(bit[i])] += 1
-        weights = weights + m.RATE * slope
+        own = own + m.RATE * slope
         refined = (refined * m.INERTIA + seen[:, 1]) / (m.INERTIA + seen.sum(axis=1))
     return score
 
@@ -150,8 +150,8 @@ def test_probabilities_of_all_next_tokens_sum_to_one(monkeypatch):
         more = m.Symbols(by.code.value[i : i + 1], by.code.length[i : i + 1], of.contexts[:, -1:], np.zeros(1, np.int64))
         b, s, _ = m.bits(more)
         both, alone = m.State.of(by, 1), m.State.of(by, 1)
-        m.follow(by, np.append(bit, b), np.concatenate([slots, s], axis=1), np.array([len(bit) + len(b)]), both, False)
-        m.follow(by, bit, slots, np.array([len(bit)]), alone, False)
+        m.follow(by, np.append(bit, b), np.concatenate([slots, s], axis=1), np.array([len(bit) + len(b)]), both)
+        m.follow(by, bit, slots, np.array([len(bit)]), alone)
         total += math.exp(both.score[0] - alone.score[0])
     assert total == pytest.approx(1, rel=1e-4)
 
