@@ -137,11 +137,27 @@ class Words:
 class Seen:
     """Words met so far, numbered in order.
 
-    They are kept as one Arrow array, some tens of bytes a word, and looked up a batch at a time.
+    They are kept as one Arrow array, some tens of bytes a word, with an index of sorted hashes that grows with them; a word found by its hash is compared.
     """
 
     def __init__(self, limit: int):
-        self.limit, self.words = limit, pa.array([], pa.string())
+        self.limit = limit
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+
+    def _find(self, words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for new ones."""
+        at = np.full(len(words), -1, np.int64)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            like = np.flatnonzero(self.hashes[place] == hashes)
+            known = self.order[place[like]]
+            same = np.asarray(pc.equal(self.words.take(pa.array(known)), words.take(pa.array(like)))).astype(bool)
+            at[like[same]] = known[same]
+        return at
 
     def numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, bool]:
         """The number of each of these distinct words, which are new, and whether all others were forgotten.
@@ -149,14 +165,21 @@ class Seen:
         New words get the next numbers. When the limit is passed all are forgotten first, so all of these are new and numbered from 0;
         that all are new does not tell that.
         """
-        at = np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1)).astype(np.int64)
+        ends = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64))
+        hashes = span_hashes(np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8), np.append(0, ends)[:-1], ends)
+        at = self._find(words, hashes)
         new = np.flatnonzero(at < 0)
         forgotten = len(self.words) + len(new) > self.limit
         if forgotten:
-            self.words, new = self.words.slice(0, 0), np.arange(len(words))
+            self._forget()
+            new = np.arange(len(words))
         at[new] = len(self.words) + np.arange(len(new))
         if len(new):
             self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
+            fresh = new[np.argsort(hashes[new])]
+            both = np.concatenate([self.hashes, hashes[fresh]])
+            merged = np.argsort(both, kind="stable")  # of two sorted runs
+            self.hashes, self.order = both[merged], np.concatenate([self.order, at[fresh].astype(np.int32)])[merged]
         return at, new, forgotten
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 from collections.abc import Callable
@@ -16,7 +17,8 @@ from sawlog.llm.common import Seen, pieces, stored
 
 GROUP = 100_000  # pieces packed in one task
 CACHE = 1_500_000  # words whose ids a worker remembers
-SLICE = 8 << 20  # bytes of text tokenized at once
+SLICE = 4 << 20  # bytes of text tokenized at once
+ENCODED = 20_000  # new words encoded at once, as what the tokenizer returns is large
 LONG = 10_000  # characters beyond which a word is not remembered
 SHIFT = 33  # bits of a sequence number below its group
 
@@ -63,16 +65,19 @@ class WordIds:
         at, new, forgotten = self.seen.numbers(words)
         if forgotten:
             self.sizes, self.ids = self.sizes[:0], self.ids[:0]
-        found = self.tokenizer.encode_batch_fast(words.take(pa.array(new)).to_pylist(), add_special_tokens=False)
-        fresh = [np.array(code.ids, "<u4") for code in found]
-        self.sizes = np.concatenate([self.sizes, np.array([len(ids) for ids in fresh], np.int64)])
-        self.ids = np.concatenate([self.ids, *fresh])
+        longest = 0
+        for at_once in range(0, len(new), ENCODED):
+            some = words.take(pa.array(new[at_once : at_once + ENCODED])).to_pylist()
+            longest = max(longest, max(map(len, some)))
+            found = [code.ids for code in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            self.sizes = np.append(self.sizes, np.fromiter(map(len, found), np.int64, len(found)))
+            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), "<u4", sum(map(len, found))))
         start = np.cumsum(self.sizes) - self.sizes
         each = self.sizes[at][codes]
         ends = np.cumsum(each)
         ids = self.ids[np.repeat(start[at][codes] - (ends - each), each) + np.arange(int(each.sum()))]
         upto = np.concatenate([[0], ends])[np.asarray(lists.value_lengths()).cumsum()]
-        if len(new) and max(map(len, words.take(pa.array(new)).to_pylist())) > LONG:
+        if longest > LONG:
             self._forget()  # very long words are not carried along
         return ids, upto
 
@@ -111,6 +116,7 @@ def tokenized(docs: DataFrame, path: str, length: int, end_id: int, digest: Call
                      pa.array([k * length for k in piece], pa.int64()),
                      pa.array(size, pa.int64()), pa.array(out, pa.int64() if digest else pa.binary())],
                     ["doc_id", "piece", "start", "length", "ids"])
+        pa.default_memory_pool().release_unused()
 
     kind = "long" if digest else "binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
