@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ STEMS = (4, 5, 6)
 NEAR = 5  # words within which an address counts as near
 CALIBRATION = 0.3  # share of the training rows that calibrate
 CACHE = 1_500_000  # words whose meaning a worker remembers
-SLICE = 8 << 20  # bytes of text read at once
+SLICE = 2 << 20  # bytes of text read at once
 SECOND_PERSON = frozenset("""
 you your yours yourself u ur tu te toi ton ta tes vous votre vos ti tus usted ustedes vosotros vuestro du dich dir dein deine euch euer ihr
 """.split())
@@ -132,24 +133,21 @@ FEATURES = 16
 
 
 def features(lexicon: dict[str, float]):
-    """The features as a column function of a text; null is empty."""
+    """The features as a column function of a text; null is empty. What a task remembers of words ends with it."""
 
     @F.arrow_udf("array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        global _reader
-        if _reader is None or _reader.lexicon != lexicon:
-            _reader = Reader(lexicon)
-        texts = pc.fill_null(texts, "")
-        rows = [_reader(texts.slice(a, b - a)) for a, b in pieces(pc.binary_length(texts).to_pylist(), SLICE)]
-        values = np.concatenate(rows or [np.zeros((0, FEATURES))]).astype(np.float64).reshape(-1)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32()), pa.array(values))
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reader = Reader(lexicon)
+        for texts in batches:
+            texts = pc.fill_null(texts, "")
+            rows = [reader(texts.slice(a, b - a)) for a, b in pieces(pc.binary_length(texts).to_pylist(), SLICE)]
+            values = np.concatenate(rows or [np.zeros((0, FEATURES))]).astype(np.float64).reshape(-1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32()), pa.array(values))
+        pa.default_memory_pool().release_unused()
 
     return of
 
 
-_reader: Reader | None = None
-
-
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of ``doc_id`` as text, modulo 3; null where there is none."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
@@ -229,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Toxicity:
     known = stored(known)
     n = known.count()
     if n > rows:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+        known = known.filter(F.xxhash64("doc_id") < (rows << 64) // n - (1 << 63))  # a share of all 64-bit hashes, however small
     sample = F.broadcast(known) if rows <= BROADCAST_ROWS else known
     train = stored(docs.select("doc_id", "text").join(sample, "doc_id").select(
         "text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1000)) < int(1000 * CALIBRATION)).alias("held")))
