@@ -103,7 +103,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[tuple[pa.Array, list[bytes]]]:
+def slices(batch: pa.RecordBatch, limit: int = 2 << 20) -> Iterator[tuple[pa.Array, list[bytes]]]:
     """A batch of (id, binary) in parts of bounded bytes; null is empty."""
     texts = [t or b"" for t in batch.column(1).to_pylist()]
     for a, b in pieces(texts, limit):
@@ -262,7 +262,7 @@ def _cross_links(wide: DataFrame, edges: DataFrame, percent: int) -> DataFrame:
                       .withColumn("label", F.coalesce("label", "doc_id")))
     sizes = labelled.groupBy("component", "label").agg(F.count("*").alias("n"))
     leaders = labelled.filter("doc_id = label").join(sizes.filter("n > 1"), ["component", "label"])
-    meeting = stored(leaders.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.col("blocks") / 8)).cast("long"))
+    meeting = stored(leaders.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("blocks") / 8).cast("long")))
                      .groupBy("component", "block").applyInArrow(_within(percent), _EDGES))
     joined = connected_components(edges.unionByName(meeting))
     labelled = stored(labelled.drop("label").join(joined.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "label"), "doc_id", "left")
