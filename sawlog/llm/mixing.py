@@ -22,7 +22,7 @@ SLICE = 1 << 19  # bytes of texts scored side by side
 LONG = 1 << 18  # bytes beyond which a text is read in stretches
 COUNTED = 4 << 20  # bytes whose words are counted at once
 CHUNK = 1 << 18  # symbols of a long text that are taken apart at once
-BLOCK = 256  # bits after which weights and refinement follow a text
+BLOCK = 512  # bits after which weights and refinement follow a text
 RATE = 0.002  # of a text's own share of the weights
 TUNING_RATE = 0.0001  # of the weights that all texts start from
 INERTIA = 60.0  # bits that the refinement starts from, in weight
@@ -382,19 +382,19 @@ def _spread(data: bytes, kind: np.dtype | type, size: int) -> np.ndarray:
 
 
 def context_counts(docs: DataFrame, code: Code) -> DataFrame:
-    """``part, counts``: zeros and ones seen in each slot, by range of slots.
+    """``part, tuning, counts``: zeros and ones that ``docs(text, tuning)`` has in each slot, by range of slots, apart for the tuning fold.
 
-    A task counts into one array and sends it range by range, in compressed bytes with the counts beyond a byte apart; each range is added up by
+    A task counts into two arrays and sends them range by range, in compressed bytes with the counts beyond a byte apart; each range is added up by
     one owner.
     """
     held = docs.sparkSession.sparkContext.broadcast(code)
     width = 2 * SLOTS // RANGES
 
     def counted(batches):
-        table = np.zeros(2 * SLOTS, np.uint32)
+        tables: dict[bool, np.ndarray] = {}
         one = np.uint32(1)
 
-        def add(words: Words, before: np.ndarray, ended: bool) -> None:
+        def add(table: np.ndarray, words: Words, before: np.ndarray, ended: bool) -> None:
             of, _ = symbols(words, held.value, before, ended)
             # Without a context, symbols are alike: their bits are counted once for all of a kind.
             kind = np.where(of.contexts[0] == _SPELLED, np.uint64(1) << np.uint64(63), np.uint64(0)) + (of.length.astype(np.uint64) << np.uint64(57)) + of.value
@@ -407,32 +407,39 @@ def context_counts(docs: DataFrame, code: Code) -> DataFrame:
                     np.add.at(table, slot.astype(np.int64) * 2 + bit, one)
 
         for batch in batches:
-            for _, texts in _sliced(batch.column(0), SLICE):
-                if len(texts) > 1 or len(texts[0]) <= LONG:
-                    add(Words(texts), np.zeros((len(texts), 2), np.uint64), True)
-                    continue
-                before, rest = np.zeros((1, 2), np.uint64), list(stretches(texts[0], LONG))
-                for k, stretch in enumerate(rest):
-                    words = Words([stretch])
-                    add(words, before, k == len(rest) - 1)
-                    before = np.concatenate([words.hash[-2:][::-1][None], before], axis=1)[:, :2]
-        for part in range(RANGES):
-            own = table[part * width : (part + 1) * width]
-            over = np.flatnonzero(own >= 255)
-            if own.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([_squeezed(np.minimum(own, 255).astype(np.uint8))], pa.binary()),
-                     pa.array([over.astype("<u4").tobytes()], pa.binary()), pa.array([own[over].astype("<u4").tobytes()], pa.binary())],
-                    ["part", "low", "over", "counts"])
+            for tuning in (False, True):
+                own = batch.column(0).filter(pc.equal(batch.column(1), tuning))
+                if len(own) and tuning not in tables:
+                    tables[tuning] = np.zeros(2 * SLOTS, np.uint32)
+                for _, texts in _sliced(own, SLICE):
+                    if len(texts) > 1 or len(texts[0]) <= LONG:
+                        add(tables[tuning], Words(texts), np.zeros((len(texts), 2), np.uint64), True)
+                        continue
+                    before, rest = np.zeros((1, 2), np.uint64), list(stretches(texts[0], LONG))
+                    for k, stretch in enumerate(rest):
+                        words = Words([stretch])
+                        add(tables[tuning], words, before, k == len(rest) - 1)
+                        before = np.concatenate([words.hash[-2:][::-1][None], before], axis=1)[:, :2]
+        for tuning, table in tables.items():
+            for part in range(RANGES):
+                own = table[part * width : (part + 1) * width]
+                over = np.flatnonzero(own >= 255)
+                if own.any():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part], pa.int32()), pa.array([tuning]), pa.array([_squeezed(np.minimum(own, 255).astype(np.uint8))], pa.binary()),
+                         pa.array([over.astype("<u4").tobytes()], pa.binary()), pa.array([own[over].astype("<u4").tobytes()], pa.binary())],
+                        ["part", "tuning", "low", "over", "counts"])
 
     def summed(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for low, over, counts in zip(*(table.column(c).to_pylist() for c in ("low", "over", "counts")), strict=True):
             total += _spread(low, np.uint8, width)
             total[np.frombuffer(over, "<u4")] += np.frombuffer(counts, "<u4").astype(np.int64) - 255
-        return pa.table({"part": table.column("part").slice(0, 1), "counts": pa.array([_squeezed(total.astype("<i8"))], pa.binary())})
+        return pa.table({"part": table.column("part").slice(0, 1), "tuning": table.column("tuning").slice(0, 1),
+                         "counts": pa.array([_squeezed(total.astype("<i8"))], pa.binary())})
 
-    return docs.select("text").mapInArrow(counted, "part int, low binary, over binary, counts binary").groupBy("part").applyInArrow(summed, "part int, counts binary")
+    return docs.select("text", "tuning").mapInArrow(counted, "part int, tuning boolean, low binary, over binary, counts binary").groupBy("part", "tuning").applyInArrow(
+        summed, "part int, tuning boolean, counts binary")
 
 
 def _predictions(counts: DataFrame) -> np.ndarray:
@@ -496,12 +503,11 @@ def trained(docs: DataFrame, rounds: int = ROUNDS) -> Trained:
     c = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
     texts = rows.count()
     code = _code(counts, texts, int(c.n))
-    main, rest = rows.filter(F.col("fold") != TUNING), rows.filter(F.col("fold") == TUNING)
-    seen = stored(context_counts(main, code))
-    model = start(code, _predictions(seen))
+    seen = stored(context_counts(rows.select("text", (F.col("fold") == TUNING).alias("tuning")), code))
+    model = start(code, _predictions(seen.filter("NOT tuning")))
     for _ in range(rounds):
-        model = tuned(rest, model)
-    model = replace(model, table=_predictions(seen.unionByName(stored(context_counts(rest, code)))))
+        model = tuned(rows.filter(F.col("fold") == TUNING), model)
+    model = replace(model, table=_predictions(seen))
     return Trained(model, counts, int(c.n) + texts, int(c.v) + (texts > 0), texts)
 
 
