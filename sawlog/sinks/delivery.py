@@ -2,17 +2,20 @@
 
 ``sawlog_delivery`` writes rows with an ``id`` and a ``body``. Each task sends its own rows through
 a transport; a task that is run again sends the same ids, so the receiver can tell repeats.
+
+A transport returns what the receiver answered, or None where it does not answer. Bulk answers are read whole, whatever their length:
+of a body some of whose documents failed, only those are sent again.
 """
 
 from __future__ import annotations
 
 import base64
-import json
 import os
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,6 +24,7 @@ from pyspark.sql.datasource import (
 )
 
 from sawlog.operators.batching import bulk_bodies, webhook_payloads
+from sawlog.sinks.answers import Answer, AnswerError, pieces_of, read_answer
 
 FORMAT = "sawlog_delivery"
 
@@ -28,7 +32,7 @@ FORMAT = "sawlog_delivery"
 BULK_TRIES = 3
 RETRY_BASE_SECONDS, RETRY_MAX_SECONDS = 0.5, 30.0
 HTTP_TIMEOUT_SECONDS = 30.0
-MAX_RESPONSE_BYTES = 1 << 20
+TOLD = 3  # refused documents that an error message names
 
 
 class DeliveryError(RuntimeError):
@@ -45,20 +49,65 @@ def retry_wait(attempt: int) -> float:
     return 0.0 if attempt == 0 else min(RETRY_BASE_SECONDS * 2.0 ** (attempt - 1), RETRY_MAX_SECONDS)
 
 
-def deliver(send: Callable[[str, str, int], None], body_id: str, body: str, tries: int, sleep=time.sleep) -> None:
-    """Send with back-off; the last failure is raised."""
-    failure = None
+Send = Callable[[str, str, int], Answer | None]
+
+
+def documents_of(body: str) -> list[str]:
+    """The documents of a bulk body, each with its action line."""
+    lines = body.split("\n")
+    return ["\n".join(lines[i : i + 2]) + "\n" for i in range(0, len(lines) - 1, 2)]
+
+
+def _refusal(refused: dict[int, tuple[int, str]], what: str) -> DeliveryError:
+    named = "; ".join(f"document {place}: {status} {reason}".rstrip() for place, (status, reason) in list(refused.items())[:TOLD])
+    return DeliveryError(f"{len(refused)} documents {what} ({named})")
+
+
+def deliver(send: Send, body_id: str, body: str, tries: int, sleep=time.sleep) -> None:
+    """Send with back-off; the last failure is raised.
+
+    Where the answer tells which documents of a bulk body failed, the next try sends only those that a further try may mend. Documents
+    refused for good do not keep the others from being sent; they raise in the end.
+    """
+    failure: Exception | None = None
+    places = None  # of the documents still to be sent, in the body as it was given
+    whole = documents = None
+    refused: dict[int, tuple[int, str]] = {}
     for attempt in range(max(tries, 1)):
         sleep(retry_wait(attempt))
         try:
-            send(body_id, body, attempt)
-            return
-        except (DeliveryError, OSError) as error:
+            answer = send(body_id, body, attempt)
+        except (DeliveryError, AnswerError, OSError) as error:
             failure = error
-    raise DeliveryError(f"delivery failed after {max(tries, 1)} tries: {failure}")
-
-
-def directory_transport(options: dict) -> Callable[[str, str, int], None]:
+            continue
+        if answer is None or not (answer.errors or answer.failed):
+            failure = None
+            break
+        if not answer.failed:
+            failure = DeliveryError("the answer reports errors, but no failed document")
+            continue
+        if documents is None:
+            whole = documents_of(body)
+            documents, places = whole, list(range(len(whole)))
+        if answer.items != len(documents):
+            failure = DeliveryError(f"the answer has {answer.items} items for {len(documents)} documents")
+            continue
+        refused |= {places[place]: told for place, told in answer.refused().items()}
+        again = answer.again()
+        if not again:
+            failure = None
+            break
+        failure = _refusal({places[place]: answer.failed[place] for place in again}, "failed")
+        places = [places[place] for place in again]
+        documents = [whole[place] for place in places]
+        body = "".join(documents)
+    if failure is not None:
+        raise DeliveryError(f"delivery failed after {max(tries, 1)} tries: {failure}")
+    if refused:
+        raise _refusal(dict(sorted(refused.items())), "were refused")
+
+
+def directory_transport(options: dict) -> Send:
     """One file per body; a body sent again replaces itself."""
     folder = options["path"]
 
@@ -72,38 +121,57 @@ def directory_transport(options: dict) -> Callable[[str, str, int], None]:
     return send
 
 
-def check_response(status: int, answer: bytes) -> None:
+def replay_transport(options: dict) -> Send:
+    """Bodies as files, and answers as files: what was sent in try ``n`` is ``<id>.<n>`` in ``path``, and its answer is read from ``<id>.<n>`` in ``answers``.
+
+    For tests of receivers, and to play a recorded delivery again.
+    """
+    answers, written = options["answers"], {}
+
+    def send(body_id: str, body: str, attempt: int) -> Answer | None:
+        folder = written.setdefault("send", directory_transport(options))
+        folder(f"{body_id}.{attempt}", body, attempt)
+        try:
+            with open(os.path.join(answers, f"{body_id}.{attempt}"), "rb") as file:
+                return read_answer(pieces_of(file))
+        except FileNotFoundError:
+            return None
+
+    return send
+
+
+def check_response(status: int, pieces: Iterable[bytes]) -> Answer:
+    """The answer to a request that was taken; an error status, and an answer that is neither empty nor whole, raise."""
     if status >= 400:
         raise DeliveryError(f"HTTP {status}")
     try:
-        partial = json.loads(answer or b"{}").get("errors") is True
-    except (ValueError, AttributeError):
-        partial = False
-    if partial:
-        raise DeliveryError("the response reports partial errors")
+        return read_answer(pieces)
+    except AnswerError as error:
+        raise DeliveryError(f"the answer can't be read: {error}") from error
 
 
-def http_transport(options: dict) -> Callable[[str, str, int], None]:
-    """POST to one of the hosts, another one at each try."""
+def http_transport(options: dict) -> Send:
+    """POST to one of the hosts, another one at each try. With ``answers`` set to ``bulk``, the answer tells what became of each document."""
     hosts = [h.strip().rstrip("/") for h in options["hosts"].split(",")]
     headers = {"Content-Type": options.get("contenttype", "application/json")}
     if options.get("username"):
         pair = f"{options['username']}:{options.get('password', '')}".encode()
         headers["Authorization"] = "Basic " + base64.b64encode(pair).decode()
 
-    def send(body_id: str, body: str, attempt: int) -> None:
-        host = hosts[(hash(body_id) + attempt) % len(hosts)]
+    def send(body_id: str, body: str, attempt: int) -> Answer | None:
+        host = hosts[(zlib.crc32(body_id.encode()) + attempt) % len(hosts)]
         request = urllib.request.Request(host + options.get("endpoint", ""), body.encode(), headers, method="POST")
         try:
             with urllib.request.urlopen(request, timeout=HTTP_TIMEOUT_SECONDS) as response:
-                check_response(response.status, response.read(MAX_RESPONSE_BYTES))
+                pieces = pieces_of(response) if options.get("answers") == "bulk" else ()
+                return check_response(response.status, pieces)
         except urllib.error.HTTPError as error:
             raise DeliveryError(f"HTTP {error.code}") from error
 
     return send
 
 
-TRANSPORTS = {"directory": directory_transport, "http": http_transport}
+TRANSPORTS = {"directory": directory_transport, "http": http_transport, "replay": replay_transport}
 
 
 class _Writing:
@@ -168,10 +236,10 @@ def send_bodies(bodies: DataFrame, transport: dict, tries: int = 1) -> None:
 
 
 def write_bulk(df: DataFrame, index: str, transport: dict, size: int | None = None, tries: int = BULK_TRIES) -> None:
-    """Index lines by bulk requests; documents have ids, so a request sent twice adds nothing."""
+    """Index lines by bulk requests; documents have ids, so a request sent twice adds nothing, and one that failed in part is sent again in part."""
     bodies = bulk_bodies(df, index, size, with_ids=True).withColumnRenamed("bulk_body", "body")
     body_id = F.concat(F.lit("bulk-"), F.sha2("body", 256))  # documents have ids, so no two bodies are alike
-    settings = {"endpoint": "/_bulk", "contentType": "application/x-ndjson"} | transport
+    settings = {"endpoint": "/_bulk", "contentType": "application/x-ndjson", "answers": "bulk"} | transport
     send_bodies(bodies.withColumn("id", body_id), settings, tries if tries > 0 else BULK_TRIES)
 
 

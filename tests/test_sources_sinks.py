@@ -167,10 +167,12 @@ def test_delivery_retries():
     assert tries == [0, 1, 2] and waits == [0.0, 0.5, 1.0] and retry_wait(20) == 30.0
     with pytest.raises(DeliveryError):
         deliver(flaky, "id", "body", 2, sleep=waits.append)
-    for status, answer in ((500, b""), (200, b'{"errors":true}')):
+    for status, answer in ((500, b""), (200, b"not json"), (200, b'{"errors":tr'), (200, b'{"errors":false} {}')):
         with pytest.raises(DeliveryError):
-            check_response(status, answer)
-    check_response(200, b"not json")
+            check_response(status, [answer])
+    assert check_response(200, [b'{"errors":true}']).errors and not check_response(200, []).errors
+    with pytest.raises(DeliveryError, match="no failed document"):
+        deliver(lambda *_: check_response(200, [b'{"errors":true}']), "id", "body", 1, sleep=waits.append)
 
 
 def test_alert_sinks(spark, tmp_path):
