@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sawlog.functions.times import duration_us
 from sawlog.operators.tables import page
 from sawlog.session import stored
-from sawlog.sinks.files import cutoff_day, drop_days, drop_old_days
+from sawlog.sinks.files import cutoff_day, drop_old_days, finish_swaps, replace_days
 
 DEFAULT_LIMIT = 100
 RETENTION = "720h"
+UNDATED = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder name of rows without a day
 
 
 def list_alert_events(
@@ -68,8 +69,10 @@ def purge_older(events: DataFrame, now: datetime, keep: str | int = RETENTION) -
 def purge_stored(spark: SparkSession, path: str, now: datetime, keep: str | int = RETENTION) -> int:
     """Delete events past the retention time from the stored history; returns how many.
 
-    Days that have ended before it go as folders; only the day it falls in is read and written anew.
+    Days that have ended before it go as folders; only the day it falls in is read and written anew, aside, and then switched: a stop at any point loses
+    no event that is to stay. Events without a time stay.
     """
+    finish_swaps(spark, path, "fired_on")
     cutoff = F.timestamp_micros(F.unix_micros(F.lit(now).cast("timestamp")) - duration_us(keep))
     history = spark.read.parquet(path)
     old = history.where((F.col("fired_on") <= F.to_date(cutoff)) & (F.col("fired_at") < cutoff))
@@ -77,8 +80,24 @@ def purge_stored(spark: SparkSession, path: str, now: datetime, keep: str | int
     if deleted:
         edge = history.where(F.col("fired_on") == F.to_date(cutoff))
         kept = stored(edge.where(F.col("fired_at") >= cutoff))
+        replace_days(spark, path, "fired_on", kept, [cutoff_day(now, keep)])
         drop_old_days(spark, path, "fired_on", now, keep)
-        day = cutoff_day(now, keep)
-        drop_days(spark, path, "fired_on", [day])
-        kept.write.mode("append").partitionBy("fired_on").parquet(path)
     return deleted
+
+
+def acknowledge_stored(spark: SparkSession, path: str, ids: DataFrame, now: datetime) -> DataFrame:
+    """Acknowledge events of the stored history; returns each asked ``id`` with whether it was ``found``, as ``acknowledge`` does.
+
+    Only the days of events that change are read whole and written anew.
+    """
+    finish_swaps(spark, path, "fired_on")
+    history = spark.read.parquet(path)
+    asked = stored(ids.select("id").distinct())
+    open_ones = stored(history.where("acknowledged_at IS NULL").join(asked, "id", "left_semi").select("id", "fired_on"))
+    found = {r.fired_on for r in open_ones.select("fired_on").distinct().collect()}
+    if found:
+        dated = [d for d in found if d is not None]
+        touched = history.where(F.col("fired_on").isin(dated) | (F.col("fired_on").isNull() if None in found else F.lit(False)))
+        days = [UNDATED if d is None else d.isoformat() for d in found]
+        replace_days(spark, path, "fired_on", acknowledge(touched, asked, now)[0], sorted(days))
+    return asked.join(open_ones.select("id", F.lit(True).alias("found")).distinct(), "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))

@@ -96,10 +96,10 @@ def k3_write_rotated(spark, sf_dir):
 @query("k6_write_alerts", """
 SELECT 'webhook-' || id AS name, '{"rule":"' || rule_name || '","severity":"' || severity || '","message":"' || message || '","source":"' || source
   || '","timestamp":"' || strftime(fired_at, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim(strftime(fired_at, '.%f'), '0'), '.') || 'Z"'
-  || CASE WHEN count <> 0 THEN ',"count":' || count ELSE '' END || '}' AS body FROM alert_history WHERE severity = 'critical'""", ALERT_HISTORY_SQL)
+  || CASE WHEN count <> 0 THEN ',"count":' || count ELSE '' END || '}' AS body FROM alert_history""", ALERT_HISTORY_SQL)
 def k6_write_alerts(spark, sf_dir):
     place = _place(spark)
-    write_alerts(alert_history(spark, sf_dir).where("severity = 'critical'"), [{"kind": "webhook", "path": _local(place)}])
+    write_alerts(alert_history(spark, sf_dir), [{"kind": "webhook", "path": _local(place)}])
     sent = spark.read.option("wholetext", "true").text(place)
     return sent.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("name"), F.col("value").alias("body"))
 

@@ -48,7 +48,8 @@ class _StreamingReads:
         slices = max(3, -(-rows.count() // ROWS_PER_BATCH))
         cuts = rows.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 100_000).alias("c")).first().c or []
         for low, high in zip([None, *cuts], [*cuts, None]):
-            inside = (F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)
+            # Rows without a time come first.
+            inside = (at.isNull() if low is None else at >= low) if high is None else at.isNull() | (at < high) if low is None else (at >= low) & (at < high)
             rows.where(inside).coalesce(1).write.mode("append").parquet(place)
         return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
 

@@ -8,6 +8,7 @@ from sawlog.functions.jsonfmt import alert_json
 from sawlog.functions.text import alert_email_body, alert_email_subject, render_alert
 from sawlog.session import stored
 from sawlog.sinks.delivery import send_bodies
+from sawlog.sinks.files import finish_swaps
 
 MAX_DAYS = 1000
 
@@ -46,7 +47,7 @@ def write_alerts(events: DataFrame, targets: list[dict] = ()) -> None:
 def append_alert_events(events: DataFrame, path: str) -> None:
     """Add fired events to the history, a Parquet table partitioned by day.
 
-    Events that are there already are not added again, so a repeated run is harmless; only the
+    Events that are there already, with or without a time, are not added again, so a repeated run is harmless; only the
     days of the new events are read for that: up to ``MAX_DAYS`` by name, more as one range.
     """
     spark = events.sparkSession
@@ -54,7 +55,9 @@ def append_alert_events(events: DataFrame, path: str) -> None:
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     if root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-        fresh = fresh.join(known_events(spark, path, fresh), ["id", "fired_on"], "left_anti").select(*fresh.columns)
+        finish_swaps(spark, path, "fired_on")
+        known = known_events(spark, path, fresh).select(F.col("id").alias("_id"), F.col("fired_on").alias("_on"))
+        fresh = fresh.join(known, (F.col("id") == F.col("_id")) & F.col("fired_on").eqNullSafe(F.col("_on")), "left_anti")
     fresh.write.mode("append").partitionBy("fired_on").parquet(path)
 
 
@@ -62,10 +65,11 @@ def known_events(spark: SparkSession, path: str, fresh: DataFrame) -> DataFrame:
     """Ids in the history on the days of ``fresh``; the days are literals, so other partitions are not read."""
     days = [r.fired_on for r in fresh.select("fired_on").where("fired_on IS NOT NULL").distinct().limit(MAX_DAYS + 1).collect()]
     history = spark.read.parquet(path).select("id", "fired_on")
+    undated = F.col("fired_on").isNull() if fresh.where("fired_on IS NULL").head(1) else F.lit(False)
     if len(days) <= MAX_DAYS:
-        return history.where(F.col("fired_on").isin(days))
+        return history.where(F.col("fired_on").isin(days) | undated)
     first, last = fresh.agg(F.min("fired_on"), F.max("fired_on")).first()
-    return history.where(F.col("fired_on").between(first, last))
+    return history.where(F.col("fired_on").between(first, last) | undated)
 
 
 def read_alert_events(spark, path: str) -> DataFrame:

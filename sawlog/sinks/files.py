@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -119,6 +120,64 @@ def drop_old_days(spark: SparkSession, path: str, column: str, now: datetime, ke
     return sorted(dropped)
 
 
+SWAP, READY = "_swap-", "_ready"
+
+
+def replace_days(spark: SparkSession, path: str, column: str, rows: DataFrame, days: list[str]) -> None:
+    """Put ``rows`` in the place of all that a table by day has on ``days``; a day without rows goes.
+
+    The new days are written aside, in a folder that readers pass over. Once a mark says they are whole, each is switched by renaming. A stop before the
+    mark changes nothing, and after it ``finish_swaps`` goes on where it stopped, so no row is lost.
+    """
+    swap = f"{path}/{SWAP}{uuid.uuid4().hex}"
+    rows.write.partitionBy(column).parquet(f"{swap}/new")
+    _mark(spark, f"{swap}/{READY}", days)
+    finish_swaps(spark, path, column)
+
+
+def _mark(spark: SparkSession, place: str, days: list[str]) -> None:
+    """Writes the mark under another name first, so that it is there whole or not at all."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    draft = target.suffix(".draft")
+    out = fs.create(draft, True)
+    out.write(bytearray("\n".join(days).encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        raise OSError(f"cannot write {place}")
+
+
+def finish_swaps(spark: SparkSession, path: str, column: str) -> None:
+    """Ends replacements of days that were stopped: those marked whole are gone through with, others are dropped."""
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = new_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def moved(source, target) -> None:
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"cannot rename {source} to {target}")
+
+    for status in fs.listStatus(root) if fs.exists(root) else []:
+        swap = status.getPath()
+        if not swap.getName().startswith(SWAP):
+            continue
+        mark = new_path(swap, READY)
+        if fs.exists(mark):
+            reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(mark), "UTF-8"))
+            days = [line for line in iter(reader.readLine, None) if line]
+            reader.close()
+            for day in days:
+                name = f"{column}={day}"
+                place, new, old = new_path(root, name), new_path(swap, f"new/{name}"), new_path(swap, f"old/{name}")
+                # The old day goes aside once only: a day that is in its place beside one that went aside is the new one.
+                if fs.exists(place) and not fs.exists(old):
+                    moved(place, old)
+                if fs.exists(new):
+                    moved(new, place)
+        fs.delete(swap, True)
+
+
 def write_all(df: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
     """Write the same rows to each sink in turn; the first failure stops the rest.
 
