@@ -65,6 +65,7 @@ def apply_cooldown(events: DataFrame, order: str = "line_id", at: str = "fired_a
     Only an event that passes restarts the clock of its rule; a cooldown of zero or less lets all
     pass. A rule fires at most once per order id. Events of a rule at one instant are combined
     before the shuffle, as only the first of them can pass.
+    An event without a time passes where no cooldown applies; where one does it is left out, as no clock can tell when it was.
     """
     waits = F.coalesce("cooldown_us", F.lit(0)) > 0
     points = (
