@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sawlog.session import stored
+
 # Rows with equal position are split by their id in runs of this many bits.
 ID_BITS = 20
 BUCKET_US = 60_000_000
 BUCKET_ROWS = 200_000
-MAX_BUCKETS = 4096
+# Parts a bucket is cut into at once. More levels, not wider ones, serve larger tables.
+FAN = 4096
 
 
 def _before(partition: list[str], order: list[str]) -> Column:
@@ -22,15 +25,27 @@ def _before(partition: list[str], order: list[str]) -> Column:
     return F.coalesce(F.sum("_n").over(w), F.lit(0))
 
 
-def _cuts(df: DataFrame, id_col: str) -> list[float]:
-    """Ids that cut the rows into buckets of about ``BUCKET_ROWS``, ``MAX_BUCKETS`` at most, whatever the ids are.
+def _cuts(ids: DataFrame, id_col: str, rows: int) -> list[float]:
+    """Ids that cut ``rows`` rows into buckets of about ``BUCKET_ROWS``, whatever the ids are and however many.
 
-    One aggregation with a sketch of bounded size finds them.
+    One aggregation with a sketch of bounded size per bucket cuts it into up to ``FAN`` parts, and parts that are
+    still too large are cut again. The driver holds one number for each bucket.
     """
-    found = df.agg(F.count(id_col).alias("n"), F.percentile_approx(
-        F.col(id_col).cast("double"), F.lit([i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]), F.lit(4 * MAX_BUCKETS)).alias("cuts")).first()
-    step = max(1, MAX_BUCKETS // max(1, -(-found.n // BUCKET_ROWS)))
-    return sorted(set((found.cuts or [])[step - 1 :: step]))
+    cuts: list[float] = []
+    largest = rows
+    while largest > BUCKET_ROWS:
+        fan = min(FAN, -(-largest // BUCKET_ROWS))
+        sketch = F.percentile_approx(F.col(id_col).cast("double"), F.lit([i / fan for i in range(1, fan)]), F.lit(16 * fan))
+        found = _bucketed(ids.select(id_col), id_col, cuts).groupBy("_bucket").agg(F.count("*").alias("n"), sketch.alias("cuts"))
+        more = set(cuts)
+        for bucket in found.where(F.col("n") > BUCKET_ROWS).toLocalIterator():
+            step = max(1, fan // -(-bucket.n // BUCKET_ROWS))
+            more.update(bucket.cuts[step - 1 :: step])
+        if len(more) == len(cuts):
+            break  # ids that are one number as doubles cannot be told apart: at most 1,024 of them
+        cuts = sorted(more)
+        largest = -(-largest // fan)
+    return cuts
 
 
 def _bucketed(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
@@ -46,15 +61,23 @@ def _bucketed(df: DataFrame, id_col: str, cuts: list[float]) -> DataFrame:
 def number_rows(df: DataFrame, id_col: str, out: str) -> DataFrame:
     """Consecutive numbers from 0 in the order of a unique LONG id.
 
-    Rows are cut into buckets of about equal size, for dense and for hashed ids alike; at most
-    ``MAX_BUCKETS`` bucket counts meet in one place, and rows are ordered inside their bucket.
+    The input is computed once and stored. Where it has more than ``BUCKET_ROWS`` rows it is cut into buckets of about
+    that size, for dense and for hashed ids alike, and rows are ordered inside their bucket. Counts of the buckets are
+    added up in two levels, so that no task sees more than ``FAN`` of them or one for each ``FAN``.
     """
-    keyed = _bucketed(df, id_col, _cuts(df, id_col))
-    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    starts = counts.select("_bucket", _before([], ["_bucket"]).alias("_start"))
+    held = stored(df)
+    rows = held.count()
+    if rows <= BUCKET_ROWS:
+        return held.withColumn(out, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(id_col)) - 1).cast("bigint"))
+    keyed = _bucketed(held, id_col, _cuts(held, id_col, rows))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_span", F.expr(f"_bucket div {FAN}"))
+    spans = counts.groupBy("_span").agg(F.sum("_n").alias("_n")).select("_span", _before([], ["_span"]).alias("_base"))
+    inner = counts.select("_span", "_bucket", _before(["_span"], ["_bucket"]).alias("_inner"))
+    starts = inner.join(spans, "_span").select("_bucket", (F.col("_base") + F.col("_inner")).alias("_start"))
     place = F.row_number().over(Window.partitionBy("_bucket").orderBy(id_col))
+    # Spark broadcasts the starts where they are small: two numbers for each BUCKET_ROWS rows.
     return (
-        keyed.withColumn("_place", place).join(F.broadcast(starts), "_bucket")
+        keyed.withColumn("_place", place).join(starts, "_bucket")
         .withColumn(out, F.col("_start") + F.col("_place") - 1)
         .drop("_bucket", "_place", "_start")
     )
@@ -88,15 +111,28 @@ def rank_in_key(df: DataFrame, key: str, at: str, id_col: str, out: str) -> Data
 def newest(df: DataFrame, by: str, limit: int) -> DataFrame:
     """The rows with the ``limit`` highest values of a unique LONG, highest first.
 
-    Bucket counts tell from which value on rows are needed, so only those are sorted.
+    The ids alone are stored first. Bucket counts tell from which id on rows are needed, and the bucket in which that id
+    lies is cut again until it is small, so only about ``limit`` rows of the input are sorted.
     """
     if limit <= 0:
         return df.limit(0)
-    cuts = _cuts(df, by)
-    above = 0
-    counts = {r._bucket: r["count"] for r in _bucketed(df.select(by), by, cuts).groupBy("_bucket").count().collect()} if cuts else {}
-    lowest = len(cuts)
-    while lowest > 0 and (above := above + counts.get(lowest, 0)) < limit:
-        lowest -= 1
-    needed = df.where(F.col(by).cast("double") >= cuts[lowest - 1]) if lowest else df
+    ids = stored(df.select(by))
+    above, held, lowest = 0, ids.count(), None
+    while held > max(BUCKET_ROWS, limit - above):
+        fan = min(FAN, -(-held // BUCKET_ROWS) + 1)
+        place = F.col(by).cast("double")
+        sketch = F.percentile_approx(place, F.lit([i / fan for i in range(1, fan)]), F.lit(16 * fan))
+        cuts = sorted(set(ids.agg(sketch.alias("cuts")).first().cuts))
+        counts = {r._bucket: r["count"] for r in _bucketed(ids, by, cuts).groupBy("_bucket").count().collect()}
+        bucket = len(cuts)
+        while bucket > 0 and above + counts.get(bucket, 0) < limit:
+            above += counts.get(bucket, 0)
+            bucket -= 1
+        if bucket:
+            lowest = cuts[bucket - 1]
+        if counts.get(bucket, 0) == held:
+            break  # ids that are one number as doubles
+        held = counts.get(bucket, 0)
+        ids = ids.where((place >= (cuts[bucket - 1] if bucket else float("-inf"))) & (place < (cuts[bucket] if bucket < len(cuts) else float("inf"))))
+    needed = df if lowest is None else df.where(F.col(by).cast("double") >= lowest)
     return needed.orderBy(F.desc(by)).limit(limit)

@@ -50,22 +50,43 @@ def test_saved_searches(spark):
     assert run_saved_search(lines(spark), broken, "all").count() == 3
 
 
+@pytest.mark.parametrize("fan", [4, 4096])
 @pytest.mark.parametrize("spread", ["dense", "hashed", "both"])
-def test_numbering_for_any_ids(spark, spread, monkeypatch):
+def test_numbering_for_any_ids(spark, spread, fan, monkeypatch):
     from pyspark.sql import functions as F
 
     from sawlog.operators import ranking
 
     monkeypatch.setattr(ranking, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(ranking, "FAN", fan)
     ids = {"dense": F.col("id"), "hashed": F.xxhash64("id"), "both": F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id"))}
     frame = spark.range(20_000).select(ids[spread].alias("k"), F.col("id").alias("x"))
     got = ranking.number_rows(frame, "k", "no").orderBy("k").collect()
     assert [r.no for r in got] == list(range(20_000))
-    cuts = ranking._cuts(frame, "k")
+    cuts = ranking._cuts(frame, "k", 20_000)
     sizes = [r["count"] for r in ranking._bucketed(frame, "k", cuts).groupBy("_bucket").count().collect()]
-    assert len(sizes) >= 20 and max(sizes) < 2_500
-    top = [r.k for r in ranking.newest(frame, "k", 700).collect()]
-    assert top == [r.k for r in got][::-1][:700]
+    assert len(sizes) >= 20 and max(sizes) <= 1_000
+    for limit in (700, 30_000):
+        top = [r.k for r in ranking.newest(frame, "k", limit).collect()]
+        assert top == [r.k for r in got][::-1][:limit]
+
+
+def test_numbering_computes_its_input_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sawlog.operators import ranking
+
+    monkeypatch.setattr(ranking, "BUCKET_ROWS", 200)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    frame = spark.range(1_000).mapInArrow(count, "id long")
+    assert ranking.number_rows(frame, "id", "no").where(F.col("id") != F.col("no")).count() == 0
+    assert seen.value == 1_000
 
 
 def test_equal_batches_are_all_delivered(spark, tmp_path):
