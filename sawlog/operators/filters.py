@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from sawlog.functions.levels import level_rank, priority_number, rank_of
 from sawlog.functions.regexes import MAX_FILTER_PATTERN, RegexError, checked_regexes
-from sawlog.operators.matching import compacted
+from sawlog.operators.matching import constant, sought_texts, with_hits
 
 SEARCH_SCHEMA = "struct<levels:array<string>,sources:array<string>,regex:string,_bad:string>"
 
@@ -105,16 +105,35 @@ def run_saved_search(df: DataFrame, searches: DataFrame, name: str) -> DataFrame
 
 
 def run_saved_searches(df: DataFrame, searches: DataFrame) -> DataFrame:
-    """Every line with each saved search it is in, as ``search``; all are tested in one pass over the lines."""
+    """Every line with each saved search it is in, as ``search``; all are tested in one pass over the lines.
+
+    Of many searches with a pattern only those are tried on a line of which it holds a required text.
+    """
     bound = _read_searches(searches)
     shown = search_logs(df)
-    hits = []
-    for row in bound:
+    if not bound:
+        return shown.select("*", F.lit(None).cast("string").alias("search")).where(F.lit(False))
+    java = {}
+    for no, row in enumerate(bound):
+        if row.f is not None and row.f.regex:
+            try:
+                java[no], = checked_regexes(df.sparkSession, [row.f.regex])
+            except RegexError:
+                pass  # a search with a broken pattern ignores it
+    needed = sought_texts({no: bound[no].f.regex for no in java})
+    tests = {}
+    for no, row in enumerate(bound):
         f = row.f
-        tests = _search_tests(df, f.levels, f.sources, f.regex) if f else []
-        hits.append(F.when(reduce(lambda a, b: a & b, tests, F.lit(True)), F.lit(row.name)))
-    names = compacted(hits) if hits else F.array().cast("array<string>")
-    return shown.select("*", F.explode(names).alias("search"))
+        if no not in needed:
+            asked = _search_tests(df, f.levels, f.sources, f.regex) if f else []
+            tests[no] = reduce(lambda a, b: a & b, asked, F.lit(True))
+    met = with_hits(shown, tests, needed, {no: "(?i)" + java[no] for no in needed})
+    for name, value in (("levels", F.lower("level")), ("sources", F.col("source"))) if needed else ():
+        lists = constant([(row.f[name] or None) if no in needed else None for no, row in enumerate(bound)], "array<string>")
+        allowed = F.get(lists, F.col("_hit"))
+        met = met.where(allowed.isNull() | F.array_contains(allowed, value))
+    names = constant([row.name for row in bound], "string")
+    return met.select(*shown.columns, F.get(names, F.col("_hit")).alias("search"))
 
 
 def filter_status(health: DataFrame, status: str) -> DataFrame:
