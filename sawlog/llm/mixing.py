@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sawlog.llm.common import Words, mixed, pieces, stored
 
+LEADING = 18  # bits of a word's hash that it is looked up by
 CODED = 1 << 18  # words with a code of their own; all others are spelled
 AREAS = (1 << 20, 1 << 22, 1 << 23)  # slots of each context's predictor
 SLOTS = sum(AREAS)
-RANGES = 256  # parts of all slots, each added up in one group
+STEP = 4  # bits whose nodes lie side by side
+SIDE, OUTCOMES = 1 << STEP, 2 << STEP  # slots of a place, and outcomes of a step, with two unused
+RANGES = 256  # parts of all places, each added up in one group
 SLICE = 1 << 19  # bytes of texts scored side by side
 LONG = 1 << 18  # bytes beyond which a text is read in stretches
 COUNTED = 4 << 20  # bytes whose words are counted at once
-CHUNK = 1 << 18  # symbols of a long text that are taken apart at once
+CHUNK = 1 << 18  # symbols of a long text that are followed at once
+PART = 1 << 13  # symbols that are taken apart at once, so that what is made of them stays in a core's cache
 BLOCK = 512  # bits after which weights and refinement follow a text
 RATE = 0.002  # of a text's own share of the weights
 TUNING_RATE = 0.0001  # of the weights that all texts start from
@@ -85,17 +89,33 @@ class Code:
     value: np.ndarray
     length: np.ndarray
 
+    def __post_init__(self):
+        self._first = np.searchsorted(self.words >> np.uint64(64 - LEADING), np.arange((1 << LEADING) + 1, dtype=np.uint64))
+
     @property
     def end(self) -> int:
         return len(self.words)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word; that of the escape for words without a code."""
+        out = np.full(len(hashes), self.end + 1)
         if not len(self.words):
-            return np.full(len(hashes), 1)
-        some, which = np.unique(hashes, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.words, some), len(self.words) - 1)
-        return np.where(self.words[at] == some, at, self.end + 1)[which]
+            return out
+        bucket = hashes >> np.uint64(64 - LEADING)
+        at, stop, left = np.take(self._first, bucket), np.take(self._first, bucket + np.uint64(1)), None
+        while True:
+            # Words are sorted, so those with the same leading bits stand together.
+            same = np.take(self.words, np.minimum(at, self.end - 1)) == hashes
+            same &= at < stop
+            if left is None:
+                out[same] = at[same]
+            else:
+                out[left[same]] = at[same]
+            more = np.flatnonzero(~same & (at + 1 < stop))
+            if not len(more):
+                return out
+            left = more if left is None else left[more]
+            at, stop, hashes = at[more] + 1, stop[more], hashes[more]
 
 
 def code_of(words: np.ndarray, counts: np.ndarray, texts: int, others: int) -> Code:
@@ -120,12 +140,27 @@ def stretches(text: bytes, limit: int) -> Iterator[bytes]:
 
 @dataclass
 class Symbols:
-    """Symbols of some texts in order: bits, number of bits, hashed contexts ``[context, symbol]``, and text."""
+    """Symbols of some texts in order: bits, number of bits, hashed contexts ``[context, symbol]``, text, and kind: a code's number, or after these a byte."""
 
     value: np.ndarray
     length: np.ndarray
     contexts: np.ndarray
     text: np.ndarray
+    kind: np.ndarray
+
+    def chunks(self, size: int) -> Iterator[Symbols]:
+        for a in range(0, len(self.value), size):
+            part = slice(a, a + size)
+            yield Symbols(self.value[part], self.length[part], self.contexts[:, part], self.text[part], self.kind[part])
+
+
+def kinds(code: Code) -> Symbols:
+    """One symbol of each kind, with the context that is none."""
+    n, letters = len(code.value), len(LETTERS)
+    context = np.zeros((CONTEXTS, n + letters), np.uint32)
+    context[0, n:] = _SPELLED
+    size = np.arange(n + letters)
+    return Symbols(np.concatenate([code.value, SPELLING[0]]), np.concatenate([code.length, SPELLING[1]]), context, np.zeros_like(size), size)
 
 
 def symbols(words: Words, code: Code, before: np.ndarray, ended: bool) -> tuple[Symbols, np.ndarray]:
@@ -156,48 +191,91 @@ def symbols(words: Words, code: Code, before: np.ndarray, ended: bool) -> tuple[
     value, length = np.zeros(int(size.sum()), np.uint64), np.zeros(int(size.sum()), np.int64)
     contexts = np.zeros((CONTEXTS, len(value)), np.uint32)
     value[at], length[at], contexts[:, at] = code.value[number], code.length[number], context
+    kind = np.zeros(len(value), np.int32)
+    kind[at] = number
     if len(spelled):
         raw = np.frombuffer(words.data, np.uint8)
         within = np.arange(int(letters.sum())) - np.repeat(np.cumsum(letters) - letters, letters)
         source = np.repeat(words.start[spelled], letters) + within
         byte = np.where(within == np.repeat(letters - 1, letters), 32, raw[np.minimum(source, len(raw) - 1)])
         where = np.repeat(at[place[spelled]] + 1, letters) + within
-        value[where], length[where] = SPELLING[0][byte], SPELLING[1][byte]
+        value[where], length[where], kind[where] = SPELLING[0][byte], SPELLING[1][byte], len(code.value) + byte.astype(np.int32)
         byte, history = byte.astype(np.uint64), np.zeros(len(byte), np.uint64)
         for back in range(1, 4):
             history = np.where(within >= back, history | np.roll(byte, back) << np.uint64(8 * (back - 1)), history)
             if back in (1, 3):
                 contexts[{1: 1, 3: 2}[back], where] = mixed(history + np.uint64(back * 0xD6E8FEB86659FD93 % 2**64)) >> np.uint64(32)
         contexts[0, where] = _SPELLED
-    return Symbols(value, length, contexts, np.repeat(text, size)), found
+    return Symbols(value, length, contexts, np.repeat(text, size), kind), found
+
+
+def _outcomes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each outcome of a step, and each of its bits: whether it has that many, the node that the bit is told in, and the bit itself."""
+    used, node, bit = np.zeros((OUTCOMES, STEP), bool), np.zeros((OUTCOMES, STEP), np.int64), np.zeros((OUTCOMES, STEP), bool)
+    for n in range(1, STEP + 1):
+        for own in range(1 << n):
+            outcome = (1 << n) - 2 + own
+            used[outcome, :n] = True
+            for depth in range(n):
+                node[outcome, depth] = (1 << depth) + (own >> n - depth)
+                bit[outcome, depth] = own >> n - depth - 1 & 1
+    return used, node, bit
 
 
-def bits(of: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bits of the symbols, slots ``[context, bit]``, and how many bits each symbol has.
+_USED, _NODES, _BITS = _outcomes()
 
-    A bit is told in the node that the bits before it lead to. The nodes of up to four bits lie side by side: one hash of a context and of the bits
-    before them finds all.
+
+def steps(of: Symbols) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symbols taken apart into steps of up to four bits: places ``[context, step]``, outcomes, and how many steps each symbol has.
+
+    The nodes of a step's bits lie side by side in one place of each context, which one hash of the context and of the bits before the step finds.
+    An outcome tells how many bits the step has, and which.
     """
-    quads = (of.length + 3) // 4
-    symbol = np.repeat(np.arange(len(of.length)), quads)
-    before = 4 * (np.arange(len(symbol)) - (np.cumsum(quads) - quads)[symbol])
-    left = of.length[symbol] - before
-    size = np.minimum(left, 4)
-    value = of.value[symbol]
+    count = (of.length + STEP - 1) // STEP
+    before = (np.arange(int(count.sum()), dtype=np.int32) - np.repeat((np.cumsum(count) - count).astype(np.int32), count)) * np.int32(STEP)
+    left = np.repeat(of.length.astype(np.int32), count) - before
+    size = np.minimum(left, np.int32(STEP))
+    value = np.repeat(of.value, count)
     prefix = (value >> left.astype(np.uint64)) + np.left_shift(np.uint64(1), before.astype(np.uint64))
     prefix = (prefix ^ prefix >> np.uint64(32)).astype(np.uint32) * _NODE
-    own = (value >> (left - size).astype(np.uint64)).astype(np.int32) & (np.left_shift(1, size) - 1).astype(np.int32)
-    width = size.astype(np.int32)
-    depth = (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-    rest, own = np.repeat(width, size) - depth, np.repeat(own, size)
-    node = np.left_shift(np.int32(1), depth) + (own >> rest)
-    bit = (own >> (rest - np.int32(1)) & np.int32(1)).astype(bool)
-    slots, area = np.empty((CONTEXTS, len(bit)), np.int32), 0
+    ends = np.left_shift(np.int32(1), size)
+    outcome = ((value >> (left - size).astype(np.uint64)).astype(np.int32) & (ends - np.int32(1))) + ends - np.int32(2)
+    places, area = np.empty((CONTEXTS, len(outcome)), np.int32), 0
     for k, slot_count in enumerate(AREAS):
-        place = (of.contexts[k][symbol] + prefix) * _SPREAD >> np.uint32(37 - slot_count.bit_length())
-        slots[k] = np.repeat((place << np.uint32(4)).astype(np.int32) + np.int32(area), size) + node
-        area += slot_count
-    return bit, slots, of.length
+        place = (np.repeat(of.contexts[k], count) + prefix) * _SPREAD >> np.uint32(37 - slot_count.bit_length())
+        np.add(place, np.uint32(area), out=places[k], casting="unsafe")
+        area += slot_count // SIDE
+    return places, outcome, count
+
+
+def said(table: np.ndarray, of: Symbols) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the symbols, and what the table of predictions says of each: ``[context, bit]``. A bit is told in the node that the bits before it lead to."""
+    n = int(of.length.sum())
+    bit, out, end = np.empty(n, bool), np.empty((CONTEXTS, n), table.dtype), 0
+    rows = table.reshape(-1, SIDE)
+    for part in of.chunks(PART):
+        places, outcome, _ = steps(part)
+        own = np.flatnonzero(np.take(_USED, outcome, axis=0))
+        node = np.take(_NODES, outcome, axis=0)
+        node += np.arange(0, SIDE * len(outcome), SIDE)[:, None]
+        node = np.take(node, own)
+        begin, end = end, end + len(own)
+        bit[begin:end] = np.take(np.take(_BITS, outcome, axis=0), own)
+        for k in range(CONTEXTS):
+            # All of a step's bits are read from one row.
+            out[k, begin:end] = np.take(np.take(rows, places[k], axis=0), node)
+    return bit, out
+
+
+def by_node(counts: np.ndarray) -> np.ndarray:
+    """Counts ``[place, outcome]`` as zeros and ones ``[slot, bit]``: what ends in a step's last bit, or goes on below it, was told in each node above."""
+    out = np.zeros((len(counts), SIDE, 2), counts.dtype)
+    below: np.ndarray | int = 0
+    for depth in reversed(range(STEP)):
+        told = (counts[:, (2 << depth) - 2 : (4 << depth) - 2] + below).reshape(len(counts), 1 << depth, 2)
+        out[:, 1 << depth : 2 << depth] = told
+        below = told.sum(axis=2)
+    return out.reshape(-1, 2)
 
 
 # --- the model -----------------------------------------------------------------------------------
@@ -246,14 +324,13 @@ class State:
         self.own[texts], self.refined[texts], self.score[texts] = other.own, other.refined, other.score
 
 
-def follow(model: Model, bit: np.ndarray, slots: np.ndarray, sizes: np.ndarray, state: State, gates: np.ndarray | None = None) -> State:
-    """Codes the bits of texts side by side, block by block.
+def follow(model: Model, bit: np.ndarray, said: np.ndarray, sizes: np.ndarray, state: State, gates: np.ndarray | None = None) -> State:
+    """Codes the bits of texts side by side, block by block; ``said[context, bit]`` is what the predictors say.
 
     A bit's probability is made from the weights of its gate, which is how well its two strongest contexts are known, and the text's own share; it is then averaged with what
     bits with such a probability have turned out to be in the text. Share and refinement follow the text after each block only, so what is told never uses what comes later.
     With ``gates``, which counts bits by gate, the model's weights follow all texts, too.
     """
-    said = np.take(model.table, slots)
     order = np.argsort(-sizes, kind="stable")
     begin, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
     now = state.take(order)
@@ -317,10 +394,9 @@ def tell(model: Model, texts: list[bytes], gates: np.ndarray | None = None) -> T
         own = np.array(numbers)
         state = out.state.take(own)
         # Several texts are one slice; a stretch of one text may have many symbols.
-        for a in range(0, len(of.value), CHUNK if len(some) == 1 else max(1, len(of.value))):
-            part = Symbols(of.value[a : a + CHUNK], of.length[a : a + CHUNK], of.contexts[:, a : a + CHUNK], of.text[a : a + CHUNK]) if len(some) == 1 else of
-            bit, slots, length = bits(part)
-            follow(model, bit, slots, np.bincount(part.text, weights=length, minlength=len(some)).astype(np.int64), state, gates)
+        for part in of.chunks(CHUNK) if len(some) == 1 else [of]:
+            bit, told = said(model.table, part)
+            follow(model, bit, told, np.bincount(part.text, weights=part.length, minlength=len(some)).astype(np.int64), state, gates)
         out.state.put(own, state)
         known = found < model.code.end
         out.tokens[own] += words.count
@@ -382,7 +458,7 @@ def _spread(data: bytes, kind: np.dtype | type, size: int) -> np.ndarray:
 
 
 def context_counts(docs: DataFrame, code: Code) -> DataFrame:
-    """``part, tuning, counts``: zeros and ones that ``docs(text, tuning)`` has in each slot, by range of slots, apart for the tuning fold.
+    """``part, tuning, counts``: how often ``docs(text, tuning)`` has each outcome in each place, by range of places, apart for the tuning fold.
 
     A task counts into two arrays and sends them range by range, in compressed bytes with the counts beyond a byte apart; each range is added up by
     one owner.
@@ -392,35 +468,36 @@ def context_counts(docs: DataFrame, code: Code) -> DataFrame:
 
     def counted(batches):
         tables: dict[bool, np.ndarray] = {}
+        every = kinds(held.value)
+        met: dict[bool, np.ndarray] = {}
         one = np.uint32(1)
 
-        def add(table: np.ndarray, words: Words, before: np.ndarray, ended: bool) -> None:
+        def add(tuning: bool, words: Words, before: np.ndarray, ended: bool) -> None:
             of, _ = symbols(words, held.value, before, ended)
-            # Without a context, symbols are alike: their bits are counted once for all of a kind.
-            kind = np.where(of.contexts[0] == _SPELLED, np.uint64(1) << np.uint64(63), np.uint64(0)) + (of.length.astype(np.uint64) << np.uint64(57)) + of.value
-            _, first, count = np.unique(kind, return_index=True, return_counts=True)
-            bit, slots, length = bits(Symbols(of.value[first], of.length[first], of.contexts[:, first], of.text[first]))
-            np.add.at(table, slots[0].astype(np.int64) * 2 + bit, np.repeat(count, length).astype(np.uint32))
-            for a in range(0, len(of.value), CHUNK):
-                bit, slots, _ = bits(Symbols(of.value[a : a + CHUNK], of.length[a : a + CHUNK], of.contexts[:, a : a + CHUNK], of.text[a : a + CHUNK]))
-                for slot in slots[1:]:
-                    np.add.at(table, slot.astype(np.int64) * 2 + bit, one)
+            # Without a context, symbols of a kind are alike: their steps are counted at the end.
+            met[tuning] += np.bincount(of.kind, minlength=len(every.kind))
+            for part in of.chunks(PART):
+                places, outcome, _ = steps(part)
+                for place in places[1:]:
+                    np.add.at(tables[tuning], place.astype(np.int64) * OUTCOMES + outcome, one)
 
         for batch in batches:
             for tuning in (False, True):
                 own = batch.column(0).filter(pc.equal(batch.column(1), tuning))
                 if len(own) and tuning not in tables:
-                    tables[tuning] = np.zeros(2 * SLOTS, np.uint32)
+                    tables[tuning], met[tuning] = np.zeros(2 * SLOTS, np.uint32), np.zeros(len(every.kind), np.int64)
                 for _, texts in _sliced(own, SLICE):
                     if len(texts) > 1 or len(texts[0]) <= LONG:
-                        add(tables[tuning], Words(texts), np.zeros((len(texts), 2), np.uint64), True)
+                        add(tuning, Words(texts), np.zeros((len(texts), 2), np.uint64), True)
                         continue
                     before, rest = np.zeros((1, 2), np.uint64), list(stretches(texts[0], LONG))
                     for k, stretch in enumerate(rest):
                         words = Words([stretch])
-                        add(tables[tuning], words, before, k == len(rest) - 1)
+                        add(tuning, words, before, k == len(rest) - 1)
                         before = np.concatenate([words.hash[-2:][::-1][None], before], axis=1)[:, :2]
         for tuning, table in tables.items():
+            places, outcome, size = steps(every)
+            np.add.at(table, places[0].astype(np.int64) * OUTCOMES + outcome, np.repeat(met[tuning], size).astype(np.uint32))
             for part in range(RANGES):
                 own = table[part * width : (part + 1) * width]
                 over = np.flatnonzero(own >= 255)
@@ -448,7 +525,7 @@ def _predictions(counts: DataFrame) -> np.ndarray:
 
     def told(table: pa.Table) -> pa.Table:
         total = sum(_spread(c, np.dtype("<i8"), 2 * width) for c in table.column("counts").to_pylist())
-        return pa.table({"part": table.column("part").slice(0, 1), "said": pa.array([predictions(total.reshape(-1, 2)).astype("<i2").tobytes()], pa.binary())})
+        return pa.table({"part": table.column("part").slice(0, 1), "said": pa.array([predictions(by_node(total.reshape(-1, OUTCOMES))).astype("<i2").tobytes()], pa.binary())})
 
     out = np.tile(predictions(np.zeros((1, 2), np.int64)), SLOTS)
     for r in counts.groupBy("part").applyInArrow(told, "part int, said binary").toLocalIterator():

@@ -90,6 +90,20 @@ def test_held_out_texts_are_told_better_than_by_word_counts(spark):
     assert per[0] > per[1] + 0.3  # the order of words counts
 
 
+def bits(of):
+    """Bits of the symbols and their slots, bit by bit, and how many bits each symbol has."""
+    bit, slots = [], []
+    places, _, count = m.steps(of)
+    step = 0
+    for value, n, steps in zip(of.value.tolist(), of.length.tolist(), count.tolist(), strict=True):
+        text = format(value, f"0{n}b")
+        for i, b in enumerate(text):
+            bit.append(b == "1")
+            slots.append(places[:, step + i // 4] * 16 + int("1" + text[i // 4 * 4 : i], 2))
+        step += steps
+    return np.array(bit, bool), np.array(slots).reshape(-1, m.CONTEXTS).T, of.length
+
+
 def model(texts, coded=40):
     counts = Counter(h for t in texts for h in Words([lower(t)]).hash.tolist())
     top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:coded]
@@ -97,7 +111,7 @@ def model(texts, coded=40):
     table = np.zeros(2 * m.SLOTS, np.int64)
     for t in texts:
         of, _ = m.symbols(Words([lower(t)]), code, np.zeros((1, 2), np.uint64), True)
-        bit, slots, _ = m.bits(of)
+        bit, slots, _ = bits(of)
         np.add.at(table, (slots.astype(np.int64) * 2 + bit).reshape(-1), 1)
     return m.start(code, m.predictions(table.reshape(-1, 2)))
 
@@ -105,7 +119,7 @@ def model(texts, coded=40):
 def plainly(model, text):
     """The same score, bit by bit."""
     of, _ = m.symbols(Words([lower(text)]), model.code, np.zeros((1, 2), np.uint64), True)
-    bit, slots, _ = m.bits(of)
+    bit, slots, _ = bits(of)
     own, refined, score = np.zeros(m.CONTEXTS), model.refined.astype(float), 0.0
     for a in range(0, len(bit), m.BLOCK):
         slope, seen = np.zeros(m.CONTEXTS), np.zeros((m.BUCKETS, 2))
@@ -133,6 +147,26 @@ def test_side_by_side_equals_bit_by_bit():
         assert score == pytest.approx(plainly(by, text), rel=2e-4)
 
 
+def test_outcomes_of_steps_hold_the_counts_of_all_nodes():
+    rng = random.Random(9)
+    texts = [lower(sentence(rng, 120)) for _ in range(12)] + [b"", lower("Ünï çödé" * 9)]
+    by = model([sentence(rng, 120) for _ in range(6)])
+    of, _ = m.symbols(Words(texts), by.code, np.zeros((len(texts), 2), np.uint64), True)
+    bit, slots, length = bits(of)
+    own, said = m.said(by.table, of)
+    assert (own == bit).all() and (said == by.table[slots]).all()
+    places, outcome, count = m.steps(of)
+    assert len(bit) == of.length.sum() and count.tolist() == [-(-n // m.STEP) for n in of.length.tolist()]
+    # Bits of a symbol, put together again, are its code.
+    ends = np.cumsum(length)
+    assert [int("".join(str(int(b)) for b in bit[e - n : e]), 2) for e, n in zip(ends, length, strict=True)] == of.value.tolist()
+    for k in range(m.CONTEXTS):
+        by_bit, by_step = np.zeros((m.SLOTS, 2), np.int64), np.zeros((m.SLOTS // m.SIDE, m.OUTCOMES), np.int64)
+        np.add.at(by_bit, (slots[k], bit.astype(int)), 1)
+        np.add.at(by_step, (places[k], outcome), 1)
+        assert (m.by_node(by_step) == by_bit).all()
+
+
 def test_probabilities_of_all_next_tokens_sum_to_one(monkeypatch):
     """Every bit is told from earlier ones only: the code is a full tree, so both ways at each node sum to one."""
     rng = random.Random(6)
@@ -143,15 +177,15 @@ def test_probabilities_of_all_next_tokens_sum_to_one(monkeypatch):
         assert len(texts) == len(value) and not any(a != b and b.startswith(a) for a in texts for b in texts)
     start = Words([b"ba de ki"])
     of, _ = m.symbols(start, by.code, np.zeros((1, 2), np.uint64), False)
-    bit, slots, _ = m.bits(of)
+    bit, slots, _ = bits(of)
     total = 0.0
     # All codes of one more token, scored after the same beginning.
     for i in range(len(by.code.value)):
-        more = m.Symbols(by.code.value[i : i + 1], by.code.length[i : i + 1], of.contexts[:, -1:], np.zeros(1, np.int64))
-        b, s, _ = m.bits(more)
+        more = m.Symbols(by.code.value[i : i + 1], by.code.length[i : i + 1], of.contexts[:, -1:], np.zeros(1, np.int64), np.array([i]))
+        b, s, _ = bits(more)
         both, alone = m.State.of(by, 1), m.State.of(by, 1)
-        m.follow(by, np.append(bit, b), np.concatenate([slots, s], axis=1), np.array([len(bit) + len(b)]), both)
-        m.follow(by, bit, slots, np.array([len(bit)]), alone)
+        m.follow(by, np.append(bit, b), by.table[np.concatenate([slots, s], axis=1)], np.array([len(bit) + len(b)]), both)
+        m.follow(by, bit, by.table[slots], np.array([len(bit)]), alone)
         total += math.exp(both.score[0] - alone.score[0])
     assert total == pytest.approx(1, rel=1e-4)
 
@@ -179,3 +213,16 @@ def test_nothing_to_learn_from(spark):
     assert sorted((r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got) == [
         (False, 1, 0, 0, 0.0), (False, 3, 0, 0, 0.0), (True, 3, 0, 0, 0.0)]
     assert all(r.score < 0 for r in got)
+
+
+def test_words_are_found_by_their_hashes(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = np.unique(rng.integers(0, 1 << 63, 5000, np.uint64) * np.uint64(2))
+    words = np.unique(np.concatenate([words, words[:9] + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)]))
+    for leading in (3, m.LEADING):
+        monkeypatch.setattr(m, "LEADING", leading)
+        code = m.code_of(words[::2], np.ones(len(words[::2]), np.int64), 1, 1)
+        asked = np.concatenate([words, words[:50]])
+        found, at = code.find(asked), {w: i for i, w in enumerate(words[::2].tolist())}
+        assert found.tolist() == [at.get(w, code.end + 1) for w in asked.tolist()]
+    assert m.code_of(words[:0], np.zeros(0, np.int64), 1, 1).find(words[:3]).tolist() == [1, 1, 1]
