@@ -134,6 +134,16 @@ class Words:
         self.first = np.cumsum(self.count) - self.count
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of an Arrow array of strings, read where they are."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    words = words.cast(pa.large_string())
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return span_hashes(np.frombuffer(data or b"", np.uint8), ends[:-1], ends[1:])
+
+
 class Seen:
     """Words met so far, numbered in order.
 
@@ -165,8 +175,7 @@ class Seen:
         New words get the next numbers. When the limit is passed all are forgotten first, so all of these are new and numbered from 0;
         that all are new does not tell that.
         """
-        ends = np.cumsum(np.asarray(pc.binary_length(words)).astype(np.int64))
-        hashes = span_hashes(np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8), np.append(0, ends)[:-1], ends)
+        hashes = _hashes(words)
         at = self._find(words, hashes)
         new = np.flatnonzero(at < 0)
         forgotten = len(self.words) + len(new) > self.limit

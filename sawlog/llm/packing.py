@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from sawlog.llm.common import Seen, pieces, stored
 GROUP = 100_000  # pieces packed in one task
 CACHE = 1_500_000  # words whose ids a worker remembers
 SLICE = 4 << 20  # bytes of text tokenized at once
+JOINED = 32  # words that the tokenizer gets in one text
 ENCODED = 20_000  # new words encoded at once, as what the tokenizer returns is large
 LONG = 10_000  # characters beyond which a word is not remembered
 SHIFT = 33  # bits of a sequence number below its group
@@ -42,6 +44,12 @@ class WordIds:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
+        special = self.tokenizer.get_added_tokens_decoder()
+        plain = special and all(t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word) for t in special.values())
+        #: A token that parts words, and its text; none where words next to it might be read differently.
+        self.mark, self.sign = min((k, t.content) for k, t in special.items()) if plain else (None, "")
+        #: No special token begins inside a word without these.
+        self.openers = "[" + "".join(re.escape(c) for c in sorted({t.content[0] for t in special.values()})) + "]" if plain else ""
         self._forget()
 
     def _forget(self) -> None:
@@ -57,6 +65,29 @@ class WordIds:
             texts = pc.replace_substring(texts, space, " ")
         return pc.split_pattern(texts, " ")
 
+    def _alone(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [code.ids for code in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(itertools.chain.from_iterable(found), "<u4", int(sizes.sum()))
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and the ids of all. Words go in together with a mark after each; those that may hold a special token go alone."""
+        if self.mark is None:
+            return self._alone(words)
+        alone = pc.match_substring_regex(words, self.openers)
+        sign = pa.scalar(self.sign, words.type)
+        edges = pa.array([*range(0, len(words), JOINED), len(words)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(edges, pc.if_else(alone, pa.scalar("", words.type), words)), sign)
+        ids = self._alone(pc.binary_join_element_wise(texts, sign, pa.scalar("", words.type)))[1]
+        marked = ids == self.mark
+        sizes = np.diff(np.flatnonzero(marked), prepend=-1) - 1
+        ids, alone = ids[~marked], np.asarray(alone)
+        if alone.any():
+            own, rest = self._alone(words.filter(pa.array(alone)))
+            ids = np.insert(ids, np.repeat((np.cumsum(sizes) - sizes)[alone], own), rest)
+            sizes[alone] = own
+        return sizes, ids
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where those of each text end."""
         lists = self._words(texts)
@@ -65,13 +96,12 @@ class WordIds:
         at, new, forgotten = self.seen.numbers(words)
         if forgotten:
             self.sizes, self.ids = self.sizes[:0], self.ids[:0]
-        longest = 0
+        fresh, longest = words.take(pa.array(new)), 0
         for at_once in range(0, len(new), ENCODED):
-            some = words.take(pa.array(new[at_once : at_once + ENCODED])).to_pylist()
-            longest = max(longest, max(map(len, some)))
-            found = [code.ids for code in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            self.sizes = np.append(self.sizes, np.fromiter(map(len, found), np.int64, len(found)))
-            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(found), "<u4", sum(map(len, found))))
+            some = fresh.slice(at_once, ENCODED)
+            longest = max(longest, pc.max(pc.utf8_length(some)).as_py())
+            sizes, ids = self._encoded(some)
+            self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
         start = np.cumsum(self.sizes) - self.sizes
         each = self.sizes[at][codes]
         ends = np.cumsum(each)

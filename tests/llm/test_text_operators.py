@@ -1,10 +1,13 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from sawlog.llm import near_duplicates, packing, repeated_bytes, repeated_words, secrets
+from sawlog.llm.common import _hashes
 from sawlog.llm.decontamination import contamination
 from sawlog.llm.op2 import tokenizer_path
 from tests.llm import brute
@@ -164,7 +167,6 @@ def test_redaction(spark):
 
 
 def test_packing(spark):
-    import tokenizers
 
     marks = "Wait... what. No!., Yes,\tor,, 5. It's. it's, É. ß, x.\ny,\n z . , a.b, c.  d,  <|endoftext|> e. <|ENDOFTEXT|>. ŝ. µ. 3.5, º. a\u0301. I\u0307. Ａ．\u00a0b.\u00a0 c"
     rows = corpus() + [(900, marks), (901, marks.replace("<", "")), (902, marks.encode("latin-1", "ignore").decode("latin-1").replace("<", ""))]
@@ -187,7 +189,6 @@ def test_packing(spark):
 
 def test_packing_of_batches_that_share_no_word(spark):
     """One row a batch and one task: each batch after the first holds only words the task has not met, among them a slice of one unbroken text."""
-    import tokenizers
 
     rng = random.Random(3)
     texts = ["one two", "三四五六", "", "七八", None, "f3a9c1", "x" * 9_000_000, "three four", "х" * (packing.LONG + 1), "nine ten"]
@@ -203,7 +204,6 @@ def test_packing_of_batches_that_share_no_word(spark):
 
 
 def test_word_ids_after_forgetting(monkeypatch):
-    import pyarrow as pa
     import tokenizers
 
     monkeypatch.setattr(packing, "CACHE", 4)
@@ -222,6 +222,27 @@ def test_best_two_fit_exchanges_the_smallest():
     assert sorted(offset[[0, 2, 3]].tolist()) in ([0, 50, 74], [0, 50, 76])
 
 
+def test_words_encoded_together_equal_words_encoded_alone(monkeypatch):
+    monkeypatch.setattr(packing, "JOINED", 5)
+    tokenizer, encode = tokenizers.Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    words = ["plain", "", "a<b", "<|startoftext|>", "x<|endoftext|>y", "", "<|", "|>", "don't", "Ünï", "e\u0301", "\u0301", "漢字かな", "🙂🙂", "12,3", "'s", "<"] * 3
+    for some in words, words[:1], ["<|startoftext|>"] * 7, [""] * 6, words[3:20]:
+        array = pa.array(["before", *some])[1:]
+        sizes, ids = encode._encoded(array)
+        want = [tokenizer.encode(w, add_special_tokens=False).ids for w in some]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+        alone = encode._alone(array)
+        assert sizes.tolist() == alone[0].tolist() and ids.tolist() == alone[1].tolist()
+
+
+def test_hashes_are_of_the_string_alone():
+    words = ["", "a", "bc", "", "漢字", "a" * 99]
+    want = {w: _hashes(pa.array([w]))[0] for w in words}
+    assert len(set(want.values())) == 5
+    for array in pa.array(words), pa.array(["x", *words])[1:], pa.array(words, pa.large_string())[2:]:
+        assert _hashes(array).tolist() == [want[w] for w in array.to_pylist()]
+
+
 def test_sequences_join_ids(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, "again")], "doc_id long, text string")
     packed = packing.pack_documents(docs, tokenizer_path(), 16)
