@@ -12,6 +12,7 @@ from sawlog.plans.queries_lines import DOC_SQL
 from sawlog.plans.views import ALERT_HISTORY_SQL, LOG_LINES_SQL, alert_history, log_lines
 from sawlog.session import checkpoint_dir
 from sawlog.sinks.alerts import append_alert_events, read_alert_events, write_alerts
+from sawlog.sinks.delivery import read_spool
 from sawlog.sinks.files import text_lines, write_all, write_ndjson, write_rotated, write_text
 from sawlog.sources.files import log_inventory, read_log_files
 from sawlog.sources.tail import log_tail, read_from_bookmark
@@ -99,9 +100,8 @@ SELECT 'webhook-' || id AS name, '{"rule":"' || rule_name || '","severity":"' ||
   || CASE WHEN count <> 0 THEN ',"count":' || count ELSE '' END || '}' AS body FROM alert_history""", ALERT_HISTORY_SQL)
 def k6_write_alerts(spark, sf_dir):
     place = _place(spark)
-    write_alerts(alert_history(spark, sf_dir), [{"kind": "webhook", "path": _local(place)}])
-    sent = spark.read.option("wholetext", "true").text(place)
-    return sent.select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("name"), F.col("value").alias("body"))
+    write_alerts(alert_history(spark, sf_dir), [{"kind": "webhook", "transport": "spool", "path": _local(place)}])
+    return read_spool(spark, place).select(F.col("id").alias("name"), "body")
 
 
 @query("k7_append_alert_events", "SELECT id, rule_name, severity, fired_at, fired_at::DATE AS fired_on FROM alert_history", ALERT_HISTORY_SQL)

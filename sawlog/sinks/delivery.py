@@ -10,10 +10,12 @@ of a body some of whose documents failed, only those are sent again.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import time
 import urllib.error
 import urllib.request
+import uuid
 import zlib
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -42,6 +44,7 @@ class DeliveryError(RuntimeError):
 @dataclass
 class Sent(WriterCommitMessage):
     count: int
+    file: str | None = None
 
 
 def retry_wait(attempt: int) -> float:
@@ -121,6 +124,43 @@ def directory_transport(options: dict) -> Send:
     return send
 
 
+class Spool:
+    """The bodies of one task in one hidden file, a line of JSON each, which is shown when the whole write has ended.
+
+    ``directory`` makes a file per body, and to list millions of them takes more memory than a driver has.
+    """
+
+    def __init__(self, options: dict):
+        os.makedirs(options["path"], exist_ok=True)
+        self.place = os.path.join(options["path"], f".{uuid.uuid4().hex}.json")
+        self.file = None
+
+    def __call__(self, body_id: str, body: str, attempt: int) -> None:
+        if not (isinstance(body_id, str) and isinstance(body, str)):
+            raise DeliveryError(f"body {body_id} or its id is not a text")
+        if self.file is None:
+            self.file = open(self.place, "w", encoding="utf-8", newline="")
+        self.file.write(json.dumps({"id": body_id, "body": body}, ensure_ascii=False) + "\n")
+
+    def close(self) -> str | None:
+        """Ends the file and tells its place, if there was a body."""
+        if self.file is None:
+            return None
+        self.file.close()
+        return self.place
+
+
+def shown(place: str) -> str:
+    """The place of a spool file once it counts."""
+    folder, name = os.path.split(place)
+    return os.path.join(folder, name.removeprefix("."))
+
+
+def read_spool(spark: SparkSession, path: str) -> DataFrame:
+    """``(id, body)`` of what is spooled in a folder. A body that was sent again, under the same id, counts once."""
+    return spark.read.schema("id string, body string").json(path).dropDuplicates(["id"])
+
+
 def replay_transport(options: dict) -> Send:
     """Bodies as files, and answers as files: what was sent in try ``n`` is ``<id>.<n>`` in ``path``, and its answer is read from ``<id>.<n>`` in ``answers``.
 
@@ -171,7 +211,7 @@ def http_transport(options: dict) -> Send:
     return send
 
 
-TRANSPORTS = {"directory": directory_transport, "http": http_transport, "replay": replay_transport}
+TRANSPORTS = {"directory": directory_transport, "spool": Spool, "http": http_transport, "replay": replay_transport}
 
 
 class _Writing:
@@ -185,23 +225,34 @@ class _Writing:
         for row in iterator:
             deliver(send, row["id"], row["body"], tries)
             count += 1
-        return Sent(count)
+        return Sent(count, send.close() if isinstance(send, Spool) else None)
+
+    def _show(self, messages) -> None:
+        """Only files of tasks that count are shown, so a task that ran twice leaves nothing twice."""
+        for sent in messages:
+            if sent is not None and sent.file is not None:
+                os.replace(sent.file, shown(sent.file))
+
+    def _drop(self, messages) -> None:
+        for sent in messages:
+            if sent is not None and sent.file is not None and os.path.exists(sent.file):
+                os.remove(sent.file)
 
 
 class DeliveryWriter(_Writing, DataSourceWriter):
     def commit(self, messages):
-        pass
+        self._show(messages)
 
     def abort(self, messages):
-        pass
+        self._drop(messages)
 
 
 class DeliveryStreamWriter(_Writing, DataSourceStreamWriter):
     def commit(self, messages, batchId):
-        pass
+        self._show(messages)
 
     def abort(self, messages, batchId):
-        pass
+        self._drop(messages)
 
 
 class DeliverySource(DataSource):

@@ -5,7 +5,7 @@ import random
 import pytest
 
 from sawlog.sinks.answers import AnswerError, read_answer
-from sawlog.sinks.delivery import DeliveryError, deliver, documents_of, send_bodies
+from sawlog.sinks.delivery import DeliveryError, deliver, documents_of, read_spool, send_bodies
 
 
 def body_of(n):
@@ -104,3 +104,18 @@ def test_replayed_answers_through_spark(spark, tmp_path):
     (answers / "two.0").write_bytes(answer_of([400]))
     with pytest.raises(Exception, match="refused"):
         send_bodies(bodies, place, tries=3)
+
+
+def test_spooled_bodies_are_a_file_a_task(spark, tmp_path):
+    """A thousand bodies in four files, whatever they hold; what is sent again counts once, and a failed write shows nothing."""
+    place = {"transport": "spool", "path": str(tmp_path / "s")}
+    rows = [(f"id-{i}", f'{{"m":"ü \\ \n {i}"}}\r\n\u2028') for i in range(1_000)]
+    bodies = spark.createDataFrame(rows, "id string, body string").repartition(4)
+    send_bodies(bodies, place)
+    assert 1 <= len(os.listdir(tmp_path / "s")) <= 4
+    send_bodies(bodies.where("id LIKE '%7'"), place)
+    assert sorted(tuple(r) for r in read_spool(spark, str(tmp_path / "s")).collect()) == sorted(rows)
+    bad = {"transport": "spool", "path": str(tmp_path / "t")}
+    with pytest.raises(Exception, match="not a text"):
+        send_bodies(spark.createDataFrame([("a", "1"), ("b", None)], "id string, body string").coalesce(1), bad)
+    assert all(name.startswith(".") for name in os.listdir(tmp_path / "t"))
