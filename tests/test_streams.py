@@ -2,11 +2,14 @@ import random
 import uuid
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from sawlog.operators.alerts import evaluate_alerts
 from sawlog.operators.collapse import collapse_repeats
+from sawlog.plans import queries_streams
 from sawlog.schema import RULE_SCHEMA
+from sawlog.streaming.processors import AlertProcessor, CollapseProcessor, HealthProcessor
 from sawlog.streaming.reload import LateRows, ReloadingAlerts
 from sawlog.streaming.streams import stream_alerts, stream_collapse
 
@@ -106,3 +109,155 @@ def test_late_rows(spark, tmp_path):
     split(at(100), 0)
     split(at(95, 80, 90), 1)
     assert (len(good), len(late)) == (2, 2)
+
+
+class _State:
+    """A state variable in memory; ``appends`` counts what a list was given."""
+
+    def __init__(self):
+        self.value, self.appends = None, 0
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value if not isinstance(self.value, list) else iter(self.value)
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendValue(self, value):
+        self.appends += 1
+        self.value = (self.value or []) + [value]
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers, self.states = set(), {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, _State())
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _processed(processor, key, batches):
+    """What comes of the frames of each micro-batch, each followed by a watermark in microseconds."""
+    handle, out = _Handle(), []
+    processor.init(handle)
+    for frames, mark in batches:
+        list(processor.handleInputRows(key, iter(frames), None))
+        due = [t for t in handle.timers if t < mark // 1000]
+        assert len(handle.timers) <= 1
+        for t in due:
+            handle.timers.discard(t)
+            for frame in processor.handleExpiredTimer(key, _At(mark // 1000), None):
+                out += list(frame.itertuples(index=False, name=None))
+    return out, handle
+
+
+def _batched(frame, rnd, parts=3, frames=5):
+    """Micro-batches in order of time, their rows shuffled and cut into frames."""
+    edges = [0, *sorted(rnd.sample(range(1, len(frame)), parts - 1)), len(frame)]
+    batches = []
+    for low, high in zip(edges, edges[1:]):
+        mixed = frame.iloc[low:high].sample(frac=1, random_state=low)
+        mark = int(frame["t"].iloc[high - 1]) - 7_000_000
+        batches.append(([mixed.iloc[i::frames].reset_index(drop=True) for i in range(frames)], mark))
+    return [*batches, ([], 2**60)]
+
+
+def _plain_alerts(rows):
+    counted, last, out = [], None, []
+    for r in rows:
+        count = 0
+        if r.rate:
+            counted = [e for e in counted if e >= r.t - r.window_us] + [r.t]
+            if len(counted) < r.need:
+                continue
+            count, counted = len(counted), []
+        if r.cooldown_us > 0:
+            if last is not None and r.t - last < r.cooldown_us:
+                continue
+            last = r.t
+        out.append(("rule", r.severity, r.message, r.source, count, r.t, r.line_id))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alert_processor_equals_a_walk_over_the_rows(seed):
+    rnd = random.Random(seed)
+    times = sorted(rnd.randrange(400) * S for _ in range(600))
+    rate, need, window, cooldown = [(True, 3, 9 * S, 0), (True, 4, 5 * S, 30 * S), (False, 1, 0, 11 * S)][seed % 3]
+    frame = pd.DataFrame({"rule_name": "rule", "t": times, "line_id": range(600), "source": [rnd.choice("xy") for _ in times], "message": "m",
+                          "severity": None, "rate": rate, "need": need, "window_us": window, "cooldown_us": cooldown})
+    frame.loc[400:, "need"] = 2  # the rule is changed while rows wait
+    frame.loc[400:, "window_us"] = 3 * S
+    got, handle = _processed(AlertProcessor(), ("rule",), _batched(frame, rnd))
+    assert got == _plain_alerts(frame.sort_values(["t", "line_id"]).itertuples(index=False))
+    # One addition to the state for a micro-batch, not one for each row.
+    assert handle.states["pending"].appends == 3 and not handle.states["pending"].exists()
+
+
+def _plain_health(rows, changes):
+    known, out = None, []
+    for r in rows:
+        if r.kind == "register":
+            known = ("starting", None, 0, r.t)
+        else:
+            old, error, errors, start = known or ("", None, 0, r.t)
+            if changes and old != r.status:
+                out.append(("svc", r.t, r.seq, old, r.status))
+            failed = r.error is not None
+            known = (r.status, r.error if failed else error, errors + failed, start)
+        if not changes:
+            out.append(("svc", r.t, r.seq, *known))
+    return out
+
+
+@pytest.mark.parametrize("changes", [True, False])
+@pytest.mark.parametrize("seed", range(3))
+def test_health_processor_equals_a_walk_over_the_rows(seed, changes):
+    rnd = random.Random(seed)
+    times = sorted(rnd.randrange(300) * S for _ in range(200))
+    kinds = [rnd.choice(["register"] + ["status"] * 9) for _ in times]
+    frame = pd.DataFrame({"source": "svc", "t": times, "seq": range(200), "kind": kinds,
+                          "status": pd.Series([rnd.choice(["ok", "bad", None]) for _ in times], dtype=object),
+                          "error": pd.Series([rnd.choice(["e1", "e2", None, None]) for _ in times], dtype=object)})
+    got, handle = _processed(HealthProcessor(changes), ("svc",), _batched(frame, rnd))
+    assert got == _plain_health(frame.itertuples(index=False), changes)
+    assert handle.states["pending"].appends == 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_collapse_processor_equals_a_walk_over_the_rows(seed):
+    rnd = random.Random(seed)
+    times = sorted(rnd.randrange(500) * S for _ in range(300))
+    frame = pd.DataFrame({"t": times, "line_id": range(300)})
+    want = []
+    for r in frame.itertuples(index=False):
+        if want and r.t <= want[-1][2] + 9 * S:
+            want[-1] = (want[-1][0], want[-1][1] + 1, want[-1][2], r.t)
+        else:
+            want.append((r.line_id, 1, r.t, r.t))
+    got, handle = _processed(CollapseProcessor(9 * S), ("s", "l", "m"), _batched(frame, rnd))
+    assert [g[3:] for g in got] == want and handle.states["pending"].appends == 3
