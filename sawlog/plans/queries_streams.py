@@ -3,11 +3,11 @@
 The input comes in three micro-batches or more, in order of time.
 """
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sawlog.functions.times import micros
 from sawlog.operators.metrics import logs_total
 from sawlog.plans.catalog import query
 from sawlog.plans.queries_alerts import ALERT_VIEWS, DURATION_SQL
@@ -24,6 +24,7 @@ from sawlog.streaming.streams import (
 
 DELAY = "1 hour"
 ROWS_PER_BATCH = 1_000_000
+LEAST_ROWS_PER_FILE = 20_000
 
 
 def _place(spark: SparkSession) -> str:
@@ -33,7 +34,8 @@ def _place(spark: SparkSession) -> str:
 class _StreamingReads:
     """Stands in for the session so that the table views read as streams.
 
-    A table is laid out in slices of time, one file each, and read a file at a time.
+    A table is laid out once, in files of successive slices of time, and as many files are read at a time as there are
+    cores, at most ``ROWS_PER_BATCH`` rows or so.
     """
 
     def __init__(self, spark: SparkSession):
@@ -44,14 +46,23 @@ class _StreamingReads:
     def parquet(self, path: str) -> DataFrame:
         folder, name = path.rsplit("/", 1)
         rows, place = table(self.spark, folder, name.removesuffix(".parquet")), f"{_place(self.spark)}/in"
-        at = micros("ts")
-        slices = max(3, -(-rows.count() // ROWS_PER_BATCH))
-        cuts = rows.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 100_000).alias("c")).first().c or []
-        for low, high in zip([None, *cuts], [*cuts, None]):
-            # Rows without a time come first.
-            inside = (at.isNull() if low is None else at >= low) if high is None else at.isNull() | (at < high) if low is None else (at >= low) & (at < high)
-            rows.where(inside).coalesce(1).write.mode("append").parquet(place)
-        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+        count = rows.count()
+        batches = max(3, -(-count // ROWS_PER_BATCH))
+        together = max(1, min(self.spark.sparkContext.defaultParallelism, count // batches // LEAST_ROWS_PER_FILE))
+        # Rows without a time come first.
+        rows.repartitionByRange(batches * together, F.col("ts").asc_nulls_first()).write.parquet(place)
+        in_turn(self.spark, place)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", together).parquet(place)
+
+
+def in_turn(spark: SparkSession, place: str) -> None:
+    """Date the files of a folder a second apart in the order of their names, which is the order a file stream reads them in."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(place)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+    first = int(time.time()) - len(files)
+    for no, file in enumerate(files):
+        fs.setTimes(file, (first + no) * 1000, -1)
 
 
 @query("r1_stream_parse", """

@@ -261,3 +261,20 @@ def test_collapse_processor_equals_a_walk_over_the_rows(seed):
             want.append((r.line_id, 1, r.t, r.t))
     got, handle = _processed(CollapseProcessor(9 * S), ("s", "l", "m"), _batched(frame, rnd))
     assert [g[3:] for g in got] == want and handle.states["pending"].appends == 3
+
+
+def test_stream_input_is_laid_out_in_order_of_time(spark, tmp_path, monkeypatch):
+    """Several files make a micro-batch, so that a batch is not one task's work, and no row is later than one of a file after it."""
+    monkeypatch.setattr(queries_streams, "ROWS_PER_BATCH", 100)
+    monkeypatch.setattr(queries_streams, "LEAST_ROWS_PER_FILE", 10)
+    rnd = random.Random(1)
+    rows = [(i, None if i % 50 == 0 else T0 + timedelta(seconds=rnd.randrange(10_000))) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    seen = []
+    stream = queries_streams._StreamingReads(spark).parquet(str(tmp_path / "events.parquet"))
+    writer = stream.writeStream.foreachBatch(lambda d, no: seen.append((d.rdd.getNumPartitions(), [tuple(r) for r in d.collect()])))
+    writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(seen) >= 3 and sorted((r for _, batch in seen for r in batch), key=repr) == sorted(rows, key=repr)
+    assert max(parts for parts, _ in seen) > 1
+    spans = [[t or datetime.min for _, t in batch] for _, batch in seen if batch]
+    assert all(max(a) <= min(b) for a, b in zip(spans, spans[1:]))
