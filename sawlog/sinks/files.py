@@ -36,6 +36,42 @@ def write_ndjson(df: DataFrame, path: str, mode: str = "append") -> None:
     df.select(ndjson_column(df).alias("value")).write.mode(mode).text(path)
 
 
+# Files of up to this many bytes are put together in memory, as single records; a task holds no more than HELD_BYTES of them open.
+WHOLE_BYTES, HELD_BYTES = 1 << 20, 64 << 20
+
+
+def _whole(max_bytes: int):
+    """Puts the lines of each task and day together to the contents of files, none over ``max_bytes`` but that of a single line."""
+
+    def run(batches):
+        held: dict = {}  # day: its size, its lines
+        total = 0
+        for batch in batches:
+            days, values = [], []
+            for day, size, value in zip(*(batch.column(c).to_pylist() for c in ("day", "size", "value"))):
+                filled, lines = held.get(day, (0, []))
+                if filled and filled + size > max_bytes:
+                    days.append(day)
+                    values.append("\n".join(lines))
+                    total -= filled
+                    filled, lines = 0, []
+                lines.append(value)
+                held[day] = (filled + size, lines)
+                total += size
+            if total > HELD_BYTES:
+                days += held
+                values += ["\n".join(lines) for _, lines in held.values()]
+                held, total = {}, 0
+            yield _records(values, days)
+        yield _records(["\n".join(lines) for _, lines in held.values()], list(held))
+
+    return run
+
+
+def _records(values: list, days: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, pa.string()), pa.array(days, pa.date32())], ["value", "day"])
+
+
 def _rolled(max_bytes: int):
     """Numbers the files of each task and day, so that no file but one of a single line is over ``max_bytes``."""
 
@@ -61,18 +97,22 @@ def write_rotated(
 ) -> None:
     """Formatted lines in files by day, rolled by size; days past ``max_age`` are dropped afterwards.
 
-    With ``max_bytes`` the files of a day are in folders ``roll=...``; no file is larger before compression, unless
-    a single line is. The lines are computed once.
+    With ``max_bytes`` no file is larger before compression, unless a single line is. Small files (up to ``WHOLE_BYTES``) are many, so each is
+    written as one record and lies in the folder of its day; larger ones are in folders ``roll=...`` of it. The lines are computed once.
     """
     dated = df.select(
         format_line(F.col("ts"), F.col("source"), F.col("level"), F.col("message")).alias("value"),
         F.to_date("ts").alias("day"),
     )
-    parts = ["day"]
-    if max_bytes > 0:
-        sized = dated.withColumn("size", F.octet_length("value") + 1)
-        dated, parts = sized.mapInArrow(_rolled(max_bytes), "value string, day date, roll string"), ["day", "roll"]
-    writer = dated.write.mode("append").partitionBy(*parts)
+    sized = dated.withColumn("size", F.octet_length("value") + 1)
+    if 0 < max_bytes <= WHOLE_BYTES:
+        records = sized.mapInArrow(_whole(max_bytes), "value string, day date")
+        writer = records.write.option("maxRecordsPerFile", 1).partitionBy("day")
+    elif max_bytes > 0:
+        writer = sized.mapInArrow(_rolled(max_bytes), "value string, day date, roll string").write.partitionBy("day", "roll")
+    else:
+        writer = dated.write.partitionBy("day")
+    writer = writer.mode("append")
     if compress:
         writer = writer.option("compression", "gzip")
     writer.text(path)

@@ -2,13 +2,15 @@ import gzip
 import json
 import os
 import re
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sawlog.functions.regexes import RegexError, translate_regex
 from sawlog.operators.history import purge_stored
+from sawlog.sinks import files
 from sawlog.sinks.alerts import known_events, append_alert_events, write_alerts
 from sawlog.sinks.delivery import DeliveryError, check_response, deliver, retry_wait, write_bulk, write_webhook
 from sawlog.sinks.files import write_all, write_ndjson, write_rotated, write_text
@@ -143,6 +145,28 @@ def test_rotation_with_uneven_lines(spark, tmp_path):
     assert max(sizes) <= 400 and spark.read.text(str(tmp_path / "r")).count() == 300
 
 
+def test_small_rotated_files_share_the_folder_of_their_day(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1 + i % 3), "info", f"m{i} " + "é" * (i % 40), "s") for i in range(3_000)]
+    frame = spark.createDataFrame(rows, "line_id long, ts timestamp, level string, message string, source string")
+    write_rotated(frame.coalesce(2), str(tmp_path / "r"), max_bytes=400)
+    found = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "r") for f in names if f.startswith("part-")]
+    assert {os.path.relpath(os.path.dirname(f), tmp_path / "r") for f in found} == {f"day=2024-01-0{day}" for day in (1, 2, 3)}
+    # No file is over the limit, and none is closed while the next line of its task and day fits.
+    assert max(map(os.path.getsize, found)) <= 400 and sum(os.path.getsize(f) < 270 for f in found) <= 6
+    back = sorted((str(r.day), r.value) for r in spark.read.text(str(tmp_path / "r")).collect())
+    assert back == sorted((f"2024-01-0{1 + i % 3}", f"[2024-01-0{1 + i % 3} 00:00:00] [s] INFO: {row[3]}") for i, row in enumerate(rows))
+
+
+def test_open_rotated_files_are_bounded(monkeypatch):
+    monkeypatch.setattr(files, "HELD_BYTES", 1_000)
+    days = pa.array([date(2024, 1, 1 + i % 25) for i in range(100)], pa.date32())
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:099d}" for i in range(100)]), days, pa.array([100] * 100)], ["value", "day", "size"])
+    out = list(files._whole(100_000)(iter([batch.slice(at, 10) for at in range(0, 100, 10)])))
+    lines = [line for part in out for value in part.column("value").to_pylist() for line in value.split("\n")]
+    assert sorted(lines) == sorted(batch.column("value").to_pylist())
+    assert max(sum(map(len, part.column("value").to_pylist())) for part in out) <= 2_000
+
+
 def test_bulk_and_webhook_delivery(spark, lines, tmp_path):
     write_bulk(lines, "logs-%{+YYYY}", {"path": str(tmp_path / "bulk")}, size=10)
     write_bulk(lines, "logs-%{+YYYY}", {"path": str(tmp_path / "bulk")}, size=10)
