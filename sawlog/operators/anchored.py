@@ -141,6 +141,27 @@ def _past(p: np.ndarray, lo: np.ndarray, hi: np.ndarray, limit: np.ndarray) -> n
         hi = np.where(unsure & ~inside, mid, hi)
 
 
+def _ends_of_chains(follower: np.ndarray) -> np.ndarray:
+    """Where the chain of each row ends, a row that follows itself; steps double, so a long chain takes few rounds."""
+    while True:
+        twice = follower[follower]
+        if np.array_equal(twice, follower):
+            return follower
+        follower = twice
+
+
+def _chained_from(starts: np.ndarray, follower: np.ndarray) -> np.ndarray:
+    """The rows on the chains of ``starts``, in order; steps double here too."""
+    reached = np.zeros(len(follower), dtype=bool)
+    reached[starts] = True
+    while True:
+        reached[follower[np.flatnonzero(reached)]] = True
+        twice = follower[follower]
+        if np.array_equal(twice, follower):
+            return np.flatnonzero(reached)
+        follower = twice
+
+
 def _streaming(group: list[str], step):
     """Run ``step`` chunk by chunk over partitions sorted by group.
 
@@ -186,14 +207,10 @@ def _block_outcomes(table: pa.Table, starts: np.ndarray, kept: int) -> tuple[pa.
     same_group[starts] = False
     is_entry |= same_group & (before <= edge)
     entry = np.flatnonzero(is_entry)
-    at, limit = entry.copy(), group_end[entry]
-    while True:
-        # Anchors kept from before all lie ahead of the rows of this chunk.
-        ahead = _past(p, np.minimum(np.maximum(at + 1, kept), limit), limit, p[at] + w[at])
-        moves = ahead < limit
-        if not moves.any():
-            break
-        at = np.where(moves, ahead, at)
+    place = np.arange(len(p))
+    # Anchors kept from before all lie ahead of the rows of this chunk.
+    ahead = _past(p, np.minimum(np.maximum(place + 1, kept), group_end), group_end, p + w)
+    at = _ends_of_chains(np.where(ahead < group_end, ahead, place))[entry]
     # Neighbours that end at one anchor form a run; the last one names it.
     group_of = np.searchsorted(starts, entry, "right")
     last_of_run = np.append((p[at][1:] != p[at][:-1]) | (group_of[1:] != group_of[:-1]), True)
@@ -244,17 +261,11 @@ def _block_windows(table: pa.Table, starts: np.ndarray, kept: int) -> tuple[pa.T
     """Walk each group from its first row; rows become windows, the last one still open."""
     p, w, n, last = (_longs(table, c) for c in ("p", "w", "n", "last"))
     sums = np.concatenate([[0], np.cumsum(n)])
-    at, limit = starts.copy(), np.append(starts[1:], len(p))
-    anchors, ends = [], []
-    while len(at):
-        ahead = _past(p, at + 1, limit, p[at] + w[at])
-        anchors.append(at)
-        ends.append(ahead)
-        more = ahead < limit
-        at, limit = ahead[more], limit[more]
-    anchor, end = np.concatenate(anchors), np.concatenate(ends)
-    order = np.argsort(anchor, kind="stable")
-    anchor, end = anchor[order], end[order]
+    group_end = np.repeat(np.append(starts[1:], len(p)), np.diff(np.append(starts, len(p))))
+    place = np.arange(len(p))
+    ahead = _past(p, place + 1, group_end, p + w)
+    anchor = _chained_from(starts, np.where(ahead < group_end, ahead, place))
+    end = ahead[anchor]
     out = table.take(pa.array(anchor)).combine_chunks()
     out = _replaced(_replaced(out, "n", sums[end] - sums[anchor]), "last", last[end - 1])
     return out, out.num_rows - 1

@@ -168,3 +168,13 @@ def test_bad_rule_rejects_the_set(spark, rule):
     with pytest.raises(ValueError):
         match_rules(_lines(spark, [("s", "info", "m", 0)]), _rules(spark, rule))
     assert issubclass(RuleError, ValueError) and F
+
+
+def test_long_chains_take_few_rounds(monkeypatch):
+    """A block of many windows is not walked window by window: places are looked up once a chunk."""
+    rounds, past = [], anchored._past
+    monkeypatch.setattr(anchored, "_past", lambda *a: rounds.append(1) or past(*a))
+    points = {"a": [(i, 1) for i in range(6_000)], "b": [(3 * i + i % 2, 2) for i in range(2_000)]}
+    found = by_parts(points, 2, 2_000, 4_000, monkeypatch)
+    assert found == sorted((k, *w) for k, ps in points.items() for w in scan(ps, 2))
+    assert len(rounds) < 20
