@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
@@ -7,7 +8,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from sawlog.llm import near_duplicates, packing, repeated_bytes, repeated_words, secrets
-from sawlog.llm.common import _hashes
+from sawlog.llm.common import _hashes, stored
 from sawlog.llm.decontamination import contamination
 from sawlog.llm.op2 import tokenizer_path
 from tests.llm import brute
@@ -269,3 +270,34 @@ def test_clean_texts_are_left_alone(spark):
 def test_tokenizer_folder_is_a_parameter(monkeypatch, tmp_path):
     monkeypatch.setenv("TOKENIZER_DIR", str(tmp_path))
     assert tokenizer_path() == os.path.join(tmp_path, "word_bpe_49k.json")
+
+
+def test_repeated_bytes_holds_slices_of_a_batch():
+    rng = random.Random(5)
+    batch = pa.RecordBatch.from_pydict({
+        "id": list(range(2_000)), "tag": [0] * 2_000, "digest": ["d"] * 2_000, "doc_id": list(range(2_000)),
+        "text": ["".join(rng.choices("abcdef ", k=2_500)) for _ in range(2_000)]})
+    tracemalloc.start()
+    try:
+        rows = sum(out.num_rows for out in repeated_bytes._scan(400)([batch]))
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert rows == 2_000 and peak < 30e6
+
+
+def test_stored_hands_few_rows_to_arrow_functions(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    sent = lambda **o: {r.n for r in stored(spark.range(0, 500, 1, 1).mapInArrow(sizes, "n long"), **o).collect()}
+    assert sent() == {500} and sent(arrow_rows=100) == {100} and spark.conf.get(key) == before
+    try:
+        spark.conf.set(key, "50")
+        assert sent(arrow_rows=100) == {50}
+    finally:
+        spark.conf.set(key, before)
