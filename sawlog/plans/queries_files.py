@@ -1,5 +1,6 @@
 """Round trips of the test tables through files: sources and sinks."""
 
+import functools
 import time
 import uuid
 
@@ -18,6 +19,9 @@ from sawlog.sources.files import log_inventory, read_log_files
 from sawlog.sources.tail import log_tail, read_from_bookmark
 from sawlog.streaming.reload import LateRows
 
+STREAMS = 8  # of the tail source that run at a time
+LINES_PER_STREAM = 50_000  # at least
+
 TEXT_SQL = """'[' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '] [' || source || '] ' || upper(level) || ': ' || message"""
 
 
@@ -36,6 +40,15 @@ def _log_files(spark: SparkSession, sf_dir: str) -> str:
     return place
 
 
+def _log_folders(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The lines dealt evenly into folders of log files, the more the more lines there are, up to one for each core and ``STREAMS``."""
+    lines, place = log_lines(spark, sf_dir), _place(spark)
+    streams = max(1, min(STREAMS, spark.sparkContext.defaultParallelism, lines.count() // LINES_PER_STREAM))
+    dealt = text_lines(lines).withColumn("folder", F.monotonically_increasing_id() % streams)
+    dealt.write.partitionBy("folder").text(place)
+    return [f"{place}/folder={no}" for no in range(streams)]
+
+
 @query("s1_read_log_files", f"SELECT {TEXT_SQL} AS raw, false AS truncated, count(*) AS n FROM log_lines GROUP BY ALL", LOG_LINES_SQL)
 def s1_read_log_files(spark, sf_dir):
     lines = read_log_files(spark, f"{_log_files(spark, sf_dir)}/*.txt", "app")
@@ -44,17 +57,25 @@ def s1_read_log_files(spark, sf_dir):
 
 @query("s2_log_tail", f"SELECT {TEXT_SQL} AS raw, count(*) AS n FROM log_lines GROUP BY ALL", LOG_LINES_SQL)
 def s2_log_tail(spark, sf_dir):
-    source, out = _local(_log_files(spark, sf_dir)), _place(spark)
-    stream = log_tail(spark, f"{source}/*.txt", max_bytes=200_000).select("raw")
-    running = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").start(f"{out}/out")
-    # Batches are bounded, so what is available is not read in one: go on until the offsets stand still.
-    before, now = None, ""
-    while before != now:
-        running.processAllAvailable()
-        time.sleep(1)
-        before, now = now, (running.lastProgress or {}).get("sources", [{}])[0].get("endOffset")
-    running.stop()
-    return spark.read.parquet(f"{out}/out").groupBy("raw").agg(F.count("*").alias("n"))
+    folders, out, running = _log_folders(spark, sf_dir), _place(spark), []
+    try:
+        for no, folder in enumerate(folders):
+            stream = log_tail(spark, f"{_local(folder)}/*.txt", max_bytes=200_000).select("raw")
+            writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state-{no}")
+            running.append(writer.start(f"{out}/out-{no}"))
+        # Batches are bounded, so what is available is not read in one: go on until the offsets stand still.
+        before, now = None, []
+        while before != now:
+            for one in running:
+                one.processAllAvailable()
+            time.sleep(1)
+            before, now = now, [(one.lastProgress or {}).get("sources", [{}])[0].get("endOffset") for one in running]
+    finally:
+        for one in running:
+            one.stop()
+    # Each folder by itself, so that the log of its stream tells which files count.
+    read = [spark.read.schema("raw string").parquet(f"{out}/out-{no}") for no in range(len(folders))]
+    return functools.reduce(DataFrame.unionByName, read).groupBy("raw").agg(F.count("*").alias("n"))
 
 
 @query("s3_read_from_bookmark", f"SELECT {TEXT_SQL} AS raw, count(*) AS n FROM log_lines GROUP BY ALL", LOG_LINES_SQL)

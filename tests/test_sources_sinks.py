@@ -2,6 +2,7 @@ import gzip
 import json
 import os
 import re
+from collections import Counter
 from datetime import date, datetime, timezone
 
 import pyarrow as pa
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 
 from sawlog.functions.regexes import RegexError, translate_regex
 from sawlog.operators.history import purge_stored
+from sawlog.plans import queries_files
+from sawlog.plans.views import log_lines
 from sawlog.sinks import files
 from sawlog.sinks.alerts import known_events, append_alert_events, write_alerts
 from sawlog.sinks.delivery import DeliveryError, check_response, deliver, retry_wait, write_bulk, write_webhook
-from sawlog.sinks.files import write_all, write_ndjson, write_rotated, write_text
+from sawlog.sinks.files import text_lines, write_all, write_ndjson, write_rotated, write_text
 from sawlog.sources.files import log_inventory, read_log_files
 from sawlog.sources.tail import FORMAT, TailStreamReader, register, log_tail, read_from_bookmark
 
@@ -85,6 +88,31 @@ def test_tail_stream_appends_and_rotation(spark, tmp_path):
     assert run()[-2:] == ["three", "two"] and "six" in run()
 
 
+def test_log_tail_query_follows_folders_side_by_side(spark, tmp_path, monkeypatch):
+    rows = spark.range(3_000).selectExpr("id AS event_id", "id % 7 AS user_id", "IF(id % 5 = 0, 'error', 'view') AS event_type",
+                                         "timestamp_seconds(1700000000 + id DIV 100) AS ts")
+    rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    followed = []
+
+    def tail(spark, path, **options):
+        followed.append((path, options, len(spark.streams.active)))
+        return log_tail(spark, path, **options)
+
+    monkeypatch.setattr(queries_files, "log_tail", tail)
+    monkeypatch.setattr(queries_files, "LINES_PER_STREAM", 1_000, raising=False)
+    before = len(spark.streams.active)
+    got = {r.raw: r.n for r in queries_files.s2_log_tail(spark, str(tmp_path)).collect()}
+    want = Counter(r.value for r in text_lines(log_lines(spark, str(tmp_path))).collect())
+    assert got == want and sum(got.values()) == 3_000
+    many = min(3, spark.sparkContext.defaultParallelism)
+    assert len({path for path, _, _ in followed}) == len(followed) == many
+    assert [active - before for _, _, active in followed] == list(range(many))
+    assert all(options == {"max_bytes": 200_000} for _, options, _ in followed)
+    assert len(spark.streams.active) == before
+    rows.limit(0).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "none" / "events.parquet"))
+    assert queries_files.s2_log_tail(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_planned_bytes_are_never_dropped(tmp_path):
     log = tmp_path / "p.log"
     log.write_text("one\ntwo\n")
