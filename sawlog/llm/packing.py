@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, functions as F
 from sawlog.llm.common import Seen, pieces, stored
 
 GROUP = 100_000  # pieces packed in one task
-CACHE = 1_500_000  # words whose ids a worker remembers
-SLICE = 4 << 20  # bytes of text tokenized at once
+CACHE = 300_000  # words whose ids a worker remembers
+TEXTS = 1_000  # rows that a task is handed together
+SLICE = 2 << 20  # bytes of text tokenized at once
 JOINED = 32  # words that the tokenizer gets in one text
-ENCODED = 20_000  # new words encoded at once, as what the tokenizer returns is large
+ENCODED = 5_000  # new words encoded at once, as what the tokenizer returns is large
 LONG = 10_000  # characters beyond which a word is not remembered
 SHIFT = 33  # bits of a sequence number below its group
 
@@ -38,7 +39,7 @@ class WordIds:
 
     For tokenizers that put texts into composed lower case, split at white space first and then between letters and other
     characters: there a text's ids are those of its words in turn. Words are told apart once per batch, and ids of words are remembered
-    from batch to batch, at most ``CACHE``. Plain texts are put into lower case before, and their full stops and commas taken off, as the tokenizer does
+    from batch to batch, at most ``CACHE``, those met again before others. Plain texts are put into lower case before, and their full stops and commas taken off, as the tokenizer does
     itself; that leaves fewer words.
     """
 
@@ -93,9 +94,11 @@ class WordIds:
         lists = self._words(texts)
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary, np.asarray(coded.indices)
-        at, new, forgotten = self.seen.numbers(words)
-        if forgotten:
-            self.sizes, self.ids = self.sizes[:0], self.ids[:0]
+        at, new, kept = self.seen.numbers(words)
+        if kept is not None:
+            staying = np.zeros(len(self.sizes), bool)
+            staying[kept] = True
+            self.ids, self.sizes = self.ids[np.repeat(staying, self.sizes)], self.sizes[kept]
         fresh, longest = words.take(pa.array(new)), 0
         for at_once in range(0, len(new), ENCODED):
             some = fresh.slice(at_once, ENCODED)
@@ -244,7 +247,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     packed, repeated rows too; a null ``doc_id`` stays null; other columns are not read. With ``digest``, ids are summed up at
     once and never shuffled; without, they travel with their pieces.
     """
-    return packed(stored(tokenized(docs, path, capacity, end_id, digest)), capacity)
+    return packed(stored(tokenized(docs, path, capacity, end_id, digest), TEXTS), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -82,9 +82,9 @@ class Reader:
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words, codes = coded.dictionary, np.asarray(coded.indices)
-        at, new, forgotten = self.seen.numbers(words)
-        if forgotten:
-            self.kinds = self.kinds[:0]
+        at, new, kept = self.seen.numbers(words)
+        if kept is not None:
+            self.kinds = self.kinds[kept]
         fresh = np.zeros((len(new), 6), np.float32)
         for i, word in enumerate(words.take(pa.array(new)).to_pylist()):
             if (kind := self._kind(word)) is not None:

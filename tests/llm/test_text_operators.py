@@ -8,7 +8,7 @@ import tokenizers
 from pyspark.sql import functions as F
 
 from sawlog.llm import near_duplicates, packing, repeated_bytes, repeated_words, secrets
-from sawlog.llm.common import _hashes, stored
+from sawlog.llm.common import Seen, _hashes, stored
 from sawlog.llm.decontamination import contamination
 from sawlog.llm.op2 import tokenizer_path
 from tests.llm import brute
@@ -214,6 +214,31 @@ def test_word_ids_after_forgetting(monkeypatch):
         assert ids.tolist() == tokenizer.encode(text, add_special_tokens=False).ids and upto.tolist() == [len(ids)]
 
 
+def test_words_met_again_are_not_forgotten():
+    seen, common = Seen(20), ["the", "of", "and"]
+    for i in range(30):
+        words = pa.array([*common, *(f"w{i}_{k}" for k in range(5))])
+        at, new, _ = seen.numbers(words)
+        assert seen.words.take(pa.array(at)).equals(words) and len(seen.words) <= 20
+        assert new.tolist() == list(range(0 if i == 0 else 3, 8))
+    at, new, kept = seen.numbers(pa.array([f"v{k}" for k in range(20)]))
+    assert len(kept) == 0 and new.tolist() == at.tolist() == list(range(20))
+
+
+def test_word_memory_stays_small():
+    """Twenty batches of words that come once, besides some that always come."""
+    encode = packing.WordIds(tokenizer_path())
+    tracemalloc.start()
+    try:
+        for i in range(20):
+            encode(pa.array(["the same words " + " ".join(f"{k * 7919 % 1_000_003:x}q" for k in range(i * 25_000, (i + 1) * 25_000))]))
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert len(encode.seen.words) <= 300_000 and peak < 28e6
+    assert encode(pa.array(["the same words"]))[0].tolist() == encode.tokenizer.encode("the same words", add_special_tokens=False).ids
+
+
 def test_best_two_fit_exchanges_the_smallest():
     """50 + 30 leaves 20; 30 gives way to 26 + 24, which fill the bin."""
     import numpy as np
