@@ -272,9 +272,13 @@ def after_cooldown(t: np.ndarray, cooldown_us: int, last: int | None) -> tuple[n
 
 
 class HealthProcessor(OrderedProcessor):
-    """State of one source: its changes, or its state after each event."""
+    """State of the sources of one shard: their changes, or a source's state after each of its events.
 
-    pending_types = {"t": "int64", "seq": "int64", "kind": "string", "status": "string", "error": "string"}
+    Sources are a column, not the key: state is read and written once for a shard, whatever the number of its sources.
+    """
+
+    pending_types = {"t": "int64", "seq": "int64", "source": "string", "kind": "string", "status": "string", "error": "string"}
+    known_types = {"source": "string", "status": "string", "last_error": "string", "errors": "int64", "start": "int64"}
 
     def __init__(self, changes: bool):
         self.changes = changes
@@ -284,32 +288,48 @@ class HealthProcessor(OrderedProcessor):
         )
 
     def open_states(self, handle):
-        self.state = handle.getValueState(
-            "state", "status string, last_error string, error_count bigint, start_us bigint"
-        )
+        self.state = handle.getValueState("state", "sources binary")
+        self.known_schema = pa.schema([(name, pa.type_for_alias(kind)) for name, kind in self.known_types.items()])
 
     def step(self, key, rows, watermark_us):
         if not len(rows):
             return []
-        known = self.state.get()
-        t, seq, kind, status, error = (rows[c].to_numpy() for c in self.pending_types)
-        old, last_error, errors, start = known or ("", None, 0, int(t[0]))
+        held = self.state.get()
+        known = _unpacked([held[0]]) if held else self.known_schema.empty_table().to_pandas()
+        # What is known comes first, so its sources have the numbers of its rows.
+        numbers, names = pd.factorize(pd.concat([known["source"], rows["source"]], ignore_index=True), use_na_sentinel=False)
+        order = np.argsort(numbers[len(known):], kind="stable")  # a source's rows together, still in order of time
+        of = numbers[len(known):][order]
+        t, seq, source, kind, status, error = (rows[c].to_numpy()[order] for c in self.pending_types)
         places = np.arange(len(t))
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        head = np.maximum.accumulate(np.where(first, places, 0))
+        fresh = len(names) - len(known)
+        old = np.concatenate([known["status"].to_numpy(dtype=object), np.full(fresh, "", dtype=object)])
+        last_error = np.concatenate([known["last_error"].to_numpy(dtype=object), np.full(fresh, None, dtype=object)])
+        errors = np.concatenate([known["errors"].to_numpy(), np.zeros(fresh, dtype=np.int64)])
+        start = np.concatenate([known["start"].to_numpy(), np.zeros(fresh, dtype=np.int64)])
+        new = first & (of >= len(known))
+        start[of[new]] = t[new]
         registers = kind == "register"
         failed = ~registers & ~pd.isna(error)
         status = np.where(pd.isna(status), None, status)
         status = np.where(registers, "starting", status)
-        before = np.concatenate([np.array([old], dtype=object), status[:-1]])
-        # Each row counts from the last registration, or from what was known.
+        before = np.concatenate([[None], status[:-1]])
+        before[first] = old[of[first]]
+        # Each row counts from the last registration of its source, or from what was known.
         begun = np.maximum.accumulate(np.where(registers, places, -1))
+        anew = begun >= head
         total = np.cumsum(failed)
-        counts = np.where(begun >= 0, total - total[begun], total + int(errors))
+        counts = np.where(anew, total - total[begun], total - total[head] + failed[head] + errors[of])
         told = np.maximum.accumulate(np.where(failed, places, -1))
-        none = np.where(begun >= 0, None, np.array([last_error], dtype=object))
-        texts = np.where(told > begun, error[told], none)
-        starts = np.where(begun >= 0, t[begun], int(start))
-        self.state.update((status[-1], texts[-1], int(counts[-1]), int(starts[-1])))
+        texts = np.where((told >= head) & (told > begun), error[told], np.where(anew, None, last_error[of]))
+        starts = np.where(anew, t[begun], start[of])
+        last = np.concatenate([first[1:], [True]])
+        for kept, values in ((old, status), (last_error, texts), (errors, counts), (start, starts)):
+            kept[of[last]] = values[last]
+        self.state.update((_packed(pd.DataFrame(dict(zip(self.known_types, (names, old, last_error, errors, start)))), self.known_schema),))
         if self.changes:
             out = ~registers & (before != status)
-            return [[key[0]] * int(out.sum()), t[out], seq[out], before[out], status[out]]
-        return [[key[0]] * len(t), t, seq, status, texts, counts, starts]
+            return [source[out], t[out], seq[out], before[out], status[out]]
+        return [source, t, seq, status, texts, counts, starts]

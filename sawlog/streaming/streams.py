@@ -22,6 +22,7 @@ from sawlog.streaming.processors import AlertProcessor, CollapseProcessor, Healt
 DEFAULT_DELAY = "10 seconds"
 GAUGE_INTERVAL = "15 seconds"
 FLUSH_INTERVAL = "5 seconds"
+HEALTH_SHARDS = 256  # of the sources; a checkpoint keeps to it
 
 
 def _check_state_store(spark: SparkSession) -> None:
@@ -107,12 +108,14 @@ def stream_cooldown(lines: DataFrame, rules: DataFrame, time_col: str = "ts", de
 
 
 def _health_rows(events: DataFrame, delay: str) -> DataFrame:
-    return _timed(events, "ts", delay).select("source", "t", "seq", "kind", "status", "error", "ts")
+    """Events under the number of their source's shard: a call of the processor costs some milliseconds, too dear for each source."""
+    shard = F.pmod(F.xxhash64("source"), F.lit(HEALTH_SHARDS)).alias("shard")
+    return _timed(events, "ts", delay).select(shard, "source", "t", "seq", "kind", "status", "error", "ts")
 
 
 def stream_health_transitions(events: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     schema = "source string, at_us bigint, seq bigint, old_status string, new_status string"
-    out = _run(_health_rows(events, delay), ["source"], HealthProcessor(changes=True), schema)
+    out = _run(_health_rows(events, delay), ["shard"], HealthProcessor(changes=True), schema)
     return out.select(
         "source", F.timestamp_micros("at_us").alias("ts"), "seq", "old_status", "new_status",
         F.concat(
@@ -126,7 +129,7 @@ def stream_health(events: DataFrame, delay: str = DEFAULT_DELAY) -> DataFrame:
     schema = (
         "source string, at_us bigint, seq bigint, status string, last_error string, error_count bigint, start_us bigint"
     )
-    out = _run(_health_rows(events, delay), ["source"], HealthProcessor(changes=False), schema)
+    out = _run(_health_rows(events, delay), ["shard"], HealthProcessor(changes=False), schema)
     return out.select(
         "source", "status", "last_error", F.timestamp_micros("at_us").alias("last_update"), "seq", "error_count",
         F.timestamp_micros("start_us").alias("start_time"),

@@ -9,6 +9,7 @@ from sawlog.operators.alerts import evaluate_alerts
 from sawlog.operators.collapse import collapse_repeats
 from sawlog.plans import queries_streams
 from sawlog.schema import RULE_SCHEMA
+from sawlog.streaming import streams
 from sawlog.streaming.processors import AlertProcessor, CollapseProcessor, HealthProcessor
 from sawlog.streaming.reload import LateRows, ReloadingAlerts
 from sawlog.streaming.streams import stream_alerts, stream_collapse
@@ -248,6 +249,32 @@ def test_health_processor_equals_a_walk_over_the_rows(seed, changes):
     assert handle.states["pending"].appends == 3
 
 
+@pytest.mark.parametrize("changes", [True, False])
+@pytest.mark.parametrize("seed", range(3))
+def test_health_of_many_sources_in_one_shard(seed, changes):
+    """Sources come and go between micro-batches, a missing one and an empty one among them; state is written once for all."""
+    rnd = random.Random(seed)
+    times = sorted(rnd.randrange(300) * S for _ in range(900))
+    names = [None, "", *(f"s{i}" for i in range(60))]
+    frame = pd.DataFrame({"shard": 7, "t": times, "seq": range(900), "source": pd.Series([rnd.choice(names[: 10 + i // 10]) for i in range(900)], dtype=object),
+                          "kind": [rnd.choice(["register"] + ["status"] * 5) for _ in times],
+                          "status": pd.Series([rnd.choice(["ok", "bad", None]) for _ in times], dtype=object),
+                          "error": pd.Series([rnd.choice(["e1", "e2", None, None]) for _ in times], dtype=object)})
+    got, handle = _processed(HealthProcessor(changes), (7,), _batched(frame, rnd))
+    rows = list(frame.itertuples(index=False))
+    want = [(name, *w[1:]) for name in names for w in _plain_health([r for r in rows if r.source == name], changes)]
+    plain = lambda found: sorted(str([None if pd.isna(v) else v for v in r]) for r in found)
+    assert plain(got) == plain(want)
+    assert handle.states["pending"].appends == 3 and not handle.states["pending"].exists()
+
+
+def test_health_sources_share_shards(spark):
+    events = spark.range(3000).selectExpr("concat('svc-', id % 1500) AS source", "timestamp_seconds(id) AS ts", "id AS seq", "'status' AS kind",
+                                          "'ok' AS status", "CAST(NULL AS string) AS error")
+    found = [(r.shard, r.source) for r in streams._health_rows(events, "1 hour").select("shard", "source").distinct().collect()]
+    assert len(found) == 1500 and len({shard for shard, _ in found}) <= streams.HEALTH_SHARDS
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_collapse_processor_equals_a_walk_over_the_rows(seed):
     rnd = random.Random(seed)
