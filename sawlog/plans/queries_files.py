@@ -1,7 +1,6 @@
 """Round trips of the test tables through files: sources and sinks."""
 
 import functools
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,12 +10,13 @@ from sawlog.operators.metrics import logs_total
 from sawlog.plans.catalog import query
 from sawlog.plans.queries_lines import DOC_SQL
 from sawlog.plans.views import ALERT_HISTORY_SQL, LOG_LINES_SQL, alert_history, log_lines
-from sawlog.session import checkpoint_dir
+from sawlog.session import checkpoint_dir, plain_checkpoints
 from sawlog.sinks.alerts import append_alert_events, read_alert_events, write_alerts
 from sawlog.sinks.delivery import read_spool
 from sawlog.sinks.files import text_lines, write_all, write_ndjson, write_rotated, write_text
 from sawlog.sources.files import log_inventory, read_log_files
 from sawlog.sources.tail import log_tail, read_from_bookmark
+from sawlog.streaming.flush import run_until_still
 from sawlog.streaming.reload import LateRows
 
 STREAMS = 8  # of the tail source that run at a time
@@ -57,22 +57,14 @@ def s1_read_log_files(spark, sf_dir):
 
 @query("s2_log_tail", f"SELECT {TEXT_SQL} AS raw, count(*) AS n FROM log_lines GROUP BY ALL", LOG_LINES_SQL)
 def s2_log_tail(spark, sf_dir):
-    folders, out, running = _log_folders(spark, sf_dir), _place(spark), []
-    try:
-        for no, folder in enumerate(folders):
-            stream = log_tail(spark, f"{_local(folder)}/*.txt", max_bytes=200_000).select("raw")
-            writer = stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state-{no}")
-            running.append(writer.start(f"{out}/out-{no}"))
-        # Batches are bounded, so what is available is not read in one: go on until the offsets stand still.
-        before, now = None, []
-        while before != now:
-            for one in running:
-                one.processAllAvailable()
-            time.sleep(1)
-            before, now = now, [(one.lastProgress or {}).get("sources", [{}])[0].get("endOffset") for one in running]
-    finally:
-        for one in running:
-            one.stop()
+    folders, out = _log_folders(spark, sf_dir), _place(spark)
+
+    def start(no: int):
+        stream = log_tail(spark, f"{_local(folders[no])}/*.txt", max_bytes=200_000).select("raw")
+        return stream.writeStream.format("parquet").option("checkpointLocation", f"{out}/state-{no}").start(f"{out}/out-{no}")
+
+    with plain_checkpoints(spark, out):
+        run_until_still([functools.partial(start, no) for no in range(len(folders))])
     # Each folder by itself, so that the log of its stream tells which files count.
     read = [spark.read.schema("raw string").parquet(f"{out}/out-{no}") for no in range(len(folders))]
     return functools.reduce(DataFrame.unionByName, read).groupBy("raw").agg(F.count("*").alias("n"))

@@ -6,9 +6,12 @@ operators leave it out behind the watermark. One at the end of time closes every
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 END_OF_TIME = "9000-01-01 00:00:00"
 MARKERS = ("line_id", "seq")
@@ -45,3 +48,38 @@ def run_to_end(lines: DataFrame, build: Callable[[DataFrame], DataFrame], place:
     _heartbeat(lines, time_col, END_OF_TIME).write.mode("append").parquet(beats)
     run()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
+
+
+def run_until_still(starts: list[Callable[[], StreamingQuery]], tries: int = 3, pause: float = 1.0) -> None:
+    """Run streams side by side until the offsets of all stand still, then stop them.
+
+    A stream that fails is started again and goes on from its checkpoint, so no row is lost or comes twice; the error
+    of one that fails ``tries`` times without a batch between them is raised.
+    """
+    running, failed = [], [0] * len(starts)
+
+    def ended(no: int) -> None:
+        """Wait for what is there, and start the stream again where it failed."""
+        while True:
+            try:
+                return running[no].processAllAvailable()
+            except StreamingQueryException:
+                failed[no] = 1 if running[no].lastProgress else failed[no] + 1
+                if failed[no] >= tries:
+                    raise
+                running[no].stop()
+                running[no] = starts[no]()
+
+    try:
+        for start in starts:
+            running.append(start())
+        # Batches may be bounded, so what is available is not read in one: go on until the offsets stand still.
+        before, now = None, []
+        while before != now:
+            for no in range(len(running)):
+                ended(no)
+            time.sleep(pause)
+            before, now = now, [(one.lastProgress or {}).get("sources", [{}])[0].get("endOffset") for one in running]
+    finally:
+        for one in running:
+            one.stop()

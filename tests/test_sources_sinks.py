@@ -7,12 +7,14 @@ from datetime import date, datetime, timezone
 
 import pyarrow as pa
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from sawlog.functions.regexes import RegexError, translate_regex
 from sawlog.operators.history import purge_stored
 from sawlog.plans import queries_files
 from sawlog.plans.views import log_lines
+from sawlog.session import plain_checkpoints
 from sawlog.sinks import files
 from sawlog.sinks.alerts import known_events, append_alert_events, write_alerts
 from sawlog.sinks.delivery import DeliveryError, check_response, deliver, retry_wait, write_bulk, write_webhook
@@ -113,6 +115,53 @@ def test_log_tail_query_follows_folders_side_by_side(spark, tmp_path, monkeypatc
     assert queries_files.s2_log_tail(spark, str(tmp_path / "none")).collect() == []
 
 
+def _flaky(mark, often):
+    """``log_tail`` in small batches, with a step that fails ``often`` times at one of the lines."""
+
+    def met(text):
+        if "22:40:00" in text and (os.path.getsize(mark) if os.path.exists(mark) else 0) < often:
+            with open(mark, "a") as file:
+                file.write("x")
+            raise OSError("no more processes")
+        return text
+
+    return lambda spark, path, **options: log_tail(spark, path, max_bytes=5_000).withColumn("raw", F.udf(met)("raw"))
+
+
+@pytest.mark.parametrize("often", [1, 100])
+def test_log_tail_query_goes_on_after_a_failed_batch(spark, tmp_path, monkeypatch, often):
+    rows = spark.range(2_000).selectExpr("id AS event_id", "id % 7 AS user_id", "IF(id % 5 = 0, 'error', 'view') AS event_type",
+                                         "timestamp_seconds(1700000000 + id) AS ts")
+    rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    mark = str(tmp_path / "mark")
+    monkeypatch.setattr(queries_files, "log_tail", _flaky(mark, often))
+    monkeypatch.setattr(queries_files, "LINES_PER_STREAM", 1_000)
+    before = len(spark.streams.active)
+    if often == 1:
+        got = {r.raw: r.n for r in queries_files.s2_log_tail(spark, str(tmp_path)).collect()}
+        assert got == Counter(r.value for r in text_lines(log_lines(spark, str(tmp_path))).collect())
+    else:
+        with pytest.raises(StreamingQueryException, match="no more processes"):
+            queries_files.s2_log_tail(spark, str(tmp_path))
+    assert os.path.getsize(mark) == (1 if often == 1 else 3) and len(spark.streams.active) == before
+
+
+def test_checkpoints_on_mounted_folders_start_no_processes(spark, tmp_path):
+    key = "spark.sql.streaming.checkpointFileManagerClass"
+    assert spark.conf.get(key, None) is None
+    with pytest.raises(ZeroDivisionError), plain_checkpoints(spark, f"file://{tmp_path}"):
+        assert spark.conf.get(key).endswith(".FileSystemBasedCheckpointFileManager")
+        raise ZeroDivisionError
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "chosen")
+    try:
+        with plain_checkpoints(spark, str(tmp_path)):
+            assert spark.conf.get(key) == "chosen"
+        assert spark.conf.get(key) == "chosen"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_planned_bytes_are_never_dropped(tmp_path):
     log = tmp_path / "p.log"
     log.write_text("one\ntwo\n")
