@@ -13,6 +13,8 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sawlog.session import plain_checkpoints
+
 END_OF_TIME = "9000-01-01 00:00:00"
 MARKERS = ("line_id", "seq")
 
@@ -44,9 +46,10 @@ def run_to_end(lines: DataFrame, build: Callable[[DataFrame], DataFrame], place:
         writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/state")
         writer.trigger(availableNow=True).start(f"{place}/out").awaitTermination()
 
-    run()
-    _heartbeat(lines, time_col, END_OF_TIME).write.mode("append").parquet(beats)
-    run()
+    with plain_checkpoints(spark, place):
+        run()
+        _heartbeat(lines, time_col, END_OF_TIME).write.mode("append").parquet(beats)
+        run()
     return spark.read.schema(stream.schema).parquet(f"{place}/out")
 
 
